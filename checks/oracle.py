@@ -357,12 +357,12 @@ CTES["quotes"] = """
 SELECT instrument_id, ts, seq, value - 0.05 AS bid, value + 0.05 AS ask FROM ev WHERE event_type='view'"""
 CTES["prints"] = """
 SELECT instrument_id, ts, seq, value AS price, k AS size FROM ev WHERE event_type='purchase'"""
-CTES["asof"] = """
+CTES["quoted"] = """
 SELECT t.*, q.bid, q.ask FROM prints t ASOF LEFT JOIN quotes q
 ON t.instrument_id = q.instrument_id AND t.ts >= q.ts"""
 CTES["sided"] = """
 SELECT *, CASE WHEN side <> 0 THEN -side*size*price*100 END AS signed_premium FROM
- (SELECT *, CASE WHEN bid>0 AND ask>0 THEN sign(price - (bid+ask)/2) END AS side FROM asof)"""
+ (SELECT *, CASE WHEN bid>0 AND ask>0 THEN sign(price - (bid+ask)/2) END AS side FROM quoted)"""
 CTES["known_contracts"] = f"""
 SELECT instrument_id, {CONTRACT_SQL}
 FROM (SELECT DISTINCT user_id AS instrument_id FROM events WHERE user_id % 7 <> 0)"""

@@ -88,11 +88,11 @@ def _opens(spark, sf) -> DataFrame:
     return vol.session_open(prices)
 
 def _metrics(spark, sf) -> DataFrame:
-    return metric_plans.chain_metrics(_chain(spark, sf).persist(), as_of=AS_OF)
+    return metric_plans.chain_metrics(_chain(spark, sf).persist(), as_of=AS_OF).persist()
 
 def _history_metrics(spark, sf) -> DataFrame:
     history = _history(spark, sf).persist()
-    return metric_plans.chain_metrics(history, as_of=F.col("snapshot_ts"), keys=HISTORY)
+    return metric_plans.chain_metrics(history, as_of=F.col("snapshot_ts"), keys=HISTORY).persist()
 
 # Snapshots.
 
@@ -163,8 +163,7 @@ def gex_curve_volume(spark, sf):
 
 @register("gex_total", "symbol underlying_price net_total:2 gross_total:2", "gex_totals", "weight='oi'")
 def gex_total(spark, sf):
-    chain = _chain(spark, sf)
-    return exposure.curve_totals(exposure.gex_curve(chain), chain, "net_gex")
+    return exposure.gex_totals(_chain(spark, sf))
 
 @register("gex_top_levels", "symbol side rank strike net_gex:2", "gex_tops")
 def gex_tops(spark, sf):
@@ -184,18 +183,12 @@ def charm(spark, sf):
 
 @register("zero_gamma", "symbol weight zero_gamma:5", "zero_both")
 def zero_gamma(spark, sf):
-    chain = _chain(spark, sf)
-    by = [
-        exposure.zero_gamma(chain, as_of=AS_OF, weight=w).withColumn("weight", F.lit(w))
-        for w in ("oi", "volume")
-    ]
-    return by[0].unionByName(by[1])
+    return exposure.zero_gamma(_chain(spark, sf), as_of=AS_OF, weights=("oi", "volume"))
+
 
 @register("gex_history", "snapshot_ts:t symbol underlying_price net_total:2 gross_total:2", "hist_gex")
 def gex_history(spark, sf):
-    chain = _history(spark, sf)
-    curve = exposure.gex_curve(chain, keys=HISTORY)
-    return exposure.curve_totals(curve, chain, "net_gex", HISTORY)
+    return exposure.gex_totals(_history(spark, sf), keys=HISTORY)
 
 @register("zero_gamma_history", "snapshot_ts:t symbol zero_gamma:5", "hist_zero")
 def zero_history(spark, sf):
@@ -284,7 +277,7 @@ def _quotes_and_prints(spark, sf):
     prints = records.where("kind = 'trade'").select("instrument_id", "ts", "seq", "price", "size")
     return quotes, prints
 
-@register("quote_at_trade", "instrument_id ts:t seq price size bid:6 ask:6", "asof")
+@register("quote_at_trade", "instrument_id ts:t seq price size bid:6 ask:6", "quoted")
 def quote_at_trade(spark, sf):
     quotes, prints = _quotes_and_prints(spark, sf)
     return tape.quote_at_trade(prints, quotes)
@@ -511,7 +504,7 @@ def health_alarm(spark, sf):
 # Alerts.
 
 def _fired(spark, sf):
-    payloads = alerts.payload_history(_history_metrics(spark, sf))
+    payloads = alerts.payload_history(_history_metrics(spark, sf)).persist()
     enabled = [rule for rule in demo.alert_rules() if rule["enabled"]]
     return alerts.evaluate_rules(payloads, enabled)
 

@@ -13,7 +13,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PAYLOAD_WINDOW = "10 minutes"
+from strikelens.functions.columns import instant
+
+PAYLOAD_SECONDS = 600
 LONGEST_LIST = 10
 
 COMPARE = {
@@ -219,37 +221,42 @@ def apply_cooldown(fired: DataFrame, *, order: str = "snapshot_ts") -> DataFrame
 
 
 def payload_at(
-    metrics: DataFrame, *, as_of, window: str = PAYLOAD_WINDOW
+    metrics: DataFrame, *, as_of, window_seconds: int = PAYLOAD_SECONDS
 ) -> DataFrame:
     """One payload per symbol from the newest row of each metric type before ``as_of``."""
-    now = F.lit(str(as_of)).cast("timestamp")
-    recent = metrics.where(
-        (F.col("ts") >= now - F.expr(f"INTERVAL {window}")) & (F.col("ts") <= now)
-    )
+    now = instant(as_of)
+    oldest = now - F.make_dt_interval(secs=F.lit(window_seconds))
+    recent = metrics.where((F.col("ts") >= oldest) & (F.col("ts") <= now))
     newest = newest_metric(recent, ["symbol", "metric_type"])
-    return _payloads(newest, ["symbol"]).withColumn("snapshot_ts", now)
+    listed = newest.groupBy("symbol").agg(_entries().alias("_rows"))
+    return listed.select("symbol", now.alias("snapshot_ts"), _nested("_rows").alias("payload"))
 
 
-def payload_history(metrics: DataFrame, *, window: str = PAYLOAD_WINDOW) -> DataFrame:
-    """One payload per symbol and metric timestamp, each type at most ``window`` old."""
-    newest = newest_metric(metrics, ["symbol", "metric_type", "ts"])
-    moments = newest.select("symbol", "ts").distinct()
-    kinds = newest.select("symbol", "metric_type").distinct()
-    grid = moments.join(kinds, "symbol").join(newest, ["symbol", "metric_type", "ts"], "left")
-    sofar = Window.partitionBy("symbol", "metric_type").orderBy("ts").rowsBetween(
-        Window.unboundedPreceding, 0
+def payload_history(
+    metrics: DataFrame, *, window_seconds: int = PAYLOAD_SECONDS
+) -> DataFrame:
+    """One payload per symbol and metric timestamp, each type at most ``window_seconds`` old.
+
+    The window over a symbol holds one row per snapshot, and its frame only the recent ones.
+    """
+    newest = newest_metric(metrics, ["symbol", "ts", "metric_type"])
+    moments = newest.groupBy("symbol", "ts").agg(_entries().alias("_rows"))
+    recent = Window.partitionBy("symbol").orderBy(F.unix_micros("ts")).rangeBetween(
+        -window_seconds * 1_000_000, 0
+    )
+    seen = moments.withColumn("_seen", F.flatten(F.collect_list("_rows").over(recent)))
+    kinds = F.array_distinct(F.transform("_seen", lambda r: r["metric_type"]))
+    latest = F.transform(
+        kinds,
+        lambda kind: F.array_max(F.filter("_seen", lambda r: r["metric_type"] == kind)),
     )
-    stored = F.col("value").isNotNull() | F.col("extra").isNotNull()
-    latest = F.last(F.when(stored, F.struct("ts", "value", "extra")), ignorenulls=True).over(sofar)
-    seen = grid.select("symbol", "metric_type", F.col("ts").alias("snapshot_ts"), latest.alias("_row"))
-    fresh = seen.where(F.col("_row.ts") >= F.col("snapshot_ts") - F.expr(f"INTERVAL {window}"))
-    return _payloads(
-        fresh.select("snapshot_ts", "symbol", "metric_type", "_row.*"), ["snapshot_ts", "symbol"]
+    return seen.withColumn("_rows", latest).select(
+        "symbol", F.col("ts").alias("snapshot_ts"), _nested("_rows").alias("payload")
     )
 
 
-def _payloads(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Nest metric rows: the extra fields of a row join its value and time."""
+def _entries() -> Column:
+    """The rows of a group as (type, time, JSON of value, time and the extra fields)."""
     fields = F.lit("map<string,variant>")
     base = F.from_json(
         F.to_json(
@@ -262,8 +269,12 @@ def _payloads(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     entry = F.map_concat(
         F.map_filter(base, lambda name, _: ~F.map_contains_key(extra, name)), extra
     )
-    nested = F.map_from_entries(F.collect_list(F.struct("metric_type", entry.alias("entry"))))
-    return rows.groupBy(*group).agg(F.to_json(nested).alias("payload"))
+    return F.collect_list(F.struct("metric_type", "ts", F.to_json(entry).alias("entry")))
+
+
+def _nested(rows: str) -> Column:
+    pairs = F.transform(rows, lambda r: F.struct(r["metric_type"], F.parse_json(r["entry"])))
+    return F.to_json(F.map_from_entries(pairs))
 
 
 def newest_metric(metrics: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -24,6 +24,46 @@ def _weight(weight: str) -> Column:
     return F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
 
 
+def strike_exposures(
+    chain: DataFrame,
+    *,
+    as_of=None,
+    rate: float = 0.05,
+    keys: Sequence[str] = ("symbol",),
+) -> DataFrame:
+    """Every weight and exposure per strike over all expiries, in one aggregate.
+
+    Walls, curves and totals each select their part; the columns they leave out are pruned
+    from the aggregate. Vanna and charm need ``as_of``; they are null at strikes where no
+    option has a weight and a vol.
+    """
+    spot, strike = F.col("spot"), F.col("strike")
+    dollars = F.lit(MULTIPLIER) * spot * spot * ONE_PERCENT
+    columns = [F.count_if(is_call() | is_put()).alias("listed")]
+    for weight in ("oi", "volume"):
+        gex = F.coalesce(F.col("gamma") * _weight(weight), F.lit(0.0)) * dollars
+        for side, kind, sign in (("call", is_call(), gex), ("put", is_put(), -gex)):
+            columns += [
+                F.coalesce(F.sum(F.when(kind, sign)), F.lit(0.0)).alias(f"{side}_gex_{weight}"),
+                F.sum(F.when(kind, _weight(weight))).alias(f"{side}_{weight}"),
+            ]
+        columns.append(F.sum(F.abs(_weight(weight))).alias(f"gross_{weight}"))
+    ready = with_spot(chain, keys)
+    if as_of is not None:
+        ready = ready.withColumn("tau", year_fraction(as_of))
+        inputs = (spot, strike, F.col("tau"), F.col("iv"), rate)
+        usable = (spot > 0) & (F.col("iv") > 0) & (strike > 0)
+        for weight in ("oi", "volume"):
+            held = F.when(usable & (_weight(weight) != 0), side_sign() * _weight(weight))
+            vanna = greeks.vanna(*inputs) * MULTIPLIER * spot * ONE_PERCENT
+            charm = greeks.charm(*inputs) * MULTIPLIER * spot / BUSINESS_DAYS
+            columns += [
+                F.sum(held * vanna).alias(f"vanna_{weight}"),
+                F.sum(held * charm).alias(f"charm_{weight}"),
+            ]
+    return ready.groupBy(*keys, spot.alias("underlying_price"), "strike").agg(*columns)
+
+
 def gex_curve(
     chain: DataFrame, *, weight: str = "oi", keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
@@ -31,48 +71,57 @@ def gex_curve(
 
     Snapshots without a spot or with no weight at all have no curve.
     """
-    unit = F.coalesce(F.col("gamma") * _weight(weight), F.lit(0.0))
-    dollars = unit * MULTIPLIER * F.col("spot") * F.col("spot") * ONE_PERCENT
-    per_strike = (
-        with_spot(chain, keys)
-        .where(F.col("spot").isNotNull())
-        .groupBy(*keys, "spot", "strike")
-        .agg(
-            F.coalesce(F.sum(F.when(is_call(), dollars)), F.lit(0.0)).alias("call_gex"),
-            F.coalesce(F.sum(F.when(is_put(), -dollars)), F.lit(0.0)).alias("put_gex"),
-            F.sum(F.abs(_weight(weight))).alias("_gross"),
-            F.count_if(is_call() | is_put()).alias("_listed"),
-        )
-    )
-    whole = Window.partitionBy(*keys)
-    return (
-        per_strike.withColumn("_all", F.sum("_gross").over(whole))
-        .where((F.col("_all") > 0) & (F.col("_listed") > 0))
-        .withColumn("net_gex", F.col("call_gex") - F.abs("put_gex"))
-        .select(*keys, F.col("spot").alias("underlying_price"), "strike",
-                "call_gex", "put_gex", "net_gex")
-    )
+    return gex_of(strike_exposures(chain, keys=keys), weight=weight, keys=keys)
 
 
-def _greek_curve(chain, value: Column, name: str, weight: str, as_of, keys) -> DataFrame:
-    usable = valid_options(with_spot(chain, keys), weight=weight, as_of=as_of)
-    signed = side_sign() * value * F.col("_weight")
+def gex_of(
+    strikes: DataFrame, *, weight: str = "oi", keys: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """The gamma curve of a strike table."""
+    held = F.sum(f"gross_{weight}").over(Window.partitionBy(*keys))
     return (
-        usable.groupBy(*keys, F.col("spot").alias("underlying_price"), "strike")
-        .agg(F.sum(signed).alias(name))
+        strikes.withColumn("_held", held)
+        .where("_held > 0 AND listed > 0 AND underlying_price IS NOT NULL")
+        .select(
+            *keys,
+            "underlying_price",
+            "strike",
+            F.col(f"call_gex_{weight}").alias("call_gex"),
+            F.col(f"put_gex_{weight}").alias("put_gex"),
+            net_gex(weight).alias("net_gex"),
+        )
     )
 
 
-def valid_options(chain: DataFrame, *, weight: str, as_of) -> DataFrame:
-    """Rows a vol-based exposure can use; adds ``_weight`` and ``tau``."""
-    ready = chain.withColumns({"_weight": _weight(weight), "tau": year_fraction(as_of)})
-    return ready.where(
-        (F.col("spot") > 0)
-        & (F.col("_weight") != 0)
-        & (F.col("iv") > 0)
-        & (F.col("strike") > 0)
-        & (F.col("tau") > 0)
+def net_gex(weight: str) -> Column:
+    """Net gamma of a row of the strike table."""
+    return F.col(f"call_gex_{weight}") - F.abs(f"put_gex_{weight}")
+
+
+def gex_totals(
+    chain: DataFrame, *, weight: str = "oi", keys: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """Net and gross gamma per snapshot; zero where there is no curve."""
+    totals = gex_totals_of(strike_exposures(chain, keys=keys), keys)
+    return totals.where(F.col("weight") == weight).drop("weight")
+
+
+def gex_totals_of(strikes: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Gamma totals of a strike table, one row per snapshot and weight."""
+    parts = []
+    for weight in ("oi", "volume"):
+        net = F.when((F.col("listed") > 0) & F.col("underlying_price").isNotNull(), net_gex(weight))
+        parts.append(
+            F.struct(
+                F.lit(weight).alias("weight"),
+                F.coalesce(F.sum(net), F.lit(0.0)).alias("net_total"),
+                F.coalesce(F.sum(F.abs(net)), F.lit(0.0)).alias("gross_total"),
+            )
+        )
+    summed = strikes.groupBy(*keys).agg(
+        F.max("underlying_price").alias("underlying_price"), F.array(*parts).alias("_parts")
     )
+    return summed.select(*keys, "underlying_price", F.inline("_parts"))
 
 
 def vanna_curve(
@@ -84,9 +133,7 @@ def vanna_curve(
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
     """Dollar vanna per strike, for one vol point."""
-    per_option = greeks.vanna(F.col("spot"), F.col("strike"), F.col("tau"), F.col("iv"), rate)
-    dollars = per_option * MULTIPLIER * F.col("spot") * ONE_PERCENT
-    return _greek_curve(chain, dollars, "vanna_exposure", weight, as_of, keys)
+    return greek_of(strike_exposures(chain, as_of=as_of, rate=rate, keys=keys), "vanna", weight, keys)
 
 
 def charm_curve(
@@ -98,20 +145,17 @@ def charm_curve(
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
     """Dollar charm per strike, for one business day."""
-    per_option = greeks.charm(F.col("spot"), F.col("strike"), F.col("tau"), F.col("iv"), rate)
-    dollars = per_option * MULTIPLIER * F.col("spot") / BUSINESS_DAYS
-    return _greek_curve(chain, dollars, "charm_exposure", weight, as_of, keys)
+    return greek_of(strike_exposures(chain, as_of=as_of, rate=rate, keys=keys), "charm", weight, keys)
 
 
-def curve_totals(
-    curve: DataFrame, chain: DataFrame, value: str, keys: Sequence[str] = ("symbol",)
+def greek_of(
+    strikes: DataFrame, greek: str, weight: str = "oi", keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
-    """Net and gross total per snapshot; snapshots without a curve total zero."""
-    spots = with_spot(chain, keys).groupBy(*keys).agg(F.max("spot").alias("underlying_price"))
-    sums = curve.groupBy(*keys).agg(
-        F.sum(value).alias("net_total"), F.sum(F.abs(value)).alias("gross_total")
+    """The vanna or charm curve of a strike table."""
+    value = F.col(f"{greek}_{weight}")
+    return strikes.where(value.isNotNull()).select(
+        *keys, "underlying_price", "strike", value.alias(f"{greek}_exposure")
     )
-    return spots.join(sums, list(keys), "left").na.fill(0.0, ["net_total", "gross_total"])
 
 
 def top_levels(
@@ -140,22 +184,25 @@ def gamma_profile(
     chain: DataFrame,
     *,
     as_of,
-    weight: str = "volume",
+    weights: Sequence[str] = ("volume",),
     rate: float = 0.05,
     search_pct: float = 0.05,
     n_points: int = 401,
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Total dealer dollar gamma at each point of a spot grid around the current spot.
+    """Total dealer dollar gamma per weight at each point of a spot grid around the spot.
 
     Options that share strike, year fraction and vol are merged before the grid is
     expanded; the expansion feeds a hash aggregate that keeps ``n_points`` rows per
-    snapshot, so the product of grid and options is never stored.
+    snapshot, so the product of grid and options is never stored. All weights share it.
     """
+    held = [F.sum(side_sign() * _weight(w)).alias(f"_held_{w}") for w in weights]
     merged = (
-        valid_options(with_spot(chain, keys), weight=weight, as_of=as_of)
+        with_spot(chain, keys)
+        .withColumn("tau", year_fraction(as_of))
+        .where((F.col("spot") > 0) & (F.col("iv") > 0) & (F.col("strike") > 0))
         .groupBy(*keys, "spot", "strike", "tau", "iv")
-        .agg(F.sum(side_sign() * F.col("_weight")).alias("_signed"))
+        .agg(*held)
     )
     low = F.col("spot") * (1.0 - search_pct)
     step = (F.col("spot") * (1.0 + search_pct) - low) / float(n_points - 1)
@@ -167,9 +214,11 @@ def gamma_profile(
         + (F.lit(rate) + F.col("iv") * F.col("iv") * 0.5) * F.col("tau")
     ) / width
     # gamma * level^2 * multiplier * 1 %: one power of the level cancels.
-    dollars = F.col("_signed") * greeks.norm_pdf(first) * F.col("level") / width
-    return expanded.groupBy(*keys, "spot", "point", "level").agg(
-        (F.sum(dollars) * MULTIPLIER * ONE_PERCENT).alias("total_gamma")
+    unit = greeks.norm_pdf(first) * F.col("level") / width * (MULTIPLIER * ONE_PERCENT)
+    return (
+        expanded.withColumn("_unit", unit)
+        .groupBy(*keys, "spot", "point", "level")
+        .agg(*(F.sum(F.col("_unit") * F.col(f"_held_{w}")).alias(w) for w in weights))
     )
 
 
@@ -177,36 +226,39 @@ def zero_gamma(
     chain: DataFrame,
     *,
     as_of,
-    weight: str = "volume",
+    weights: Sequence[str] = ("volume",),
     rate: float = 0.05,
     search_pct: float = 0.05,
     n_points: int = 401,
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """The spot level nearest to the current one where total dealer gamma changes sign.
+    """Per weight the spot level nearest to the current one where total gamma changes sign.
 
     Null when the grid has no sign change or a total is not finite.
     """
     profile = gamma_profile(
-        chain, as_of=as_of, weight=weight, rate=rate, search_pct=search_pct,
+        chain, as_of=as_of, weights=weights, rate=rate, search_pct=search_pct,
         n_points=n_points, keys=keys,
     )
     along = Window.partitionBy(*keys).orderBy("point")
-    here, there = F.col("total_gamma"), F.col("_next_gamma")
     stepped = profile.withColumns(
         {
-            "_next_gamma": F.lead("total_gamma").over(along),
             "_next_level": F.lead("level").over(along),
+            **{f"_next_{w}": F.lead(w).over(along) for w in weights},
         }
     )
-    crossing = there.isNotNull() & (F.signum(here) != F.signum(there))
-    slope = F.nullif(there - here, F.lit(0.0))
-    share = F.coalesce(-here / slope, F.lit(0.0))
-    level = F.col("level") + share * (F.col("_next_level") - F.col("level"))
-    distance = F.struct(F.abs(F.col("level") - F.col("spot")), F.col("point"))
-    finite = ~(F.isnan(here) | (F.abs(here) == float("inf")))
-    return stepped.groupBy(*keys).agg(
-        F.when(
-            F.bool_and(finite), F.min_by(level, F.when(crossing, distance))
-        ).alias("zero_gamma")
+
+    def crossing(weight: str) -> Column:
+        here, there = F.col(weight), F.col(f"_next_{weight}")
+        crosses = there.isNotNull() & (F.signum(here) != F.signum(there))
+        share = F.coalesce(-here / F.nullif(there - here, F.lit(0.0)), F.lit(0.0))
+        level = F.col("level") + share * (F.col("_next_level") - F.col("level"))
+        distance = F.struct(F.abs(F.col("level") - F.col("spot")), F.col("point"))
+        finite = F.bool_and(~(F.isnan(here) | (F.abs(here) == float("inf"))))
+        return F.when(finite, F.min_by(level, F.when(crosses, distance)))
+
+    levels = F.array(
+        *(F.struct(F.lit(w).alias("weight"), F.col(f"_zero_{w}").alias("zero_gamma")) for w in weights)
     )
+    found = stepped.groupBy(*keys).agg(*(crossing(w).alias(f"_zero_{w}") for w in weights))
+    return found.select(*keys, F.inline(levels))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions import greeks
 from strikelens.functions.columns import MULTIPLIER, day, is_call, is_put
-from strikelens.operators.exposure import curve_totals, gex_curve
+from strikelens.operators.exposure import gex_totals_of, strike_exposures
 from strikelens.operators.snapshot import with_spot
 
 
@@ -75,18 +75,26 @@ def walls(
     chain: DataFrame, *, top_n: int = 3, mode: str = "both", keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
     """Largest strikes by open interest and by volume, for calls and for puts."""
-    by = {"oi": ["oi"], "volume": ["volume"], "both": ["oi", "volume"]}[mode]
-    summed = (
-        chain.where(is_call() | is_put())
-        .groupBy(*keys, F.upper("option_type").alias("option_type"), "strike")
-        .agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in by))
-    )
-    entries = F.array(
-        *(F.struct(F.lit(c).alias("weight"), F.col(c).cast("double").alias("value")) for c in by)
-    )
+    return walls_of(strike_exposures(chain, keys=keys), top_n=top_n, mode=mode, keys=keys)
+
+
+def walls_of(
+    strikes: DataFrame, *, top_n: int = 3, mode: str = "both", keys: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """The walls of a strike table."""
+    weights = {"oi": ["oi"], "volume": ["volume"], "both": ["oi", "volume"]}[mode]
+    entries = [
+        F.struct(
+            F.lit(weight).alias("weight"),
+            F.lit(letter).alias("option_type"),
+            F.col(f"{side}_{weight}").alias("value"),
+        )
+        for weight in weights
+        for side, letter in (("call", "C"), ("put", "P"))
+    ]
     order = Window.partitionBy(*keys, "weight", "option_type").orderBy(F.desc("value"), "strike")
     return (
-        summed.select(*keys, "option_type", "strike", F.inline(entries))
+        strikes.select(*keys, "strike", F.inline(F.array(*entries)))
         .where(F.col("value") > 0)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
@@ -105,17 +113,23 @@ def regime(
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
     """Bullish, bearish or neutral score per snapshot, by open interest and by volume."""
-    chain = with_spot(chain, keys)
-    wall_sums = walls(chain, top_n=top_n, keys=keys).groupBy(*keys, "weight").agg(
+    strikes = strike_exposures(chain, keys=keys)
+    return regime_of(strikes, top_n=top_n, threshold=threshold, keys=keys)
+
+
+def regime_of(
+    strikes: DataFrame,
+    *,
+    top_n: int = 3,
+    threshold: float = 0.2,
+    keys: Sequence[str] = ("symbol",),
+) -> DataFrame:
+    """The regime of a strike table."""
+    stacked = walls_of(strikes, top_n=top_n, keys=keys).groupBy(*keys, "weight").agg(
         F.sum(F.when(F.col("option_type") == "C", F.col("value"))).alias("call_wall_total"),
         F.sum(F.when(F.col("option_type") == "P", F.col("value"))).alias("put_wall_total"),
     )
-    totals = None
-    for weight in ("oi", "volume"):
-        part = curve_totals(gex_curve(chain, weight=weight, keys=keys), chain, "net_gex", keys)
-        part = part.withColumn("weight", F.lit(weight))
-        totals = part if totals is None else totals.unionByName(part)
-    both = totals.join(wall_sums, [*keys, "weight"], "left").na.fill(
+    both = gex_totals_of(strikes, keys).join(stacked, [*keys, "weight"], "left").na.fill(
         0.0, ["call_wall_total", "put_wall_total"]
     )
     return score_regime(both, threshold=threshold).select(
@@ -162,8 +176,10 @@ def pin_probability(
         & F.col("spot").isNotNull()
     )
     charm = greeks.charm(F.col("spot"), F.col("strike"), F.lit(tau), F.col("iv"), rate)
-    overall = today.groupBy(*keys).agg(F.median("iv").alias("_median_iv"))
-    per_strike = today.groupBy(*keys, "spot", "strike").agg(
+    typical = F.median("iv").over(Window.partitionBy(*keys))
+    per_strike = today.withColumn("_median_iv", typical).groupBy(
+        *keys, "spot", "_median_iv", "strike"
+    ).agg(
         F.sum(F.coalesce("oi", F.lit(0))).alias("oi"),
         F.sum(F.abs(charm)).alias("abs_charm"),
         F.median("iv").alias("atm_iv"),
@@ -173,8 +189,7 @@ def pin_probability(
     raw = (F.col("oi") + F.col("abs_charm") * charm_weight) * F.exp(distance * distance * -0.5)
     total = F.sum("_raw").over(Window.partitionBy(*keys))
     return (
-        per_strike.join(overall, keys)
-        .withColumn("_raw", raw)
+        per_strike.withColumn("_raw", raw)
         .withColumn("_total", total)
         .where((F.col("_total") > 0) & (F.col("_total") < float("inf")))
         .withColumn("prob", F.col("_raw") / F.col("_total"))

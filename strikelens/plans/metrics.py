@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions.columns import instant
 from strikelens.operators import exposure, flow, positioning, profile, vol
@@ -13,6 +13,8 @@ from strikelens.operators.snapshot import with_spot
 
 #: Expiry of metrics that belong to no single expiry.
 NO_EXPIRY = "1970-01-01"
+#: Strikes listed at either end of an exposure curve.
+TOP_LEVELS = 5
 METRIC_KEY = ("ts", "symbol", "metric_type", "strike", "expiration")
 
 
@@ -43,32 +45,83 @@ def _listed(rows: Column) -> Column:
     return F.array_sort(F.collect_list(rows))
 
 
-def _exposure_metrics(curve, chain, value, total_type, level_type, weight, zero, ts, keys):
+def _exposure_metrics(strikes, zero, *, ts, keys) -> list[DataFrame]:
+    """Totals and levels of the four curves, kept together in one long table of strikes."""
     keys = list(keys)
-    totals = exposure.curve_totals(curve, chain, value, keys)
-    fields = [c for c in curve.columns if c not in (*keys, "underlying_price")]
-    levels = curve.groupBy(*keys).agg(_listed(F.struct(*fields)).alias("curve"))
-    tops = exposure.top_levels(curve, value, keys=keys).groupBy(*keys).agg(
-        *(
-            _listed(
-                F.when(F.col("side") == side, F.struct("rank", "strike", value))
-            ).alias(f"top_{side}")
-            for side in ("positive", "negative")
+    by_snapshot = Window.partitionBy(*keys)
+    whole = strikes.withColumns(
+        {f"_held_{w}": F.sum(f"gross_{w}").over(by_snapshot) for w in ("oi", "volume")}
+    )
+
+    def gamma(weight: str, tail: str) -> Column:
+        net = exposure.net_gex(weight)
+        listed = (F.col(f"_held_{weight}") > 0) & (F.col("listed") > 0)
+        level = F.to_json(
+            F.struct(
+                "strike",
+                F.col(f"call_gex_{weight}").alias("call_gex"),
+                F.col(f"put_gex_{weight}").alias("put_gex"),
+                net.alias("net_gex"),
+            )
+        )
+        return F.struct(
+            F.lit(f"GEX_NET_TOTAL{tail}").alias("total_type"),
+            F.lit(f"GEX_LEVEL{tail}").alias("level_type"),
+            F.lit(weight).alias("weight"),
+            F.when(listed & F.col("underlying_price").isNotNull(), net).alias("value"),
+            level.alias("level"),
+        )
+
+    def greek(name: str) -> Column:
+        value = F.col(f"{name}_oi")
+        return F.struct(
+            F.lit(f"{name.upper()}_NET_TOTAL").alias("total_type"),
+            F.lit(f"{name.upper()}_LEVEL").alias("level_type"),
+            F.lit("oi").alias("weight"),
+            value.alias("value"),
+            F.to_json(F.struct("strike", value.alias(f"{name}_exposure"))).alias("level"),
         )
+
+    curves = F.array(gamma("oi", ""), gamma("volume", "_VOL"), greek("vanna"), greek("charm"))
+    long = whole.select(*keys, "underlying_price", "strike", F.inline(curves))
+    levels = long.where(F.col("value").isNotNull())
+
+    family = [*keys, "total_type"]
+    by_family = Window.partitionBy(*family)
+    ranked = long.withColumns(
+        {
+            "_high": F.row_number().over(by_family.orderBy(F.desc_nulls_last("value"), "strike")),
+            "_low": F.row_number().over(by_family.orderBy(F.asc_nulls_last("value"), "strike")),
+        }
+    )
+    present = F.col("value").isNotNull()
+
+    def top(rank: str) -> Column:
+        entry = F.struct(F.col(rank).alias("rank"), F.col("strike"), F.col("value"))
+        return _listed(F.when(present & (F.col(rank) <= TOP_LEVELS), entry))
+
+    totals = ranked.groupBy(*family, "weight").agg(
+        F.max("underlying_price").alias("underlying_price"),
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("net_total"),
+        _listed(F.when(present, F.struct("strike", "level"))).alias("_levels"),
+        top("_high").alias("top_positive"),
+        top("_low").alias("top_negative"),
+    )
+    kind = F.when(F.col("weight") == "oi", "GEX_NET_TOTAL").otherwise("GEX_NET_TOTAL_VOL")
+    zero = zero.withColumn("total_type", kind)
+    summary = totals.join(zero.drop("weight"), family, "left")
+    points = F.from_json(
+        F.concat(F.lit("["), F.array_join("_levels.level", ","), F.lit("]")), F.lit("array<variant>")
     )
-    summary = totals.join(levels, keys, "left").join(tops, keys, "left")
-    extra = ["underlying_price", "curve", "top_positive", "top_negative"]
-    if zero is not None:
-        summary = summary.join(zero, keys, "left")
-        extra.append("zero_gamma")
     return [
         _metric(
-            summary, total_type, F.col("net_total"), ts=ts,
-            extra=F.struct(*extra, F.lit(weight).alias("weight_col")),
+            summary, F.col("total_type"), F.col("net_total"), ts=ts,
+            extra=F.struct("underlying_price", points.alias("curve"), "top_positive",
+                           "top_negative", "zero_gamma", F.col("weight").alias("weight_col")),
         ),
         _metric(
-            curve, level_type, F.col(value), ts=ts, strike=F.col("strike"),
-            extra=F.struct(*fields),
+            levels, F.col("level_type"), F.col("value"), ts=ts, strike=F.col("strike"),
+            extra=F.from_json("level", F.lit("map<string,double>")),
         ),
     ]
 
@@ -85,26 +138,17 @@ def chain_metrics(
     """All chain metrics of all snapshots as long rows.
 
     ``chain`` is an enriched snapshot (spot, vol and greeks filled). Many branches read it,
-    so callers persist it first.
+    so callers persist it first; the strike table under the exposures is persisted here.
     """
     keys = list(keys)
     if ts is None:
         ts = F.col("snapshot_ts") if "snapshot_ts" in keys else instant(as_of)
     chain = with_spot(chain, keys)
-    rows: list[DataFrame] = []
-
-    for weight, tail in (("oi", ""), ("volume", "_VOL")):
-        curve = exposure.gex_curve(chain, weight=weight, keys=keys)
-        zero = exposure.zero_gamma(chain, as_of=as_of, weight=weight, rate=rate, keys=keys)
-        rows += _exposure_metrics(
-            curve, chain, "net_gex", f"GEX_NET_TOTAL{tail}", f"GEX_LEVEL{tail}", weight, zero, ts, keys
-        )
-    for name, build in (("vanna", exposure.vanna_curve), ("charm", exposure.charm_curve)):
-        curve = build(chain, as_of=as_of, rate=rate, keys=keys)
-        kind = name.upper()
-        rows += _exposure_metrics(
-            curve, chain, f"{name}_exposure", f"{kind}_NET_TOTAL", f"{kind}_LEVEL", "oi", None, ts, keys
-        )
+    strikes = exposure.strike_exposures(chain, as_of=as_of, rate=rate, keys=keys).persist()
+    zero = exposure.zero_gamma(
+        chain, as_of=as_of, weights=("oi", "volume"), rate=rate, keys=keys
+    )
+    rows = _exposure_metrics(strikes, zero, ts=ts, keys=keys)
 
     pains = positioning.max_pain_curve(chain, keys)
     expiry = [*keys, "expiration"]
@@ -129,7 +173,7 @@ def chain_metrics(
     by = F.when(F.col("weight") == "oi", "OI").otherwise("VOL")
     rows.append(
         _metric(
-            positioning.walls(chain, keys=keys), F.concat(side, by), F.col("value"), ts=ts,
+            positioning.walls_of(strikes, keys=keys), F.concat(side, by), F.col("value"), ts=ts,
             strike=F.col("strike"), extra=F.struct("rank"),
         )
     )
@@ -153,21 +197,32 @@ def chain_metrics(
     mode = F.when(F.col("weight") == "oi", "REGIME_OI").otherwise("REGIME_VOL")
     rows.append(
         _metric(
-            positioning.regime(chain, keys=keys), mode, F.col("score"), ts=ts,
+            positioning.regime_of(strikes, keys=keys), mode, F.col("score"), ts=ts,
             extra=F.struct("label", "call_wall_total", "put_wall_total", "net_gex"),
         )
     )
 
     term = vol.term_structure(chain, as_of=as_of, keys=keys)
     shape = ["days_to_expiry", "atm_iv", "call_25d_iv", "put_25d_iv", "risk_reversal_25d"]
-    rows.append(
-        _metric(term, "IV_TERM_STRUCTURE", F.col("atm_iv"), ts=ts,
-                expiration=F.col("expiration"), extra=F.struct("expiration", *shape))
+    legs = F.to_json(F.struct("call_25d_iv", "put_25d_iv"))
+    both = F.array(
+        F.struct(
+            F.lit("IV_TERM_STRUCTURE").alias("kind"),
+            F.col("atm_iv").alias("value"),
+            F.to_json(F.struct("expiration", *shape)).alias("extra"),
+        ),
+        F.struct(
+            F.lit("RISK_REVERSAL_25D").alias("kind"),
+            F.col("risk_reversal_25d").alias("value"),
+            legs.alias("extra"),
+        ),
+    )
+    split = term.select(*keys, "expiration", F.inline(both)).where(
+        (F.col("kind") == "IV_TERM_STRUCTURE") | F.col("value").isNotNull()
     )
-    reversal = term.where(F.col("risk_reversal_25d").isNotNull())
     rows.append(
-        _metric(reversal, "RISK_REVERSAL_25D", F.col("risk_reversal_25d"), ts=ts,
-                expiration=F.col("expiration"), extra=F.struct("call_25d_iv", "put_25d_iv"))
+        _metric(split, F.col("kind"), F.col("value"), ts=ts, expiration=F.col("expiration"),
+                extra=F.from_json("extra", F.lit("map<string,variant>")))
     )
 
     moves = vol.move_tracker(chain, as_of=as_of, opens=opens, keys=keys)

@@ -699,3 +699,64 @@ SELECT f.rule_id, f.symbol, f.snapshot_ts,
 FROM cool_walk w JOIN fire_rows f ON f.rule_id = w.rule_id AND f.n = w.n + 1"""
 CTES["cooled"] = "SELECT * FROM cool_walk WHERE kept_at = snapshot_ts"
 RECURSIVE.add("cool_walk")
+
+
+CTES["raw_prints"] = """
+SELECT instrument_id, ts, seq + 1 AS seq, value AS price, k AS size, CAST(seq % 5 AS VARCHAR) AS exchange
+FROM ev WHERE event_type = 'purchase'"""
+CTES["raw_quotes"] = """
+SELECT instrument_id, ts, seq + 1 AS seq, round((value + 1.0)*100)/100 AS bid,
+       round((value + 0.05)*100)/100 AS ask FROM ev WHERE event_type = 'view'"""
+CTES["raw_statistics"] = """
+SELECT instrument_id, ts, seq + 1 AS seq,
+       CASE event_type WHEN 'signup' THEN 'cumulative_volume' ELSE 'open_interest' END AS kind,
+       k*10 AS quantity FROM ev WHERE event_type IN ('signup', 'error')"""
+CTES["registry"] = """
+SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' ELSE 'NDXP' END AS symbol,
+       DATE '2024-02-02' AS expiration, CAST(900 + 5*(seq % 21) AS DOUBLE) AS strike,
+       CASE WHEN seq % 4 = 0 THEN 'C' ELSE 'P' END AS option_type
+FROM ev WHERE instrument_id % 3 <> 2 AND seq % 4 <> 3
+QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) = 1"""
+CTES["futures_names"] = """
+SELECT DISTINCT instrument_id, root || 'M6' AS symbol, DATE '2024-02-02' AS expiration, root || 'M' AS parent
+FROM (SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' WHEN 1 THEN 'NDXP' ELSE 'ES' END AS root
+      FROM ev)"""
+CTES["raw_books"] = """
+SELECT instrument_id, ts, seq + 1 AS seq, round((value + 1.0)*100)/100 AS bid,
+       round((value + 0.05)*100)/100 AS ask, 3 AS depth_levels,
+       CASE WHEN seq % 2 = 0 THEN 3 ELSE 2 END AS n_asks, 3*k + 3 AS bid_size, 2 AS top_orders
+FROM ev WHERE event_type = 'view'"""
+CTES["raw_futures"] = """
+SELECT n.symbol, c.ts, c.seq + 1 AS seq, c.value AS price, c.k AS size,
+       CASE c.seq % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS aggressor, q.bid, q.ask,
+       CAST(c.seq % 5 AS VARCHAR) AS venue
+FROM (SELECT * FROM ev WHERE event_type = 'click') c JOIN futures_names n USING (instrument_id)
+ASOF LEFT JOIN raw_quotes q ON c.instrument_id = q.instrument_id AND c.ts >= q.ts"""
+CTES["listing"] = f"""
+SELECT {SYMBOL.format('l_suppkey')} AS symbol,
+       {AS_OF} + CAST(7*(l_linenumber-1) AS INTEGER) AS expiration,
+       CAST(900 + 5*(l_partkey % 21) AS DOUBLE) AS strike,
+       CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'N' THEN 'P' END AS option_type,
+       l_linestatus, CAST(l_quantity - 5 AS BIGINT) AS open_interest, l_shipdate
+FROM lineitem"""
+CTES["stubs"] = """
+SELECT TIMESTAMP '2002-01-01' AS ts, *, NULL AS oi, NULL AS iv FROM listing WHERE option_type IS NOT NULL"""
+CTES["eod_loaded"] = f"""
+SELECT *, DATE '2002-01-01' AS oi_date FROM listing
+WHERE l_linestatus = 'F' AND open_interest >= 0 AND option_type IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY {LEG} ORDER BY l_shipdate DESC, open_interest DESC) = 1"""
+CTES["eod_upserted"] = f"""
+SELECT {LEG}, coalesce(n.open_interest, e.open_interest) AS open_interest
+FROM eod e FULL JOIN eod_loaded n USING ({LEG})"""
+CTES["young"] = "SELECT * FROM chain WHERE ts >= TIMESTAMP '2000-06-01' - INTERVAL 7 DAYS"
+CTES["closed_premiums"] = """
+SELECT * FROM premiums WHERE ts + INTERVAL 1 HOUR <=
+  (SELECT max(ts) FROM trades WHERE side <> 0) - INTERVAL 2 MINUTES"""
+CTES["closed_books"] = f"""
+SELECT {SYMBOL.format('instrument_id')} AS symbol, date_trunc('hour', ts) AS sampled_at, max(ts) AS ts,
+       3 AS depth_levels FROM ev WHERE event_type = 'view' GROUP BY ALL
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <=
+  (SELECT max(ts) FROM ev WHERE event_type = 'view') - INTERVAL 5 SECONDS"""
+CTES["closed_sweeps"] = """
+SELECT * FROM sweep_events WHERE ts + INTERVAL 24 HOURS <
+  (SELECT date_trunc('milliseconds', max(ts)) FROM trades) - INTERVAL 2 SECONDS"""

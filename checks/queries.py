@@ -23,7 +23,9 @@ from strikelens.operators.snapshot import (
 )
 from strikelens.plans import metrics as metric_plans
 from strikelens.plans import serving
-from strikelens.sources import demo
+from strikelens.sources import demo, records, sinks
+from strikelens.streaming import stateful, windows
+from strikelens.streaming.runner import drain
 
 AS_OF = demo.AS_OF
 HISTORY = ("snapshot_ts", "symbol")
@@ -515,3 +517,116 @@ def alerts_fired(spark, sf):
 @register("alert_cooldown", "rule_id symbol snapshot_ts:t", "cooled")
 def alert_cooldown(spark, sf):
     return alerts.apply_cooldown(_fired(spark, sf).withColumn("cooldown_seconds", F.lit(200 * 86400)))
+
+
+# Vendor records.
+
+
+@register("option_trade_records", "instrument_id ts:t seq price:6 size exchange", "raw_prints")
+def option_trade_records(spark, sf):
+    return records.option_trades(demo.trade_records(spark, sf))
+
+
+@register("option_quote_records", "instrument_id ts:t seq bid:6 ask:6", "raw_quotes")
+def option_quote_records(spark, sf):
+    return records.option_quotes(demo.book_records(spark, sf))
+
+
+@register("statistic_records", "instrument_id ts:t seq kind quantity", "raw_statistics")
+def statistic_records(spark, sf):
+    return records.statistics(demo.statistic_records(spark, sf))
+
+
+@register("option_registry", f"instrument_id {LEG}", "registry")
+def option_registry(spark, sf):
+    return records.option_contracts(demo.definition_records(spark, sf), ["SPXW", "NDXP"])
+
+
+@register("futures_registry", "instrument_id symbol expiration:d parent", "futures_names")
+def futures_registry(spark, sf):
+    return records.futures_contracts(demo.definition_records(spark, sf))
+
+
+@register("book_levels", "instrument_id ts:t seq bid:6 ask:6 depth_levels n_asks bid_size top_orders", "raw_books")
+def book_levels(spark, sf):
+    books = records.books(demo.book_records(spark, sf))
+    total = F.aggregate("bids", F.lit(0).cast("bigint"), lambda acc, level: acc + level["size"])
+    return books.withColumns(
+        {
+            "n_asks": F.size("asks"),
+            "bid_size": total,
+            "top_orders": F.element_at("asks", 1)["orders"],
+        }
+    )
+
+
+@register("futures_trades", "symbol ts:t seq price:6 size aggressor:n bid:6 ask:6 venue", "raw_futures")
+def futures_trades(spark, sf):
+    prints = records.futures_trades(demo.trade_records(spark, sf, "click"))
+    books = records.books(demo.book_records(spark, sf)).select(
+        "instrument_id", "ts", "seq", "bid", "ask"
+    )
+    named = tape.with_contract(prints, futures_registry(spark, sf).select("instrument_id", "symbol"))
+    return tape.quote_at_trade(named, books)
+
+
+@register("chain_stubs", f"ts:t {LEG} oi:n iv:6", "stubs")
+def chain_stubs(spark, sf):
+    return records.chain_stubs(demo.listing_records(spark, sf), as_of=AS_OF)
+
+
+@register("eod_oi_load", f"{LEG} open_interest oi_date:d", "eod_loaded")
+def eod_oi_load(spark, sf):
+    return records.eod_open_interest(demo.listing_records(spark, sf), as_of=AS_OF)
+
+
+@register("eod_oi_upsert", f"{LEG} open_interest", "eod_upserted")
+def eod_oi_upsert(spark, sf):
+    stored = demo.eod_open_interest(spark, sf).withColumn(
+        "updated_at", F.lit("2001-12-31").cast("timestamp")
+    )
+    return sinks.upsert_open_interest(stored, eod_oi_load(spark, sf).select(*stored.columns))
+
+
+@register("merge_dedupe", f"{LEG} ts:t oi:n iv:6 bid:6 volume", "merged")
+def merge_dedupe(spark, sf):
+    chain = demo.options_chain(spark, sf)
+    return sinks.merge_rows(chain, ["symbol", "expiration", "strike", "option_type"], ["ts", "source"])
+
+
+@register("retention", f"{LEG} ts:t volume", "young")
+def retention(spark, sf):
+    return sinks.retained(demo.options_chain(spark, sf), "options_chain", as_of="2000-06-01")
+
+
+# Streams over the events table.
+
+
+@register("stream_premium_buckets", "symbol ts:t call_premium:2 put_premium:2", "closed_premiums")
+def stream_premium_buckets(spark, sf):
+    trades = demo.options_trades(spark, sf, stream=True)
+    return drain(windows.premium_buckets(trades, bucket="1 hour"))
+
+
+@register("stream_blocks", EVENT, "block_events")
+def stream_blocks(spark, sf):
+    return drain(windows.blocks(demo.options_trades(spark, sf, stream=True), min_size=90))
+
+
+@register("stream_chain_state", "instrument_id ts:t seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "state")
+def stream_chain_state(spark, sf):
+    return drain(stateful.chain_rows(demo.market_records(spark, sf, stream=True)))
+
+
+@register("stream_books", "symbol sampled_at:t ts:t depth_levels", "closed_books")
+def stream_books(spark, sf):
+    books = records.books(demo.book_records(spark, sf, stream=True)).withColumn(
+        "symbol", demo.label(F.col("instrument_id"))
+    )
+    return drain(windows.sampled_books(books, every="1 hour"))
+
+
+@register("stream_sweeps", f"ts:t {LEG} side size price:6 legs venues", "closed_sweeps")
+def stream_sweeps(spark, sf):
+    trades = demo.options_trades(spark, sf, stream=True)
+    return drain(stateful.sweeps(trades, window_ms=DAY_MS, min_legs=2))

@@ -71,9 +71,16 @@ def eod_open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its Parquet files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     size = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    source = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
+    return source.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("instrument_id"),
@@ -94,12 +101,12 @@ def contract_columns(instrument: str = "instrument_id") -> dict[str, Column]:
     }
 
 
-def options_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def options_trades(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Every event as a trade with a quote around it."""
     turn = F.col("seq") % 3
     bid = F.col("value") - F.when(turn == 0, 0.10).when(turn == 1, 0.0).otherwise(0.05)
     return (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, stream)
         .withColumns(contract_columns())
         .withColumns(
             {
@@ -115,7 +122,7 @@ def options_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Views as quotes, purchases as trades, sign-ups and errors as statistics."""
     kind = (
         F.when(F.col("event_type") == "view", "quote")
@@ -125,7 +132,7 @@ def market_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     quote, trade = F.col("kind") == "quote", F.col("kind") == "trade"
     return (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, stream)
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
         .select(
@@ -165,13 +172,24 @@ def futures_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book_records(spark: SparkSession, sf_dir: str, depth: int = 3) -> DataFrame:
-    """Views as order-book updates; the deepest level lacks its ask on odd sequences."""
+def _nanos(ts: str = "ts") -> Column:
+    return F.unix_micros(ts) * 1000 + 7
+
+
+def _scaled(value: Column) -> Column:
+    """A price as the vendor sends it: an integer scaled by 1e9."""
+    return F.round(value * 100).cast("bigint") * 10_000_000
+
+
+def book_records(
+    spark: SparkSession, sf_dir: str, depth: int = 3, stream: bool = False
+) -> DataFrame:
+    """Views as vendor order-book updates; the deepest level lacks its ask on odd sequences."""
 
     def level(i: int) -> Column:
-        ask = F.col("value") + 0.05 + 0.25 * i
+        ask = _scaled(F.col("value") + 0.05 + 0.25 * i)
         return F.struct(
-            (F.col("value") - 0.05 - 0.25 * i).alias("bid_px"),
+            _scaled(F.col("value") + 1.0 - 0.25 * i).alias("bid_px"),
             (F.when(F.col("seq") % 2 == 0, ask) if i == depth - 1 else ask).alias("ask_px"),
             (F.col("k") + i).alias("bid_sz"),
             (F.col("k") + 2 * i).alias("ask_sz"),
@@ -180,9 +198,77 @@ def book_records(spark: SparkSession, sf_dir: str, depth: int = 3) -> DataFrame:
         )
 
     return (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, stream)
         .where(F.col("event_type") == "view")
-        .select("instrument_id", "ts", "seq", F.array(*(level(i) for i in range(depth))).alias("levels"))
+        .select(
+            "instrument_id",
+            _nanos().alias("ts_event"),
+            (F.col("seq") + 1).alias("sequence"),
+            F.array(*(level(i) for i in range(depth))).alias("levels"),
+        )
+    )
+
+
+def trade_records(spark: SparkSession, sf_dir: str, event_type: str = "purchase") -> DataFrame:
+    """Vendor prints: purchases for options, clicks for futures."""
+    turn = F.col("seq") % 3
+    return (
+        _events(spark, sf_dir)
+        .where(F.col("event_type") == event_type)
+        .select(
+            "instrument_id",
+            _nanos().alias("ts_event"),
+            (F.col("seq") + 1).alias("sequence"),
+            _scaled(F.col("value")).alias("price"),
+            F.col("k").alias("size"),
+            F.when(turn == 0, "B").when(turn == 1, "2").otherwise("N").alias("aggressor_side"),
+            (F.col("seq") % 5).alias("publisher_id"),
+        )
+    )
+
+
+def statistic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor statistics: sign-ups as cumulative volume, errors as open interest."""
+    return (
+        _events(spark, sf_dir)
+        .where(F.col("event_type").isin("signup", "error"))
+        .select(
+            "instrument_id",
+            _nanos().alias("ts_event"),
+            (F.col("seq") + 1).alias("sequence"),
+            F.when(F.col("event_type") == "signup", 10).otherwise(9).alias("stat_type"),
+            (F.col("k") * 10).alias("quantity"),
+        )
+    )
+
+
+def definition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor definitions, several per instrument; each event moves the strike."""
+    n = F.col("instrument_id")
+    root = label(n, ("SPXW", "NDXP", "ES"))
+    return _events(spark, sf_dir).select(
+        "instrument_id",
+        _nanos().alias("ts_event"),
+        F.concat(F.lower(root), F.lit("M6")).alias("raw_symbol"),
+        (F.unix_micros(F.lit(TAPE_EXPIRY).cast("timestamp")) * 1000).alias("expiration"),
+        ((F.lit(900) + F.col("seq") % 21 * 5) * 1_000_000_000).cast("bigint").alias("strike_price"),
+        F.when(F.col("seq") % 4 == 0, "call").when(F.col("seq") % 4 == 3, "F").otherwise("P").alias(
+            "instrument_class"
+        ),
+    )
+
+
+def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as vendor definitions and open-interest statistics with their parent symbol."""
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select(
+        F.lower(label(F.col("l_suppkey"))).alias("symbol"),
+        F.date_add(F.lit(AS_OF).cast("date"), (F.col("l_linenumber") - 1) * 7).alias("expiration"),
+        ((F.lit(900) + F.col("l_partkey") % 21 * 5) * 1_000_000_000).alias("strike_price"),
+        F.when(flag == "A", "CALL").when(flag == "N", "p").otherwise("X").alias("instrument_class"),
+        F.when(F.col("l_linestatus") == "F", 9).otherwise(10).alias("stat_type"),
+        (F.col("l_quantity") - 5).alias("quantity"),
+        (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_event"),
     )
 
 

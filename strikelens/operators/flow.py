@@ -270,11 +270,12 @@ def premium_buckets(
         trades.where(F.coalesce("side", F.lit(0)) != 0)
         .where(F.col("ts").isNotNull())
         .withColumn("_premium", premium)
-        .groupBy(*keys, F.window("ts", bucket)["start"].alias("ts"))
+        .groupBy(*keys, F.window("ts", bucket).alias("_bucket"))
         .agg(
             F.sum(F.when(is_call(), F.col("_premium")).otherwise(0.0)).alias("call_premium"),
             F.sum(F.when(is_call(), 0.0).otherwise(F.col("_premium"))).alias("put_premium"),
         )
+        .select(*keys, F.col("_bucket.start").alias("ts"), "call_premium", "put_premium")
     )
 
 

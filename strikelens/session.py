@@ -42,16 +42,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, for the jobs with Python workers."""
+    """Give the Python workers this package, once per application.
+
+    Workers import the functions of pandas jobs by name, wherever the driver was started.
+    """
     context = spark.sparkContext
-    if context.master.startswith("local"):
+    if context.applicationId in _shipped:
         return
     home = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(), "strikelens"),
+        os.path.join(tempfile.mkdtemp(prefix="strikelens-"), "strikelens"),
         "zip",
         os.path.dirname(home),
         os.path.basename(home),
     )
     context.addPyFile(archive)
+    _shipped.add(context.applicationId)

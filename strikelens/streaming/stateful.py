@@ -56,11 +56,12 @@ def _build_chain(
     built = _advance(rows, known)
     last = built.iloc[-1]
     state.update(tuple(None if pd.isna(last[n]) else float(last[n]) for n in names))
-    state.setTimeoutDuration(IDLE_MS)
+    newest_ms = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield built
 
 
-def chain_rows(records: DataFrame) -> DataFrame:
+def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
     """One chain row per record with everything known of its instrument so far.
 
     The state per instrument is five numbers; it is dropped after two idle days. A call
@@ -68,7 +69,7 @@ def chain_rows(records: DataFrame) -> DataFrame:
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) keep small.
     """
     ship_package(records.sparkSession)
-    wanted = records.select(
+    wanted = records.withWatermark("ts", late).select(
         "instrument_id",
         "ts",
         F.col("seq").cast("bigint").alias("seq"),
@@ -80,7 +81,7 @@ def chain_rows(records: DataFrame) -> DataFrame:
         CHAIN_ROW,
         STATE,
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

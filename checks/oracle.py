@@ -363,9 +363,6 @@ ON t.instrument_id = q.instrument_id AND t.ts >= q.ts"""
 CTES["sided"] = """
 SELECT *, CASE WHEN side <> 0 THEN -side*size*price*100 END AS signed_premium FROM
  (SELECT *, CASE WHEN bid>0 AND ask>0 THEN sign(price - (bid+ask)/2) END AS side FROM quoted)"""
-CTES["known_contracts"] = f"""
-SELECT instrument_id, {CONTRACT_SQL}
-FROM (SELECT DISTINCT user_id AS instrument_id FROM events WHERE user_id % 7 <> 0)"""
 CTES["records"] = """
 SELECT instrument_id, ts, seq,
        CASE event_type WHEN 'view' THEN 'quote' WHEN 'purchase' THEN 'trade'
@@ -400,7 +397,7 @@ SELECT 'UOA' AS event_type, max(ts) AS ts, {LEG}, 0 AS side, CAST(sum(size) AS B
 FROM trades GROUP BY {LEG} HAVING sum(size) >= 2000"""
 CTES["adv"] = f"""
 SELECT {LEG}, avg(size)*20 AS avg_daily_volume FROM trades
-WHERE instrument_id % 4 <> 0 GROUP BY {LEG}"""
+WHERE option_type = 'C' GROUP BY {LEG}"""
 CTES["unusual_adv"] = f"""
 SELECT 'UOA' AS event_type, t.*, 0 AS side, avg_daily_volume
 FROM (SELECT max(ts) AS ts, {LEG}, CAST(sum(size) AS BIGINT) AS size, count(*) AS legs
@@ -637,9 +634,10 @@ SELECT *, underlying_price*{PDF.format('dd')}*sqrt(tau) AS bs_vega,
        underlying_price*{ncdf('dd')} - strike*exp(-{R}*tau)*{ncdf('(dd - iv*sqrt(tau))')}
        - CASE WHEN {CALL} THEN 0 ELSE underlying_price - strike*exp(-{R}*tau) END AS bs_price
 FROM greeks WHERE iv IS NOT NULL"""
-CTES["looked_up"] = "SELECT * FROM records JOIN known_contracts USING (instrument_id)"
+CTES["looked_up"] = "SELECT * FROM records JOIN registry USING (instrument_id)"
 CTES["misses"] = """
-SELECT kind, count(*) AS unmatched FROM records WHERE instrument_id % 7 = 0 GROUP BY kind"""
+SELECT kind, count(*) AS unmatched FROM records
+WHERE instrument_id NOT IN (SELECT instrument_id FROM registry) GROUP BY kind"""
 CTES["rooted"] = "SELECT *, left(symbol, 2) AS symbol_root, aggressor AS side FROM ticks"
 INSPECTED = (
     "'GEX_NET_TOTAL_VOL','GEX_NET_TOTAL','VANNA_NET_TOTAL','CHARM_NET_TOTAL','MAX_PAIN','ATM_IV',"

@@ -90,11 +90,11 @@ def _opens(spark, sf) -> DataFrame:
     return vol.session_open(prices)
 
 def _metrics(spark, sf) -> DataFrame:
-    return metric_plans.chain_metrics(_chain(spark, sf).persist(), as_of=AS_OF).persist()
+    return metric_plans.chain_metrics(_chain(spark, sf).persist(), as_of=AS_OF)
 
 def _history_metrics(spark, sf) -> DataFrame:
     history = _history(spark, sf).persist()
-    return metric_plans.chain_metrics(history, as_of=F.col("snapshot_ts"), keys=HISTORY).persist()
+    return metric_plans.chain_metrics(history, as_of=F.col("snapshot_ts"), keys=HISTORY)
 
 # Snapshots.
 
@@ -273,6 +273,11 @@ def option_price(spark, sf):
 
 # Option tape.
 
+
+def _contracts(spark, sf):
+    """Contracts of two of the three underlyings, so that some records find none."""
+    return records.option_contracts(demo.definition_records(spark, sf), ["SPXW", "NDXP"])
+
 def _quotes_and_prints(spark, sf):
     records = demo.market_records(spark, sf)
     quotes = records.where("kind = 'quote'").select("instrument_id", "ts", "seq", "bid", "ask")
@@ -290,11 +295,11 @@ def trade_tape(spark, sf):
 
 @register("contract_lookup", f"instrument_id seq kind {LEG}", "looked_up")
 def contract_lookup(spark, sf):
-    return tape.with_contract(demo.market_records(spark, sf), demo.contracts(spark, sf))
+    return tape.with_contract(demo.market_records(spark, sf), _contracts(spark, sf))
 
 @register("unmatched_records", "kind unmatched", "misses")
 def unmatched(spark, sf):
-    return tape.unmatched(demo.market_records(spark, sf), demo.contracts(spark, sf))
+    return tape.unmatched(demo.market_records(spark, sf), _contracts(spark, sf))
 
 @register("chain_state", "instrument_id ts:t seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "state")
 def chain_state(spark, sf):
@@ -319,7 +324,7 @@ def uoa(spark, sf):
 @register("uoa_vs_average", f"event_type ts:t {LEG} size legs", "unusual_adv")
 def uoa_average(spark, sf):
     trades = demo.options_trades(spark, sf)
-    averages = trades.where(F.col("instrument_id") % 4 != 0).groupBy(
+    averages = trades.where(F.col("option_type") == "C").groupBy(
         "symbol", "expiration", "strike", "option_type"
     ).agg((F.avg("size") * 20).alias("avg_daily_volume"))
     return flow.unusual_volume(trades, daily_average=averages, multiplier=3.0, min_volume=4000)
@@ -539,7 +544,7 @@ def statistic_records(spark, sf):
 
 @register("option_registry", f"instrument_id {LEG}", "registry")
 def option_registry(spark, sf):
-    return records.option_contracts(demo.definition_records(spark, sf), ["SPXW", "NDXP"])
+    return _contracts(spark, sf)
 
 
 @register("futures_registry", "instrument_id symbol expiration:d parent", "futures_names")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -106,8 +106,15 @@ def gex_totals(
     return totals.where(F.col("weight") == weight).drop("weight")
 
 
-def gex_totals_of(strikes: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Gamma totals of a strike table, one row per snapshot and weight."""
+def gex_totals_of(
+    strikes: DataFrame,
+    keys: Sequence[str] = ("symbol",),
+    also: dict[str, Callable[[str], Column]] | None = None,
+) -> DataFrame:
+    """Gamma totals of a strike table, one row per snapshot and weight.
+
+    ``also`` names more aggregates to take per weight in the same pass.
+    """
     parts = []
     for weight in ("oi", "volume"):
         net = F.when((F.col("listed") > 0) & F.col("underlying_price").isNotNull(), net_gex(weight))
@@ -116,6 +123,7 @@ def gex_totals_of(strikes: DataFrame, keys: Sequence[str] = ("symbol",)) -> Data
                 F.lit(weight).alias("weight"),
                 F.coalesce(F.sum(net), F.lit(0.0)).alias("net_total"),
                 F.coalesce(F.sum(F.abs(net)), F.lit(0.0)).alias("gross_total"),
+                *(build(weight).alias(name) for name, build in (also or {}).items()),
             )
         )
     summed = strikes.groupBy(*keys).agg(

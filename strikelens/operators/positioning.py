@@ -125,12 +125,27 @@ def regime_of(
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
     """The regime of a strike table."""
-    stacked = walls_of(strikes, top_n=top_n, keys=keys).groupBy(*keys, "weight").agg(
-        F.sum(F.when(F.col("option_type") == "C", F.col("value"))).alias("call_wall_total"),
-        F.sum(F.when(F.col("option_type") == "P", F.col("value"))).alias("put_wall_total"),
+    held = [f"{side}_{weight}" for weight in ("oi", "volume") for side in ("call", "put")]
+    ranked = strikes.withColumns(
+        {
+            f"_rank_{c}": F.row_number().over(
+                Window.partitionBy(*keys).orderBy(F.desc_nulls_last(c), "strike")
+            )
+            for c in held
+        }
     )
-    both = gex_totals_of(strikes, keys).join(stacked, [*keys, "weight"], "left").na.fill(
-        0.0, ["call_wall_total", "put_wall_total"]
+
+    def wall(column: str) -> Column:
+        counted = (F.col(f"_rank_{column}") <= top_n) & (F.col(column) > 0)
+        return F.coalesce(F.sum(F.when(counted, F.col(column))), F.lit(0.0))
+
+    both = gex_totals_of(
+        ranked,
+        keys,
+        also={
+            "call_wall_total": lambda weight: wall(f"call_{weight}"),
+            "put_wall_total": lambda weight: wall(f"put_{weight}"),
+        },
     )
     return score_regime(both, threshold=threshold).select(
         *keys, "weight", "score", "label", "call_wall_total", "put_wall_total", "net_gex"

@@ -14,13 +14,13 @@ INSPECTED_TYPES = (
 def latest_rows(metrics: DataFrame, *types: str, symbol: str | None = None) -> DataFrame:
     """All rows at the newest timestamp of each symbol and metric type.
 
-    The newest timestamps are an aggregate joined back, so the metric history is not sorted.
+    The rank limit works inside each task first, so only the newest rows are shuffled.
     """
     scope = metrics.where(F.col("metric_type").isin(*types)) if types else metrics
     if symbol is not None:
         scope = scope.where(F.col("symbol") == symbol.upper())
-    newest = scope.groupBy("symbol", "metric_type").agg(F.max("ts").alias("ts"))
-    return scope.join(newest, ["symbol", "metric_type", "ts"], "left_semi")
+    newest = Window.partitionBy("symbol", "metric_type").orderBy(F.desc("ts"))
+    return scope.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1).drop("_age")
 
 
 def latest_metrics(metrics: DataFrame, types: tuple[str, ...] = INSPECTED_TYPES) -> DataFrame:

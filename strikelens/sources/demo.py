@@ -149,12 +149,6 @@ def market_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> Da
     )
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract per instrument id that occurs; ids divisible by 7 stay unknown."""
-    ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("instrument_id")).distinct()
-    return ids.where(F.col("instrument_id") % 7 != 0).withColumns(contract_columns())
-
-
 def futures_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as futures trades, calendar spreads included."""
     turn = F.col("seq") % 3

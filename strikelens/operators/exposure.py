@@ -65,12 +65,19 @@ def strike_exposures(
 
 
 def gex_curve(
-    chain: DataFrame, *, weight: str = "oi", keys: Sequence[str] = ("symbol",)
+    chain: DataFrame,
+    *,
+    weight: str = "oi",
+    expiry: str = "all",
+    keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Dollar gamma per strike over all expiries: call, put and net.
+    """Dollar gamma per strike over all expiries, or one: call, put and net.
 
     Snapshots without a spot or with no weight at all have no curve.
     """
+    chain = with_spot(chain, keys)
+    if expiry != "all":
+        chain = chain.where(F.col("expiration") == F.lit(expiry).cast("date"))
     return gex_of(strike_exposures(chain, keys=keys), weight=weight, keys=keys)
 
 

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions.columns import CONTRACT, is_call
-from strikelens.operators.scan import last_known, split_hot_keys, without_pieces
+from strikelens.operators.scan import PIECE, last_known, split_hot_keys, without_pieces
 from strikelens.operators.tape import dealer_premium
 
+#: Sweep windows per slice of a tape; larger slices repeat fewer prints at their ends.
+SLICE_WINDOWS = 64
+
 EVENT_COLUMNS = (
     "event_type", "ts", "symbol", "expiration", "strike", "option_type",
     "side", "size", "price", "legs", "venues", "meta",
@@ -114,15 +117,19 @@ def sweeps(
     """Runs of same-side prints of one contract on several venues within a short window.
 
     Prints are first cut into islands: a new one starts when the side changes or the gap
-    to the previous print exceeds the window, so no sweep spans two islands. Inside an
-    island every print is a candidate start whose reach comes from window frames.
-    Candidates are kept greedily, the next sweep starting after the last one ended. A
-    candidate beyond the reach of all earlier ones is always kept, so the fold only ever
-    collects one chain of overlapping candidates.
+    to the previous print exceeds the window, so no sweep spans two islands. Every print
+    is a candidate start whose reach comes from window frames over slices of the island's
+    time; a slice also sees the prints up to one window past its end. Candidates are kept
+    greedily, the next sweep starting after the last one ended. Reaches never shrink along
+    the tape, so a candidate beyond the reach of the one before it is always kept, and the
+    fold only ever collects one chain of overlapping candidates.
     """
-    keys = list(keys)
-    micros = F.unix_micros("ts")
-    clean = split_hot_keys(_clean(trades).withColumn("_us", micros), keys, order)
+    keys, order = list(keys), list(order)
+    window_us = window_ms * 1000
+    clean = split_hot_keys(
+        _clean(trades).withColumn("_us", F.unix_micros("ts")), keys, order
+    )
+    hot = PIECE in clean.columns
     looked = last_known(
         clean,
         {"_prev": F.struct("_us", "side")},
@@ -133,96 +140,87 @@ def sweeps(
     breaks = (
         F.col("_prev").isNull()
         | (F.col("_prev.side") != F.col("side"))
-        | (F.col("_us") - F.col("_prev._us") > window_ms * 1000)
+        | (F.col("_us") - F.col("_prev._us") > window_us)
     )
     islands = without_pieces(
         last_known(looked, {"_island": F.when(breaks, F.struct(*order))}, keys, order)
     ).where(F.col("side") != 0)
 
-    group = [*keys, "_island"]
-    along = Window.partitionBy(*group).orderBy(*order)
-    reach = Window.partitionBy(*group).orderBy("_us").rangeBetween(
-        Window.currentRow, window_ms * 1000
+    length = F.lit(SLICE_WINDOWS * max(window_us, 1))
+    own = F.floor(F.col("_us") / length)
+    seen_from = F.when(F.col("_us") - own * length <= window_us, F.array(own, own - 1)).otherwise(
+        F.array(own)
+    )
+    sliced = islands.withColumn("_slice", F.explode(seen_from)).withColumn(
+        "_own", F.col("_slice") == own
     )
+    slices = Window.partitionBy(*keys, "_island", "_slice")
+    along = slices.orderBy(*order)
+    reach = slices.orderBy("_us").rangeBetween(Window.currentRow, window_us)
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = islands.withColumns(
+    value = F.coalesce(F.col("price") * F.col("size"), F.lit(0.0))
+    start = F.col("_rn")
+    numbered = sliced.withColumns(
         {
             "_rn": F.row_number().over(along),
             "_cum_size": F.sum("size").over(upto),
-            "_cum_value": F.sum(F.coalesce(F.col("price") * F.col("size"), F.lit(0.0))).over(upto),
+            "_cum_value": F.sum(value).over(upto),
         }
-    ).withColumns({"_end": F.max("_rn").over(reach)})
-    # A print with an equal timestamp is inside the frame even when it sorts earlier.
-    start = F.col("_rn")
-    venue_at = F.collect_list(
-        F.when(F.col("exchange").isNotNull(), F.struct("_rn", "exchange"))
-    ).over(reach)
+    )
+    # Prints of an equal timestamp are inside the frame even when they sort earlier, so legs
+    # and venues count from the print's own number.
+    end = F.max(F.struct("_rn", "_cum_size", "_cum_value", F.struct(*order).alias("at")))
+    venue = F.when(F.col("exchange").isNotNull(), F.struct("_rn", "exchange"))
+    reached = numbered.withColumns(
+        {"_end": end.over(reach), "_near": F.collect_list(venue).over(reach)}
+    )
+    legs = F.col("_end._rn") - start + 1
+    later = F.filter("_near", lambda v: v["_rn"] >= start)
+    venues = F.array_sort(F.array_distinct(F.transform(later, lambda v: v["exchange"])))
     candidates = (
-        numbered.withColumns(
-            {
-                "_last": F.max(F.struct("_rn", "_cum_size", "_cum_value")).over(reach),
-                "_near": venue_at,
-                "_legs": F.col("_end") - start + 1,
-            }
-        )
-        .where(F.col("_legs") >= min_legs)
-        .withColumn(
-            "_venues",
-            F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.filter("_near", lambda v: v["_rn"] >= start), lambda v: v["exchange"]
-                    )
-                )
-            ),
-        )
+        reached.where(F.col("_own") & (legs >= min_legs))
+        .withColumn("_venues", venues)
         .where(F.size("_venues") >= min_venues)
     )
-    size = F.col("_last._cum_size") - F.col("_cum_size") + F.col("size")
-    value = (
-        F.col("_last._cum_value")
-        - F.col("_cum_value")
-        + F.coalesce(F.col("price") * F.col("size"), F.lit(0.0))
-    )
+    size = F.col("_end._cum_size") - F.col("_cum_size") + F.col("size")
+    paid = F.col("_end._cum_value") - F.col("_cum_value") + value
     hits = candidates.select(
         *keys,
-        "_island",
-        "side",
+        *order,
         F.struct(
-            F.col("_rn").alias("at"),
-            F.col("_end").alias("upto"),
+            F.struct(*order).alias("at"),
+            F.col("_end.at").alias("upto"),
             F.col("ts"),
+            F.col("side"),
             size.alias("size"),
-            F.when(size > 0, value / F.nullif(size, F.lit(0))).alias("price"),
-            F.col("_legs").cast("int").alias("legs"),
+            F.when(size > 0, paid / F.nullif(size, F.lit(0))).alias("price"),
+            legs.cast("int").alias("legs"),
             F.col("_venues").alias("venues"),
         ).alias("_hit"),
     )
-    earlier = Window.partitionBy(*group).orderBy("_hit.at")
-    reached = F.max("_hit.upto").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    free = F.col("_hit.at") > F.coalesce(reached, F.lit(0))
-    chained = hits.withColumn("_free", free.cast("int")).withColumn(
-        "_chain", F.sum("_free").over(earlier.rowsBetween(Window.unboundedPreceding, 0))
+    if hot:
+        hits = split_hot_keys(hits, keys, order)
+    followed = last_known(
+        hits, {"_before": F.col("_hit.upto")}, keys, order, include_current=False
     )
-    listed = chained.groupBy(*group, "_chain", "side").agg(
+    free = F.col("_before").isNull() | (F.col("_hit.at") > F.col("_before"))
+    chained = last_known(followed, {"_chain": F.when(free, F.col("_hit.at"))}, keys, order)
+    listed = without_pieces(chained).groupBy(*keys, "_chain").agg(
         F.array_sort(F.collect_list("_hit")).alias("_hits")
     )
-    empty = F.filter("_hits", lambda h: F.lit(False))
-    kept = F.aggregate(
-        "_hits",
-        empty,
-        lambda acc, h: F.when(
-            h["at"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["upto"], F.lit(0)),
-            F.concat(acc, F.array(h)),
-        ).otherwise(acc),
-    )
-    found = listed.select(*keys, "side", F.explode(kept).alias("_hit"))
+
+    def keep(taken: Column, hit: Column) -> Column:
+        last = F.try_element_at(taken, F.lit(-1))["upto"]
+        return F.when(last.isNull() | (hit["at"] > last), F.concat(taken, F.array(hit))).otherwise(taken)
+
+    kept = F.aggregate("_hits", F.filter("_hits", lambda h: F.lit(False)), keep)
+    found = listed.select(*keys, F.explode(kept).alias("_hit"))
     return found.select(
         *_event(
             "SWEEP",
             F.struct(F.lit(window_ms).alias("window_ms")),
             ts=F.col("_hit.ts"),
-            side=F.col("side"),
+            side=F.col("_hit.side"),
             size=F.col("_hit.size"),
             price=F.col("_hit.price"),
             legs=F.col("_hit.legs"),

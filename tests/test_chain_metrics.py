@@ -62,6 +62,14 @@ def test_gex_without_spot_is_empty(spark):
     assert exposure.gex_curve(book).count() == 0
 
 
+def test_gex_of_one_expiry(spark):
+    book = chain(
+        spark, leg(100, "C", oi=10, gamma=0.05), leg(100, "C", oi=30, gamma=0.05, expiration=TODAY)
+    )
+    one = exposure.gex_curve(book, expiry=str(TODAY)).first().net_gex
+    assert one == pytest.approx(0.75 * exposure.gex_curve(book).first().net_gex)
+
+
 def test_zero_gamma_lies_between_the_books_and_ignores_scale(spark):
     def level(scale):
         legs = [leg(80, "P", iv=0.18, volume=10_000 * scale) for _ in range(5)]

@@ -73,3 +73,26 @@ def test_hot_key_is_cut_into_balanced_pieces(spark, hot_keys):
     wrong = "instrument_id = 0 AND NOT (last_x <=> CAST(21 * floor(seq / 21) AS DOUBLE))"
     assert known.where(wrong).count() == 0
     assert total.where("instrument_id = 0 AND n <> seq / 3 + 1").count() == 0
+
+
+def test_dense_one_sided_tape_sweeps_like_the_walk(spark, hot_keys):
+    """One contract, one side, no gap above the window: a single island and a single chain."""
+    step_us, window_us, n = 20_000, 100_000, 1500
+    tape_rows = spark.range(n).select(
+        F.lit("SPXW").alias("symbol"),
+        F.lit("2024-01-05").cast("date").alias("expiration"),
+        F.lit(5800.0).alias("strike"),
+        F.lit("C").alias("option_type"),
+        F.timestamp_micros(F.col("id") * step_us).alias("ts"),
+        F.col("id").alias("seq"),
+        F.lit(1).alias("side"),
+        (F.col("id") + 1).alias("size"),
+        F.lit(2.0).alias("price"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("exchange"),
+    )
+    found = flow.sweeps(tape_rows).orderBy("ts").collect()
+    legs = window_us // step_us + 1
+    assert [r["size"] for r in found] == [
+        sum(range(i + 1, i + legs + 1)) for i in range(0, n, legs)
+    ]
+    assert {r.price for r in found} == {2.0}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikelens.operators import flow, tape
+from strikelens.plans.pipeline import run_flow_pipeline
 from strikelens.schemas import TABLES, to_storage
 from strikelens.sources import demo, sinks, tables
 from strikelens.streaming import stateful, windows
@@ -167,3 +168,38 @@ def test_alert_stream_remembers_previous_payload_and_cooldown(spark, tmp_path):
             evaluate(batch, batch_id)
     found = sorted((r.rule_id, (r.ts - START).seconds // 60) for r in spark.read.parquet(events_path).collect())
     assert found == [("high", 1), ("high", 3), ("up", 1)]
+
+
+def test_trade_stream_equals_the_batch(spark, sf_dir, rows, split_records):
+    records = demo.market_records(spark, sf_dir)
+    quotes = records.where("kind = 'quote'").select("instrument_id", "ts", "seq", "bid", "ask")
+    prints = records.where("kind = 'trade'").select("instrument_id", "ts", "seq", "price", "size")
+    batch = tape.trade_tape(tape.quote_at_trade(prints, quotes))
+    streamed = drain(stateful.option_trades(split_records(records, "market")))
+    names = ["instrument_id", "seq", "price", "bid", "ask", "side", "signed_premium"]
+    assert rows(streamed.select(*names)) == rows(batch.select(*names))
+
+
+def test_sliding_volume_stream(spark, sf_dir, rows, split_records):
+    trades = demo.options_trades(spark, sf_dir)
+    found = drain(
+        windows.unusual_volume(split_records(trades, "sliding"), span="2 days", every="1 day", min_volume=300)
+    )
+    contract = ["symbol", "expiration", "strike", "option_type"]
+    batch = trades.groupBy(*contract, F.window("ts", "2 days", "1 day")).agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("legs")
+    ).select(*contract, F.col("window.end").alias("window_end"), "size", "legs")
+    closed = batch.where("size >= 300 AND window_end <= '2024-01-30'")
+    streamed = found.where("window_end <= '2024-01-30'").drop("ts")
+    assert rows(streamed) == rows(closed) and closed.count() > 0
+
+
+def test_flow_pipeline_covers_the_last_hour(spark, sf_dir):
+    events, metrics = run_flow_pipeline(
+        demo.options_trades(spark, sf_dir), demo.futures_ticks(spark, sf_dir),
+        demo.options_chain(spark, sf_dir), as_of="2024-01-10 12:00:00", window="2 days", block_min_size=90,
+    )
+    assert events.where("ts <= '2024-01-08 12:00:00' OR ts > '2024-01-10 12:00:00'").count() == 0
+    kinds = {r.metric_type for r in metrics.select("metric_type").distinct().collect()}
+    assert kinds == {"HIRO", "BASIS_SPX_ES", "VOLUME_PROFILE_ES"}
+    assert events.where("event_type = 'BLOCK'").count() > 0

@@ -39,7 +39,9 @@ LEG = "symbol, expiration, strike, option_type"
 CTES: dict[str, str] = {}
 
 CTES["raw_chain"] = f"""
-SELECT l_shipdate AS ts, {SYMBOL.format('l_suppkey')} AS symbol,
+SELECT l_shipdate + to_microseconds((l_orderkey*1000003 + l_partkey*10007 + l_suppkey*101
+         + CAST(round(l_extendedprice*100) AS BIGINT)*7919) % 86400000000) AS ts,
+       {SYMBOL.format('l_suppkey')} AS symbol,
        {AS_OF} + CAST(7*(l_linenumber-1) AS INTEGER) AS expiration,
        CAST(900 + 5*(l_partkey % 21) AS DOUBLE) AS strike,
        CASE WHEN l_linestatus='O' THEN 'C' ELSE 'P' END AS option_type,
@@ -57,7 +59,7 @@ FROM (SELECT *, greatest(0.0, CASE WHEN {CALL} THEN underlying_price - strike
                               ELSE strike - underlying_price END) + 2.0 + l_tax*100 AS last_price
       FROM raw_chain)"""
 
-TIES = "ts DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC"
+TIES = "ts DESC"
 
 CTES["snap"] = f"""
 SELECT * FROM chain
@@ -581,8 +583,7 @@ CTES["merged"] = f"""
 SELECT {LEG}, max(ts) AS ts, arg_max(oi, z) FILTER (oi IS NOT NULL) AS oi,
        arg_max(iv, z) FILTER (iv IS NOT NULL) AS iv, arg_max(bid, z) FILTER (bid IS NOT NULL) AS bid,
        arg_max(volume, z) AS volume
-FROM (SELECT *, {{'t': ts, 'a': l_orderkey, 'b': l_partkey, 'c': l_suppkey, 'd': l_extendedprice,
-                 'e': l_quantity}} AS z FROM chain)
+FROM (SELECT *, ts AS z FROM chain)
 GROUP BY {LEG}"""
 
 RECURSIVE = {"bisect", "walk", "grow"}

@@ -69,7 +69,7 @@ def register(name: str, columns: str, source: str | None = None, where: str = ""
 
 def _snapshot(spark, sf) -> DataFrame:
     chain = demo.options_chain(spark, sf)
-    return latest_snapshot(chain, as_of=AS_OF, lookback=None, tiebreak=demo.CHAIN_TIES)
+    return latest_snapshot(chain, as_of=AS_OF, lookback=None)
 
 def _filled(spark, sf) -> DataFrame:
     return fill_open_interest(_snapshot(spark, sf), demo.eod_open_interest(spark, sf))
@@ -79,7 +79,7 @@ def _chain(spark, sf) -> DataFrame:
 
 def _history(spark, sf) -> DataFrame:
     chain = demo.options_chain(spark, sf)
-    series = snapshot_series(chain, every=HISTORY_STEP, tiebreak=demo.CHAIN_TIES)
+    series = snapshot_series(chain, every=HISTORY_STEP)
     series = fill_open_interest(series, demo.eod_open_interest(spark, sf))
     return with_spot(vol.fill_greeks(series, as_of=F.col("snapshot_ts")), HISTORY)
 
@@ -107,7 +107,7 @@ def latest(spark, sf):
 @register("snapshot_series", f"snapshot_ts:t {LEG} ts:t oi:n volume iv:6", "hist")
 def series(spark, sf):
     chain = demo.options_chain(spark, sf)
-    return snapshot_series(chain, every=HISTORY_STEP, tiebreak=demo.CHAIN_TIES)
+    return snapshot_series(chain, every=HISTORY_STEP)
 
 @register("eod_oi_fill", f"{LEG} oi", "filled")
 def eod_fill(spark, sf):
@@ -596,7 +596,7 @@ def eod_oi_upsert(spark, sf):
 @register("merge_dedupe", f"{LEG} ts:t oi:n iv:6 bid:6 volume", "merged")
 def merge_dedupe(spark, sf):
     chain = demo.options_chain(spark, sf)
-    return sinks.merge_rows(chain, ["symbol", "expiration", "strike", "option_type"], ["ts", "source"])
+    return sinks.merge_rows(chain, ["symbol", "expiration", "strike", "option_type"], ["ts"])
 
 
 @register("retention", f"{LEG} ts:t volume", "young")

@@ -25,9 +25,18 @@ FUTURES_ROOT = {"SPXW": "ES", "SPX": "ES", "NDXP": "NQ", "NDX": "NQ"}
 
 
 def _newest(chain: DataFrame, group: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
+    """Newest row per group.
+
+    A contract has one row per timestamp in the stored chain. Then each column is taken at
+    the newest time by itself: the buffers have a fixed width, so the aggregate hashes and
+    never sorts the raw rows. With a tie-break whole rows are compared, which sorts them.
+    """
     rest = [c for c in chain.columns if c not in group]
-    newest = F.max_by(F.struct(*rest), F.struct("ts", *tiebreak)).alias("_row")
-    return chain.groupBy(*group).agg(newest).select(*group, "_row.*")
+    if tiebreak:
+        newest = F.max_by(F.struct(*rest), F.struct("ts", *tiebreak)).alias("_row")
+        return chain.groupBy(*group).agg(newest).select(*group, "_row.*")
+    columns = [F.max("ts").alias("ts") if c == "ts" else F.max_by(c, "ts").alias(c) for c in rest]
+    return chain.groupBy(*group).agg(*columns)
 
 
 def latest_snapshot(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SYMBOLS = ("SPXW", "NDXP", "RUTW")
 AS_OF = "2002-01-01"
 TAPE_EXPIRY = "2024-02-02"
-CHAIN_TIES = ("source",)
+DAY_MICROS = 86_400_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def label(number: Column, labels: tuple[str, ...] = SYMBOLS) -> Column:
 
 
 def options_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as one chain row. ``source`` breaks ties between equal timestamps."""
+    """Every line item as one chain row, at a time of its day that its columns determine."""
     line = table(spark, sf_dir, "lineitem")
     call = F.col("l_linestatus") == "O"
     strike = (F.lit(900) + F.col("l_partkey") % 21 * 5).cast("double")
@@ -31,8 +31,14 @@ def options_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     intrinsic = F.greatest(F.lit(0.0), F.when(call, spot - strike).otherwise(strike - spot))
     last = intrinsic + 2.0 + F.col("l_tax") * 100
     expiration = F.date_add(F.lit(AS_OF).cast("date"), (F.col("l_linenumber") - 1) * 7)
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    spread = (
+        F.col("l_orderkey") * 1_000_003 + F.col("l_partkey") * 10_007 + F.col("l_suppkey") * 101
+        + cents * 7_919
+    )
+    micros = F.unix_micros(F.col("l_shipdate").cast("timestamp")) + spread % DAY_MICROS
     return line.select(
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.timestamp_micros(micros).alias("ts"),
         label(F.col("l_suppkey")).alias("symbol"),
         expiration.alias("expiration"),
         strike.alias("strike"),
@@ -44,9 +50,6 @@ def options_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") > 5, last - 0.5).alias("bid"),
         F.when(F.col("l_quantity") > 5, last + 0.5).alias("ask"),
         spot.alias("underlying_price"),
-        F.struct(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("source"),
     )
 
 

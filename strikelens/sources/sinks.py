@@ -14,7 +14,8 @@ from strikelens.schemas import TABLES, to_storage
 
 def merge_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key with the newest non-null value of each column."""
-    position = F.struct(*order)
+    # One order column keeps the aggregate's buffers at a fixed width, so it hashes.
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     values = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(
         *(

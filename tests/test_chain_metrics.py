@@ -276,7 +276,7 @@ EXPECTED_TYPES = {
 def test_pipeline_writes_every_metric_type(spark, sf_dir):
     metrics = run_chain_pipeline(
         demo.options_chain(spark, sf_dir), demo.eod_open_interest(spark, sf_dir),
-        as_of=demo.AS_OF, lookback=None, tiebreak=demo.CHAIN_TIES,
+        as_of=demo.AS_OF, lookback=None,
     )
     assert {r.metric_type for r in metrics.select("metric_type").distinct().collect()} == EXPECTED_TYPES
 

@@ -134,7 +134,7 @@ def near_duplicates(df: DataFrame, radius: int = 2, shingle: int = 3, seed: int
     )
 
 
-def first_of_each(df: DataFrame, radius: int = 2, shingle: int = 5, seed: int = 42) -> DataFrame:
+def first_of_each(df: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``df`` with one document of each component, that of the smallest ``doc_id``; same columns.
 
     Of rows that share this ``doc_id`` one stays. Rows without ``doc_id`` all stay: there is no

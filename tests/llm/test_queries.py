@@ -66,7 +66,7 @@ def test_pipeline_equals_plain_version(spark, sf_dir):
     want = []
     for i in passes:
         [starts] = sampler.lattices.starts([texts[i]])
-        want.append((i, sampler.sample(starts, 1, sampling.row_key(i, 0))[0][0].tolist()))
+        want.append((i, sampler.samples([starts], 1, [sampling.row_key(i, 0)])[0][0][0].tolist()))
     found = [(r.doc_id, r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()]
     assert sorted(found) == sorted(want)
 

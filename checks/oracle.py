@@ -311,11 +311,28 @@ SELECT f.symbol, f.expiration, f.strike, f.option_type,
        coalesce((b.lo + b.hi)/2, f.iv) AS iv, b.lo IS NOT NULL AS solved
 FROM filled f LEFT JOIN (SELECT * FROM bisect WHERE step = 30) b USING ({LEG})"""
 
-# History: one snapshot per 90 days.
-CTES["hist"] = f"""
-SELECT *, time_bucket(INTERVAL 90 DAYS, ts, TIMESTAMP '1970-01-01') + INTERVAL 90 DAYS AS snapshot_ts
-FROM chain
-QUALIFY row_number() OVER (PARTITION BY snapshot_ts, {LEG} ORDER BY {TIES}) = 1"""
+# History: at each grid time the newest row of each contract that is young enough.
+
+
+def series(every: str, lookback: str) -> str:
+    bucket = (
+        f"time_bucket(INTERVAL {every}, {{}} - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01')"
+        f" + INTERVAL {every}"
+    )
+    return f"""
+SELECT c.*, g.snapshot_ts
+FROM (SELECT symbol, expiration, strike, option_type, snapshot_ts
+      FROM (SELECT DISTINCT {LEG} FROM chain) JOIN
+           (SELECT symbol, unnest(generate_series({bucket.format('min(ts)')}, {bucket.format('max(ts)')},
+                   INTERVAL {every})) AS snapshot_ts FROM chain GROUP BY symbol) USING (symbol)) g
+ASOF JOIN chain c ON g.symbol = c.symbol AND g.expiration = c.expiration AND g.strike = c.strike
+  AND g.option_type = c.option_type AND g.snapshot_ts >= c.ts
+WHERE c.ts > g.snapshot_ts - INTERVAL {lookback}"""
+
+
+CTES["daily"] = series("1 DAY", "2 DAYS")
+CTES["hist"] = series("30 DAYS", "60 DAYS")
+CTES["live"] = "SELECT * FROM snap WHERE ts > TIMESTAMP '2002-01-01 00:00:00' - INTERVAL 400 DAYS"
 CTES["hist_filled"] = filled("hist")
 HTAU = "(greatest(1, datediff('day', CAST(snapshot_ts AS DATE), expiration))/365.0)"
 CTES["hist_g"] = f"""
@@ -362,6 +379,12 @@ SELECT instrument_id, ts, seq, value AS price, k AS size FROM ev WHERE event_typ
 CTES["quoted"] = """
 SELECT t.*, q.bid, q.ask FROM prints t ASOF LEFT JOIN quotes q
 ON t.instrument_id = q.instrument_id AND t.ts >= q.ts"""
+#: Hours as times make many ties; the sequence decides.
+CTES["quoted_ties"] = """
+SELECT t.instrument_id, date_trunc('hour', t.ts) AS ts, t.seq, t.price, t.size, q.bid, q.ask
+FROM (SELECT *, epoch_ms(date_trunc('hour', ts))//3600000*1000000000 + seq AS place FROM prints) t
+ASOF LEFT JOIN (SELECT *, epoch_ms(date_trunc('hour', ts))//3600000*1000000000 + seq AS place FROM quotes) q
+ON t.instrument_id = q.instrument_id AND t.place >= q.place"""
 CTES["sided"] = """
 SELECT *, CASE WHEN side <> 0 THEN -side*size*price*100 END AS signed_premium FROM
  (SELECT *, CASE WHEN bid>0 AND ask>0 THEN sign(price - (bid+ask)/2) END AS side FROM quoted)"""
@@ -545,14 +568,21 @@ SELECT *, CASE WHEN lag_seconds < 120 THEN 'ok' WHEN lag_seconds < 600 THEN 'war
 FROM (SELECT name, rows, latest_ts, greatest(0, epoch({NOW}) - epoch(latest_ts)) AS lag_seconds FROM
  (SELECT 'options_chain' AS name, count(*) AS rows, max(ts) AS latest_ts FROM chain
   UNION ALL SELECT 'options_trades', count(*), max(ts) FROM trades
-  UNION ALL SELECT 'futures_ticks', count(*), max(ts) FROM ticks))"""
+  UNION ALL SELECT 'futures_ticks', count(*), max(ts) FROM ticks
+  UNION ALL SELECT 'eod_open_interest', (SELECT count(*) FROM eod),
+    (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_returnflag='A')
+  UNION ALL SELECT 'computed_metrics', count(*), CASE WHEN count(*) > 0 THEN {NOW} END FROM metrics
+  UNION ALL SELECT 'flow_events', count(*), max(ts) FROM all_events
+  UNION ALL SELECT 'liquidity_snapshots', count(*), max(ts) FROM raw_books
+  UNION ALL SELECT 'alert_events', count(*), max(snapshot_ts) FROM fired))"""
 
 
 def quality(now: str, window: str) -> str:
     fields = ("bid", "ask", "last_price", "iv", "oi", "volume", "underlying_price")
     pct = ", ".join(f"round(100.0*count({f})/count(*), 1) AS {f}" for f in fields)
+    pct += ", round(100.0*count(iv)/count(*), 1) AS gamma, round(100.0*count(iv)/count(*), 1) AS delta"
     return f"""
-SELECT symbol, count(*) AS rows_last_hour, max(ts) AS latest_ts, {pct}, 0.0::DOUBLE AS gamma
+SELECT symbol, count(*) AS rows_last_hour, max(ts) AS latest_ts, {pct}
 FROM (SELECT *, count(*) FILTER (ts > {now} - INTERVAL {window}) OVER (PARTITION BY symbol) AS recent FROM chain)
 WHERE recent = 0 OR ts > {now} - INTERVAL {window} GROUP BY symbol"""
 
@@ -598,7 +628,7 @@ def _needed(name: str, seen: list[str]) -> None:
     seen.append(name)
 
 
-def select(columns: str, source: str, where: str = "", tail: str = "") -> str:
+def select(columns: str, source: str, where: str = "", tail: str = "", needs: str = "") -> str:
     """SQL for ``name[:kind]`` columns: d date, t timestamp, n nullable number, digits to round."""
     out = []
     for spec in columns.split():
@@ -614,7 +644,7 @@ def select(columns: str, source: str, where: str = "", tail: str = "") -> str:
         else:
             out.append(name)
     names: list[str] = []
-    _needed(source, names)
+    _needed(needs or source, names)
     word = "WITH RECURSIVE" if RECURSIVE & set(names) else "WITH"
     parts = ", ".join(f"{n} AS ({CTES[n]})" for n in names)
     cond = f" WHERE {where}" if where else ""
@@ -634,7 +664,11 @@ CTES["priced"] = f"""
 SELECT *, underlying_price*{PDF.format('dd')}*sqrt(tau) AS bs_vega,
        underlying_price*{ncdf('dd')} - strike*exp(-{R}*tau)*{ncdf('(dd - iv*sqrt(tau))')}
        - CASE WHEN {CALL} THEN 0 ELSE underlying_price - strike*exp(-{R}*tau) END AS bs_price
-FROM greeks WHERE iv IS NOT NULL"""
+FROM greeks WHERE iv IS NOT NULL
+UNION ALL BY NAME
+SELECT *, NULL AS bs_vega, greatest(0.0, CASE WHEN {CALL} THEN underlying_price - strike
+                           ELSE strike - underlying_price END) AS bs_price
+FROM greeks WHERE iv IS NULL"""
 CTES["looked_up"] = "SELECT * FROM records JOIN registry USING (instrument_id)"
 CTES["misses"] = """
 SELECT kind, count(*) AS unmatched FROM records
@@ -759,3 +793,60 @@ HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <=
 CTES["closed_sweeps"] = """
 SELECT * FROM sweep_events WHERE ts + INTERVAL 24 HOURS <
   (SELECT date_trunc('milliseconds', max(ts)) FROM trades) - INTERVAL 2 SECONDS"""
+
+
+# Stored tables.
+CTES["scanned_chain"] = """
+SELECT * FROM chain WHERE ts >= TIMESTAMP '1996-03-01' AND ts <= TIMESTAMP '1996-03-20 12:00:00' AND symbol IN ('SPXW', 'RUTW')"""
+CTES["scanned_trades"] = """
+SELECT * FROM trades WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND symbol = 'NDXP'"""
+CTES["outrights"] = """
+SELECT * FROM rooted WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND symbol NOT LIKE '%-%'"""
+CTES["left_days"] = """
+SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM trades
+WHERE CAST(ts AS DATE) >= DATE '2024-01-25' - INTERVAL 14 DAYS GROUP BY ALL"""
+#: The chain with months as times, written in two batches: many rows share a stored key.
+_NEWEST = ", ".join(
+    f"arg_max({c}, place) FILTER ({c} IS NOT NULL) AS {c}" for c in ("oi", "volume", "iv", "bid", "last_price")
+)
+CTES["sunk"] = f"""
+SELECT month AS ts, {LEG}, {_NEWEST}
+FROM (SELECT *, date_trunc('month', ts) AS month, (volume % 2)*10000000000000000 + epoch_us(ts) AS place FROM chain)
+GROUP BY month, {LEG}"""
+_PRINT_ID = (
+    "sha256(concat_ws('|', 'BLOCK', symbol, CAST(expiration AS VARCHAR), CAST(strike AS VARCHAR), option_type, "
+    "epoch_us(hour), seq, exchange, CAST(round(price*1000000) AS BIGINT), side, size))"
+)
+CTES["stored_events"] = f"""
+SELECT {_PRINT_ID} AS event_id, hour AS ts, {LEG}, side, size, price
+FROM (SELECT *, date_trunc('hour', ts) AS hour FROM trades) WHERE size >= 90"""
+CTES["streamed_tape"] = "SELECT * FROM sided"
+CTES["slid"] = f"""
+SELECT {LEG}, w AS window_end, CAST(sum(size) AS BIGINT) AS size, count(*) AS legs
+FROM (SELECT *, unnest([date_trunc('day', ts) + INTERVAL 1 DAY, date_trunc('day', ts) + INTERVAL 2 DAYS]) AS w FROM trades)
+GROUP BY ALL HAVING sum(size) >= 300"""
+CTES["slid_closed"] = """
+SELECT * FROM slid WHERE window_end <= (SELECT max(ts) FROM trades) - INTERVAL 2 MINUTES"""
+
+
+def with_solved_vol(name: str) -> str:
+    """A copy of a piece, and of all below it down to the filled snapshot, on solved vols."""
+    needed: list[str] = []
+    _needed(name, needed)
+    above: list[str] = []
+    for piece in needed:  # in the order of their use
+        text = CTES[piece]
+        if piece == "filled" or any(re.search(rf"\b{p}\b", text) for p in above):
+            above.append(piece)
+    for piece in above:
+        if piece == "filled":
+            CTES["filled_f7"] = f"SELECT f.* REPLACE (s.iv AS iv) FROM filled f JOIN solved s USING ({LEG})"
+            continue
+        text = CTES[piece]
+        for other in sorted(above, key=len, reverse=True):
+            text = re.sub(rf"\b{other}\b(?!_f7)", f"{other}_f7", text)
+        CTES[f"{piece}_f7"] = text
+    return f"{name}_f7"
+
+
+PIPELINE_METRICS = with_solved_vol("metrics")

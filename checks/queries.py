@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -24,13 +25,14 @@ from strikelens.operators.snapshot import (
 )
 from strikelens.plans import metrics as metric_plans
 from strikelens.plans import serving
-from strikelens.sources import demo, records, sinks
+from strikelens.plans.pipeline import run_chain_pipeline
+from strikelens.sources import demo, records, sinks, tables
 from strikelens.streaming import stateful, windows
-from strikelens.streaming.runner import drain
+from strikelens.streaming.runner import drain, shared_folder
 
 AS_OF = demo.AS_OF
 HISTORY = ("snapshot_ts", "symbol")
-HISTORY_STEP = "90 days"
+HISTORY_STEP, HISTORY_LOOKBACK = "30 days", "60 days"
 
 DAY_MS = 86_400_000
 
@@ -80,7 +82,7 @@ def _chain(spark, sf) -> DataFrame:
 
 def _history(spark, sf) -> DataFrame:
     chain = demo.options_chain(spark, sf)
-    series = snapshot_series(chain, every=HISTORY_STEP)
+    series = snapshot_series(chain, every=HISTORY_STEP, lookback=HISTORY_LOOKBACK)
     series = fill_open_interest(series, demo.eod_open_interest(spark, sf))
     return with_spot(vol.fill_greeks(series, as_of=F.col("snapshot_ts")), HISTORY)
 
@@ -100,15 +102,24 @@ def _history_metrics(spark, sf) -> DataFrame:
 # Snapshots.
 
 LEG = "symbol expiration:d strike option_type"
+STORED_LEG = LEG.replace("strike", "strike:2")  # a decimal at rest
 
 @register("latest_snapshot", f"{LEG} ts:t oi:n volume iv:6 bid:6 ask:6 last_price:6 underlying_price", "snap")
 def latest(spark, sf):
     return _snapshot(spark, sf)
 
-@register("snapshot_series", f"snapshot_ts:t {LEG} ts:t oi:n volume iv:6", "hist")
+@register("latest_snapshot_recent", f"{LEG} ts:t oi:n volume iv:6", "live")
+def latest_recent(spark, sf):
+    return latest_snapshot(demo.options_chain(spark, sf), as_of=AS_OF, lookback="400 days")
+
+@register("snapshot_series", f"snapshot_ts:t {LEG} ts:t oi:n volume iv:6", "daily")
 def series(spark, sf):
+    return snapshot_series(demo.options_chain(spark, sf), every="1 day")
+
+@register("snapshot_series_monthly", f"snapshot_ts:t {LEG} ts:t oi:n volume iv:6", "hist")
+def series_monthly(spark, sf):
     chain = demo.options_chain(spark, sf)
-    return snapshot_series(chain, every=HISTORY_STEP)
+    return snapshot_series(chain, every=HISTORY_STEP, lookback=HISTORY_LOOKBACK)
 
 @register("eod_oi_fill", f"{LEG} oi", "filled")
 def eod_fill(spark, sf):
@@ -261,9 +272,9 @@ def moves(spark, sf):
 def iv_fill(spark, sf):
     return vol.fill_iv(_filled(spark, sf), as_of=AS_OF)
 
-@register("option_price", f"{LEG} bs_price:6 bs_vega:6", "priced")
+@register("option_price", f"{LEG} iv:6 bs_price:6 bs_vega:6", "priced")
 def option_price(spark, sf):
-    chain = _filled(spark, sf).where(F.col("iv").isNotNull()).withColumn("tau", year_fraction(AS_OF))
+    chain = _filled(spark, sf).withColumn("tau", year_fraction(AS_OF))
     valued = greeks.with_price(
         chain, spot="underlying_price", strike="strike", tau="tau", sigma="iv", r=0.05, call=is_call()
     )
@@ -288,6 +299,11 @@ def quote_at_trade(spark, sf):
     quotes, prints = _quotes_and_prints(spark, sf)
     return tape.quote_at_trade(prints, quotes)
 
+@register("quote_at_trade_ties", "instrument_id ts:t seq price size bid:6 ask:6", "quoted_ties")
+def quote_at_trade_ties(spark, sf):
+    quotes, prints = (df.withColumn("ts", F.date_trunc("hour", "ts")) for df in _quotes_and_prints(spark, sf))
+    return tape.quote_at_trade(prints, quotes)
+
 @register("trade_tape", "instrument_id ts:t seq side:n signed_premium:2", "sided")
 def trade_tape(spark, sf):
     return tape.trade_tape(quote_at_trade(spark, sf))
@@ -396,6 +412,22 @@ METRIC = "symbol metric_type strike expiration:d value:4"
 def metrics_long(spark, sf):
     return _metrics(spark, sf)
 
+@register("chain_pipeline", "symbol metric_type strike expiration:d shown", None)
+def chain_pipeline(spark, sf):
+    """Snapshot, open interest, spot, solved vols and greeks, then every chain metric."""
+    rows = run_chain_pipeline(
+        demo.options_chain(spark, sf), demo.eod_open_interest(spark, sf), as_of=AS_OF, lookback=None
+    )
+    # A little off the value, so that no exact half meets two rules of rounding.
+    value = F.col("value").cast("double") * 1.0000003 + 0.0
+    return rows.withColumn("shown", F.when(value.isNotNull(), F.format_string("%.4e", value)))
+
+ORACLE["chain_pipeline"] = oracle.select(
+    "symbol metric_type strike expiration:d shown",
+    f"(SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.4e', value*1.0000003::DOUBLE + 0.0) END AS shown FROM {oracle.PIPELINE_METRICS})",
+    needs=oracle.PIPELINE_METRICS,
+)
+
 @register("flow_metrics", "symbol metric_type value:2", "flow_metric_rows")
 def flow_metrics(spark, sf):
     return metric_plans.flow_metrics(
@@ -484,15 +516,21 @@ def table_freshness(spark, sf):
         "options_chain": (demo.options_chain(spark, sf), "ts"),
         "options_trades": (demo.options_trades(spark, sf), "ts"),
         "futures_ticks": (demo.futures_ticks(spark, sf), "ts"),
+        "eod_open_interest": (demo.eod_open_interest(spark, sf), "oi_date"),
+        "computed_metrics": (_metrics(spark, sf), "ts"),
+        "flow_events": (flow_events(spark, sf), "ts"),
+        "liquidity_snapshots": (records.books(demo.book_records(spark, sf)), "ts"),
+        "alert_events": (_fired(spark, sf), "snapshot_ts"),
     }
     return quality.table_freshness(tables, now=AS_OF)
 
-QUALITY = "symbol rows_last_hour latest_ts:t bid:1 ask:1 last_price:1 iv:1 oi:1 volume:1 underlying_price:1"
+QUALITY = (
+    "symbol rows_last_hour latest_ts:t bid:1 ask:1 last_price:1 iv:1 delta:1 gamma:1 oi:1 volume:1 "
+    "underlying_price:1"
+)
 
 def _quality(spark, sf, now, window):
-    chain = demo.options_chain(spark, sf).withColumns(
-        {"gamma": F.lit(None).cast("double"), "delta": F.lit(None).cast("double")}
-    )
+    chain = vol.fill_greeks(demo.options_chain(spark, sf), as_of=AS_OF)
     return quality.chain_quality(chain, now=now, window=window)
 
 @register("chain_quality", QUALITY, "quality_all")
@@ -634,3 +672,102 @@ def stream_books(spark, sf):
 def stream_sweeps(spark, sf):
     trades = demo.options_trades(spark, sf, stream=True)
     return drain(stateful.sweeps(trades, window_ms=DAY_MS, min_legs=2))
+
+
+# Stored tables: what the sinks write is read back by the scans.
+
+
+def _stored(spark, df, table, **options):
+    path = shared_folder(spark)
+    tables.write_table(df, path, table, **options)
+    return path
+
+
+@register("scan_chain", f"ts:t {LEG} oi:n bid:6", "scanned_chain")
+def scan_chain(spark, sf):
+    path = _stored(spark, demo.options_chain(spark, sf), "options_chain")
+    columns = ["ts", "symbol", "expiration", "strike", "option_type", "oi", "bid"]
+    return tables.read_table(
+        spark, path, "options_chain", start="1996-03-01 00:00:00", end="1996-03-20 12:00:00",
+        symbols=["spxw", "RUTW"], columns=columns,
+    )
+
+
+@register("scan_trades", f"ts:t {LEG} seq price:6 size side:n", "scanned_trades")
+def scan_trades(spark, sf):
+    path = _stored(spark, demo.options_trades(spark, sf), "options_trades")
+    return tables.read_table(
+        spark, path, "options_trades", start="2024-01-05 00:00:00", end="2024-01-20 12:00:00", symbols=["NDXP"]
+    )
+
+
+@register("scan_futures", "symbol_root ts:t symbol seq price:6 size", "outrights")
+def scan_futures(spark, sf):
+    return profile.futures_tape(
+        demo.futures_ticks(spark, sf), start="2024-01-05 00:00:00", end="2024-01-20 00:00:00", outrights_only=True
+    )
+
+
+@register("retention_drop", "day:d rows", "left_days")
+def retention_drop(spark, sf):
+    path = _stored(spark, demo.options_trades(spark, sf), "options_trades")
+    sinks.drop_expired(spark, path, "options_trades", as_of=dt.date(2024, 1, 25))
+    return spark.read.parquet(path).groupBy(F.col("dt").alias("day")).agg(F.count("*").alias("rows"))
+
+
+@register("sink_round_trip", f"ts:t {STORED_LEG} oi:n volume iv:6 bid:6 last_price:6", "sunk")
+def sink_round_trip(spark, sf):
+    """Rows of one key within a batch and across two; one batch runs twice."""
+    chain = demo.options_chain(spark, sf).withColumns(
+        {"arrival": F.unix_micros("ts"), "ts": F.date_trunc("month", "ts")}
+    )
+    path = shared_folder(spark)
+    write = sinks.batch_sink(path, "options_chain", order=["arrival"])
+    for batch in (0, 1, 1):
+        write(chain.where(F.col("volume") % 2 == batch), batch)
+    return sinks.read_merged(spark, path, "options_chain")
+
+
+@register("flow_event_store", f"event_id ts:t {STORED_LEG} side size price:6", "stored_events")
+def flow_event_store(spark, sf):
+    """Prints that share a time are told apart, and finding them again stores nothing."""
+    trades = demo.options_trades(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    found = flow.with_event_id(flow.blocks(trades, min_size=90))
+    path = shared_folder(spark)
+    for _ in range(2):
+        sinks.append_new_events(found, path)
+    return spark.read.parquet(path)
+
+
+def _in_files(spark, df, pieces=4):
+    """A stream that brings a table in time order, one file per micro-batch."""
+    path = shared_folder(spark)
+    edges = df.selectExpr(
+        f"percentile_approx(unix_micros(ts), array({', '.join(str(k / pieces) for k in range(1, pieces))}))"
+    ).first()[0]
+    bounds = [None, *edges, None]
+    us = F.unix_micros("ts")
+    for low, high in zip(bounds, bounds[1:]):
+        piece = df if low is None else df.where(us >= low)
+        piece = piece if high is None else piece.where(us < high)
+        piece.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("stream_chain_state_gaps", "instrument_id seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "state")
+def stream_chain_state_gaps(spark, sf):
+    """Several micro-batches, with days between the records of an instrument."""
+    slow = F.timestamp_micros(F.unix_micros("ts") * 30 - F.lit(29 * 1_704_067_200_000_000))
+    rows = demo.market_records(spark, sf).withColumn("ts", slow)
+    return drain(stateful.chain_rows(_in_files(spark, rows)))
+
+
+@register("stream_trade_tape", "instrument_id ts:t seq price bid:6 ask:6 side:n signed_premium:2", "streamed_tape")
+def stream_trade_tape(spark, sf):
+    return drain(stateful.option_trades(_in_files(spark, demo.market_records(spark, sf))))
+
+
+@register("stream_unusual_volume", f"{LEG} window_end:t size legs", "slid_closed")
+def stream_unusual_volume(spark, sf):
+    trades = demo.options_trades(spark, sf, stream=True)
+    return drain(windows.unusual_volume(trades, span="2 days", every="1 day", min_volume=300))

@@ -11,9 +11,12 @@ import json
 import operator
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions.columns import instant
+from strikelens.operators import greedy
 
 PAYLOAD_SECONDS = 600
 LONGEST_LIST = 10
@@ -187,37 +190,54 @@ def shrink_payload(payload: Column) -> Column:
     )
 
 
+#: Cooldowns in a slice of firings.
+SLICE_PAUSES = 64
+NEVER = -(1 << 62)
+
+
 def apply_cooldown(fired: DataFrame, *, order: str = "snapshot_ts") -> DataFrame:
     """Keep a firing only when the rule's cooldown has passed since the last one kept.
 
-    A firing at least one cooldown after the firing before it is always kept, so it starts
-    a new burst and only the times inside a burst are folded.
+    The firings of a rule and symbol are cut into slices of ``SLICE_PAUSES`` cooldowns, and
+    :func:`strikelens.operators.greedy.choose` puts them together: the state between slices is
+    the time from which the rule may fire again. A burst of any length spreads over its slices.
     """
-    at = F.col(order)
-    along = Window.partitionBy("rule_id", "symbol").orderBy(at)
-    before = F.coalesce(F.lag(at).over(along), F.col("last_fired_at"))
-    cooldown = F.make_dt_interval(secs=F.col("cooldown_seconds"))
-    starts = before.isNull() | (at >= before + cooldown)
-    numbered = fired.withColumn("_starts", starts.cast("int")).withColumn(
-        "_burst", F.sum("_starts").over(along)
-    )
-    # The first burst still runs against the stored last firing; later ones start fresh.
-    bursts = numbered.groupBy("rule_id", "symbol", "_burst").agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), cooldown.alias("pause")))).alias("_f"),
-        F.when(F.col("_burst") == 0, F.max("last_fired_at")).alias("_last"),
-    )
-    none = F.filter(F.transform("_f", lambda f: f["at"]), lambda _: F.lit(False))
-    kept = F.aggregate(
-        "_f",
-        none,
-        lambda acc, f: F.when(
-            F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_last")).isNull()
-            | (f["at"] >= F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_last")) + f["pause"]),
-            F.concat(acc, F.array(f["at"])),
-        ).otherwise(acc),
+    pause = F.greatest(F.col("cooldown_seconds").cast("bigint") * 1_000_000, F.lit(0))
+    at = F.unix_micros(order)
+    length = F.greatest(pause, F.lit(60_000_000)) * SLICE_PAUSES
+    names = fired.columns
+    rows = fired.withColumns({"_at": at, "_pause": pause, "_slice": F.floor(at / length)})
+
+    def ordered(table: pa.Table):
+        table = table.sort_by("_at")
+        times, waits = table["_at"].to_numpy(), table["_pause"].to_numpy()
+        following = np.maximum(np.searchsorted(times, times + waits), np.arange(len(times)) + 1)
+        return table, times, waits, following
+
+    def steps(table: pa.Table) -> greedy.Steps:
+        _, times, waits, following = ordered(table)
+        n = len(times)
+        last = np.where(following < n, following, np.arange(n))
+        while True:  # doubling: the last firing kept if this one is
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        return np.append(times, np.iinfo(np.int64).max), np.append(times[last] + waits[last], -1)
+
+    def chosen(table: pa.Table, free_from: int) -> pa.Table:
+        table, times, _, following = ordered(table)
+        start = int(np.searchsorted(times, free_from))
+        kept, _ = greedy.walked(following, np.ones(len(times), bool), start, len(times))
+        return table.take(pa.array(kept, pa.int64())).select(names)
+
+    def begin(table: pa.Table) -> int:
+        latest = max((x for x in table["last_fired_at"].cast(pa.int64()).to_pylist() if x is not None), default=None)
+        return NEVER if latest is None else latest + table["_pause"][0].as_py()
+
+    return greedy.choose(
+        rows, ("rule_id", "symbol"), "_slice", steps, chosen, fired.schema, adjacent=False, initial=begin
     )
-    times = bursts.select("rule_id", "symbol", F.explode(kept).alias(order))
-    return fired.join(times, ["rule_id", "symbol", order], "left_semi")
 
 
 def payload_at(

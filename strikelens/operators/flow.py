@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions.columns import CONTRACT, is_call
-from strikelens.operators.scan import PIECE, last_known, split_hot_keys, without_pieces
+from strikelens.operators import greedy
 from strikelens.operators.tape import dealer_premium
 
 #: Sweep windows per slice of a tape; larger slices repeat fewer prints at their ends.
@@ -17,6 +19,8 @@ EVENT_COLUMNS = (
     "event_type", "ts", "symbol", "expiration", "strike", "option_type",
     "side", "size", "price", "legs", "venues", "meta",
 )
+#: What tells an event from others of its type and contract; :func:`with_event_id` uses it up.
+EVENT_KEY = "event_key"
 
 
 def _event(kind: str, meta: Column, **columns: Column) -> list[Column]:
@@ -29,7 +33,12 @@ def _event(kind: str, meta: Column, **columns: Column) -> list[Column]:
         "meta": F.to_json(meta),
         **columns,
     }
-    return [values[name].alias(name) for name in EVENT_COLUMNS]
+    return [values[name].alias(name) for name in (*EVENT_COLUMNS, EVENT_KEY)]
+
+
+def _key(*parts: Column) -> Column:
+    """The parts in writing, nulls included."""
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts))
 
 
 def _clean(trades: DataFrame) -> DataFrame:
@@ -45,6 +54,8 @@ def _clean(trades: DataFrame) -> DataFrame:
 def blocks(trades: DataFrame, *, min_size: int = 100) -> DataFrame:
     """One event per print of at least ``min_size`` contracts."""
     venue = F.array_compact(F.array(F.col("exchange")))
+    micro_price = F.round(F.col("price").cast("double") * 1_000_000).cast("bigint")
+    sequence = F.col("seq") if "seq" in trades.columns else F.lit(None)
     return _clean(trades).where(F.col("size") >= min_size).select(
         *_event(
             "BLOCK",
@@ -55,6 +66,7 @@ def blocks(trades: DataFrame, *, min_size: int = 100) -> DataFrame:
             price=F.col("price").cast("double"),
             legs=F.lit(1),
             venues=venue,
+            **{EVENT_KEY: _key(F.unix_micros("ts"), sequence, F.col("exchange"), micro_price, F.col("side"), F.col("size"))},
         )
     )
 
@@ -68,7 +80,8 @@ def unusual_volume(
 ) -> DataFrame:
     """Contracts whose volume is far above their daily average, or above a fixed floor.
 
-    ``daily_average`` has the contract columns and ``avg_daily_volume``. The tape is reduced
+    A contract is flagged once for the day of its newest print, however often the growing tape
+    is looked at. ``daily_average`` has the contract columns and ``avg_daily_volume``. The tape is reduced
     to one row per contract before anything is joined.
     """
     volumes = _clean(trades).groupBy(*CONTRACT).agg(
@@ -101,10 +114,86 @@ def unusual_volume(
             price=F.lit(None).cast("double"),
             legs=F.col("_legs").cast("int"),
             venues=F.array().cast("array<string>"),
+            **{EVENT_KEY: _key(F.to_date("_ts"))},
         )
     )
 
 
+def later_venue(venue: np.ndarray, wanted: int) -> np.ndarray:
+    """For each print the place where ``wanted`` different venues have been seen from it on.
+
+    Venues are numbers, -1 for none; beyond the last print where there are not as many.
+    """
+    n = len(venue)
+    kinds = np.unique(venue[venue >= 0])
+    if len(kinds) < wanted:
+        return np.full(n, n)
+    following = np.full((len(kinds), n + 1), n)
+    for row, kind in zip(following, kinds):
+        row[:n][venue == kind] = np.flatnonzero(venue == kind)
+        row[:] = np.minimum.accumulate(row[::-1])[::-1]
+    following.partition(wanted - 1, axis=0)
+    return following[wanted - 1, :n]
+
+
+def sweep_reach(
+    us: np.ndarray, side: np.ndarray, venue: np.ndarray, window_us: int, min_legs: int, min_venues: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each ordered print one past the last print it reaches, and whether that is a sweep.
+
+    A print reaches what follows on its side without a break and within the window.
+    """
+    n = len(us)
+    place = np.arange(n)
+    if not n:
+        return place, np.zeros(0, bool)
+    turns = np.append(np.flatnonzero(side[1:] != side[:-1]) + 1, n)
+    end = np.minimum(turns[np.searchsorted(turns, place, "right")], np.searchsorted(us, us + window_us, "right"))
+    enough = later_venue(venue, min_venues) < end if min_venues > 0 else np.ones(n, bool)
+    return end, (side != 0) & (end - place >= min_legs) & enough
+
+
+def greedy_sweeps(us, side, venue, window_us, min_legs, min_venues) -> tuple[np.ndarray, np.ndarray]:
+    """Where to look on after each print: past its sweep, or else at the next print; and the
+    prints that begin a sweep if looked at."""
+    end, hit = sweep_reach(us, side, venue, window_us, min_legs, min_venues)
+    return np.where(hit, end, np.arange(len(us)) + 1), hit
+
+
+def ordered_prints(table: pa.Table, order: Sequence[str] = ("ts", "seq")) -> pa.Table:
+    return table.sort_by([("_us", "ascending"), *((c, "ascending") for c in order[1:])])
+
+
+def print_columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names = table["exchange"].combine_chunks().dictionary_encode()
+    if isinstance(names, pa.ChunkedArray):
+        names = names.combine_chunks()
+    venue = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table["_us"].to_numpy(), table["side"].to_numpy(), venue
+
+
+def sweep_rows(
+    table: pa.Table, starts: Sequence[int], ends: np.ndarray, more: Sequence[str] = ("seq",)
+) -> list[tuple]:
+    """(microseconds, side, size, price, legs, venues, key) of the sweeps of an ordered table.
+
+    ``more`` are the columns that tell prints of one microsecond apart.
+    """
+    us, side = table["_us"].to_numpy(), table["side"].to_numpy()
+    size = table["size"].to_numpy()
+    paid = np.nan_to_num(table["price"].to_numpy(zero_copy_only=False)) * size
+    sizes = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for a in starts:
+        b = int(ends[a])
+        total = int(sizes[b] - sizes[a])
+        venues = sorted({x for x in table["exchange"].slice(a, b - a).to_pylist() if x is not None})
+        value = sum(paid[a:b].tolist()) / total if total else None
+        key = "|".join(str(table[c][i].as_py()) for i in (a, b - 1) for c in ("_us", *more))
+        out.append((int(us[a]), int(side[a]), total, value, b - a, venues, key))
+    return out
+
+
 def sweeps(
     trades: DataFrame,
     *,
@@ -116,126 +205,96 @@ def sweeps(
 ) -> DataFrame:
     """Runs of same-side prints of one contract on several venues within a short window.
 
-    Prints are first cut into islands: a new one starts when the side changes or the gap
-    to the previous print exceeds the window, so no sweep spans two islands. Every print
-    is a candidate start whose reach comes from window frames over slices of the island's
-    time; a slice also sees the prints up to one window past its end. Candidates are kept
-    greedily, the next sweep starting after the last one ended. Reaches never shrink along
-    the tape, so a candidate beyond the reach of the one before it is always kept, and the
-    fold only ever collects one chain of overlapping candidates.
+    A print reaches the prints of its side that follow without a break within the window;
+    enough of them on enough venues are a sweep, and the next sweep begins after it. The tape
+    of a contract is cut into slices of ``SLICE_WINDOWS`` windows that also see one window of
+    the next slice, and the choice is made by :func:`strikelens.operators.greedy.choose`: work
+    and memory are linear in the prints, however many share a window.
     """
     keys, order = list(keys), list(order)
-    window_us = window_ms * 1000
-    clean = split_hot_keys(
-        _clean(trades).withColumn("_us", F.unix_micros("ts")), keys, order
-    )
-    hot = PIECE in clean.columns
-    looked = last_known(
-        clean,
-        {"_prev": F.struct("_us", "side")},
-        keys,
-        order,
-        include_current=False,
-    )
-    breaks = (
-        F.col("_prev").isNull()
-        | (F.col("_prev.side") != F.col("side"))
-        | (F.col("_us") - F.col("_prev._us") > window_us)
-    )
-    islands = without_pieces(
-        last_known(looked, {"_island": F.when(breaks, F.struct(*order))}, keys, order)
-    ).where(F.col("side") != 0)
-
-    length = F.lit(SLICE_WINDOWS * max(window_us, 1))
-    own = F.floor(F.col("_us") / length)
-    seen_from = F.when(F.col("_us") - own * length <= window_us, F.array(own, own - 1)).otherwise(
-        F.array(own)
-    )
-    sliced = islands.withColumn("_slice", F.explode(seen_from)).withColumn(
-        "_own", F.col("_slice") == own
-    )
-    slices = Window.partitionBy(*keys, "_island", "_slice")
-    along = slices.orderBy(*order)
-    reach = slices.orderBy("_us").rangeBetween(Window.currentRow, window_us)
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    value = F.coalesce(F.col("price") * F.col("size"), F.lit(0.0))
-    start = F.col("_rn")
-    numbered = sliced.withColumns(
-        {
-            "_rn": F.row_number().over(along),
-            "_cum_size": F.sum("size").over(upto),
-            "_cum_value": F.sum(value).over(upto),
-        }
-    )
-    # Prints of an equal timestamp are inside the frame even when they sort earlier, so legs
-    # and venues count from the print's own number.
-    end = F.max(F.struct("_rn", "_cum_size", "_cum_value", F.struct(*order).alias("at")))
-    venue = F.when(F.col("exchange").isNotNull(), F.struct("_rn", "exchange"))
-    reached = numbered.withColumns(
-        {"_end": end.over(reach), "_near": F.collect_list(venue).over(reach)}
-    )
-    legs = F.col("_end._rn") - start + 1
-    later = F.filter("_near", lambda v: v["_rn"] >= start)
-    venues = F.array_sort(F.array_distinct(F.transform(later, lambda v: v["exchange"])))
-    candidates = (
-        reached.where(F.col("_own") & (legs >= min_legs))
-        .withColumn("_venues", venues)
-        .where(F.size("_venues") >= min_venues)
-    )
-    size = F.col("_end._cum_size") - F.col("_cum_size") + F.col("size")
-    paid = F.col("_end._cum_value") - F.col("_cum_value") + value
-    hits = candidates.select(
-        *keys,
-        *order,
-        F.struct(
-            F.struct(*order).alias("at"),
-            F.col("_end.at").alias("upto"),
-            F.col("ts"),
-            F.col("side"),
-            size.alias("size"),
-            F.when(size > 0, paid / F.nullif(size, F.lit(0))).alias("price"),
-            legs.cast("int").alias("legs"),
-            F.col("_venues").alias("venues"),
-        ).alias("_hit"),
-    )
-    if hot:
-        hits = split_hot_keys(hits, keys, order)
-    followed = last_known(
-        hits, {"_before": F.col("_hit.upto")}, keys, order, include_current=False
-    )
-    free = F.col("_before").isNull() | (F.col("_hit.at") > F.col("_before"))
-    chained = last_known(followed, {"_chain": F.when(free, F.col("_hit.at"))}, keys, order)
-    listed = without_pieces(chained).groupBy(*keys, "_chain").agg(
-        F.array_sort(F.collect_list("_hit")).alias("_hits")
+    window_us = max(window_ms * 1000, 1)
+    length = F.lit(SLICE_WINDOWS * window_us)
+    us = F.unix_micros(order[0])
+    own = F.floor(us / length)
+    early = us - own * length <= window_us
+    prints = (
+        _clean(trades)
+        .select(
+            *keys,
+            us.alias("_us"),
+            *order[1:],
+            "side",
+            "size",
+            F.col("price").cast("double").alias("price"),
+            F.col("exchange").cast("string").alias("exchange"),
+            own.alias("_own"),
+            F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("_slice"),
+        )
     )
 
-    def keep(taken: Column, hit: Column) -> Column:
-        last = F.try_element_at(taken, F.lit(-1))["upto"]
-        return F.when(last.isNull() | (hit["at"] > last), F.concat(taken, F.array(hit))).otherwise(taken)
+    def analysed(table: pa.Table):
+        table = ordered_prints(table, order)
+        following, hit = greedy_sweeps(*print_columns(table), window_us, min_legs, min_venues)
+        mine = int((table["_own"].to_numpy() == table["_slice"].to_numpy()).sum())
+        return table, following, hit, mine
+
+    def steps(table: pa.Table):
+        """States are how many prints of a slice the sweeps before it have used up."""
+        table, following, _, mine = analysed(table)
+        if not mine:  # the slice holds nothing but the beginning of the next
+            return np.array([0]), np.array([0])
+        us_ = table["_us"].to_numpy()[:mine]
+        entries = int(np.searchsorted(us_, us_[0] - us_[0] % (SLICE_WINDOWS * window_us) + window_us, "right"))
+        ends = np.append(greedy.settled(following, mine), mine)[: entries + 1]
+        return np.arange(len(ends)), ends - mine
+
+    def chosen(table: pa.Table, state: int) -> pa.Table:
+        table, following, hit, mine = analysed(table)
+        starts, _ = greedy.walked(following, hit, state, mine)
+        found = sweep_rows(table, starts, following, order[1:])
+        rows = [*zip(*found)] if found else [[]] * 7
+        first = table.slice(0, 1)
+        kept = [pa.array(first[k].to_pylist() * len(found), first[k].type) for k in keys]
+        types = (
+            pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.string()),
+            pa.string(),
+        )
+        return pa.table(
+            [*kept, *(pa.array(list(c), t) for c, t in zip(rows, types))],
+            names=[*keys, "_us", "side", "size", "price", "legs", "venues", EVENT_KEY],
+        )
 
-    kept = F.aggregate("_hits", F.filter("_hits", lambda h: F.lit(False)), keep)
-    found = listed.select(*keys, F.explode(kept).alias("_hit"))
+    types = {f.name: f.dataType.simpleString() for f in prints.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
+        ", _us bigint, side int, size bigint, price double, legs int, venues array<string>, "
+        f"{EVENT_KEY} string"
+    )
+    found = greedy.choose(prints, keys, "_slice", steps, chosen, schema, adjacent=True)
     return found.select(
         *_event(
             "SWEEP",
             F.struct(F.lit(window_ms).alias("window_ms")),
-            ts=F.col("_hit.ts"),
-            side=F.col("_hit.side"),
-            size=F.col("_hit.size"),
-            price=F.col("_hit.price"),
-            legs=F.col("_hit.legs"),
-            venues=F.col("_hit.venues"),
+            ts=F.timestamp_micros("_us"),
+            side=F.col("side"),
+            size=F.col("size"),
+            price=F.col("price"),
+            legs=F.col("legs"),
+            venues=F.col("venues"),
+            **{EVENT_KEY: F.col(EVENT_KEY)},
         )
     )
 
 
 def with_event_id(events: DataFrame) -> DataFrame:
-    """Deterministic id, so that finding an event again does not store it twice."""
+    """Deterministic id, so that finding an event again does not store it twice.
+
+    Blocks are told apart by time, sequence, venue, price, side and size, sweeps by their first
+    and last print, unusual volume by its day (or window).
+    """
     identity = F.concat_ws(
-        "|", "event_type", "symbol", "expiration", "strike", "option_type",
-        F.unix_micros("ts"), "side", "size",
+        "|", "event_type", "symbol", "expiration", "strike", "option_type", EVENT_KEY
     )
-    return events.withColumn("event_id", F.sha2(identity, 256))
+    return events.withColumn("event_id", F.sha2(identity, 256)).drop(EVENT_KEY)
 
 
 def flow_events(
@@ -290,14 +349,23 @@ def hiro(
 def accumulate_buckets(
     buckets: DataFrame, *, bucket: str = "1 minute", keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
+    """Fill the gaps and accumulate: each bucket stands for itself and the gap after it."""
     keys = list(keys)
     step = F.expr(f"INTERVAL {bucket}")
-    grid = buckets.groupBy(*keys).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-    grid = grid.select(*keys, F.explode(F.sequence("_from", "_to", step)).alias("ts"))
-    filled = grid.join(buckets, [*keys, "ts"], "left").na.fill(
-        0.0, ["call_premium", "put_premium"]
+    along = Window.partitionBy(*keys).orderBy("ts")
+    last = F.lead("ts").over(along)
+    times = F.when(F.col("_next").isNull(), F.array("ts")).otherwise(
+        F.sequence(F.col("ts"), F.col("_next") - step, step)
+    )
+    filled = buckets.withColumn("_next", last).withColumn("_at", F.explode(times))
+    own = F.col("_at") == F.col("ts")
+    filled = filled.select(
+        *keys,
+        F.col("_at").alias("ts"),
+        *(F.when(own, F.col(c)).otherwise(0.0).alias(c) for c in ("call_premium", "put_premium")),
     )
-    running = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return filled.withColumn(
         "net_premium", F.col("call_premium") + F.col("put_premium")
-    ).withColumn("cumulative", F.sum("net_premium").over(running))
+    ).withColumn(
+        "cumulative", F.sum("net_premium").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    )

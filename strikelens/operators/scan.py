@@ -1,9 +1,9 @@
 """Ordered scans over a tape that stay balanced when one key holds most of the rows.
 
-``last_known`` and ``running_total`` are plain windows per key as long as every key fits
-a task. ``split_hot_keys`` measures that; keys above ``strikelens.hotKeyRows`` rows are cut
-into ranges of ``(key, order)``. The scans then work range by range, and what a range needs
-from the ones before it comes from one summary row per range.
+A tape is always cut into slices of time, so a busy key spreads over as many tasks as it has
+slices. The scans work slice by slice; what a slice needs from the ones before it comes from one
+summary row per key and slice, carried along each key. Nothing is counted, sampled or collected
+while a plan is built.
 """
 
 from __future__ import annotations
@@ -12,63 +12,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strikelens.session import ensure_checkpoint_dir
+#: Length of a slice in seconds, unless ``strikelens.sliceSeconds`` says otherwise. A slice of a
+#: key should fit a task; the slices of a key, one row each, are put in order in one task.
+SLICE_SECONDS = 3600
+SLICE = "_slice_no"
 
-HOT_KEY_ROWS = 5_000_000
-PIECE = "_piece"
 
+def with_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add the number of each row's time slice; ``order`` begins with a timestamp."""
+    seconds = float(df.sparkSession.conf.get("strikelens.sliceSeconds", str(SLICE_SECONDS)))
+    number = F.floor(F.unix_micros(order[0]) / F.lit(seconds * 1e6))
+    # Rows without a time sort first, as they do in a window.
+    return df.withColumn(SLICE, F.coalesce(number, F.lit(-(1 << 62))))
 
-def _hot_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("strikelens.hotKeyRows", str(HOT_KEY_ROWS)))
 
+def without_slices(df: DataFrame) -> DataFrame:
+    return df.drop(SLICE)
 
-def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add a piece number to the rows of hot keys; the column is absent when no key is hot.
 
-    There are at most ``rows / limit`` hot keys, so the list of them and the number of
-    ranges are small. The ranges are written to the checkpoint folder: their bounds come
-    from sampling, and every later use must see the same cut.
-    """
-    limit = _hot_limit(df)
-    hot = df.groupBy(*keys).count().where(F.col("count") > limit)
-    found = hot.collect()
-    if not found:
-        return df
-    pieces = sum(-(-row["count"] // limit) for row in found) + len(found)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    listed = F.broadcast(spark.createDataFrame(found, hot.schema).select(*keys))
-    match = [df[k].eqNullSafe(listed[k]) for k in keys]
-    condition = match[0]
-    for term in match[1:]:
-        condition = condition & term
-    ranged = (
-        df.join(listed, condition, "left_semi")
-        .repartitionByRange(int(pieces), *keys, *order)
-        .withColumn(PIECE, F.spark_partition_id())
-        .checkpoint()
-    )
-    rest = df.join(listed, condition, "left_anti").withColumn(PIECE, F.lit(-1))
-    return ranged.unionByName(rest)
-
-
-def _scope(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
-    parts = [*keys, PIECE] if PIECE in df.columns else list(keys)
-    return Window.partitionBy(*parts).orderBy(*order)
+def _within(keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def _summaries(df: DataFrame, keys: Sequence[str], aggregates: list[Column]) -> DataFrame:
-    return df.where(F.col(PIECE) >= 0).groupBy(*keys, PIECE).agg(*aggregates)
-
+def _carried(
+    df: DataFrame, keys: Sequence[str], ends: dict[str, Column], carry: dict[str, Column]
+) -> DataFrame:
+    """``df`` with what the slices before a row's own left behind.
 
-def _with_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = summary
-    for k in (*keys, PIECE):
-        renamed = renamed.withColumnRenamed(k, f"_s_{k}")
-    condition = F.col(PIECE) == F.col(f"_s_{PIECE}")
+    ``ends`` has the summary of a slice, ``carry`` its fold over the earlier slices of the key.
+    """
+    summary = df.groupBy(*keys, SLICE).agg(*(c.alias(name) for name, c in ends.items()))
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(
+        *(F.col(k).alias(f"_s_{k}") for k in (*keys, SLICE)),
+        *(c.over(before).alias(name) for name, c in carry.items()),
+    )
+    condition = F.col(SLICE) == F.col(f"_s_{SLICE}")
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    return df.join(renamed, condition, "left").drop(*(f"_s_{k}" for k in (*keys, PIECE)))
+    return df.join(carried, condition, "left").drop(*(f"_s_{k}" for k in (*keys, SLICE)))
 
 
 def last_known(
@@ -79,41 +61,33 @@ def last_known(
     *,
     include_current: bool = True,
 ) -> DataFrame:
-    """For each row the last non-null value so far, per key, in the given total order."""
+    """For each row the last non-null value so far, per key, in the given total order.
+
+    ``df`` comes from :func:`with_slices`.
+    """
     inputs = {name: f"_in_{name}" for name in values}
     df = df.withColumns({inputs[name]: value for name, value in values.items()})
-    window = _scope(df, keys, order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1
+    position = F.struct(*order)
+    found = _carried(
+        df,
+        keys,
+        {
+            f"_end_{name}": F.max_by(column, F.when(F.col(column).isNotNull(), position))
+            for name, column in inputs.items()
+        },
+        {f"_carry_{name}": F.last(f"_end_{name}", ignorenulls=True) for name in values},
     )
-    seen = df.withColumns(
-        {name: F.last(inputs[name], ignorenulls=True).over(window) for name in values}
+    window = _within(keys, order).rowsBetween(
+        Window.unboundedPreceding, 0 if include_current else -1
     )
-    if PIECE in df.columns:
-        position = F.struct(*order)
-        summary = _summaries(
-            df,
-            keys,
-            [
-                F.max_by(column, F.when(F.col(column).isNotNull(), position)).alias(f"_end_{name}")
-                for name, column in inputs.items()
-            ],
-        )
-        before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        summary = summary.select(
-            *keys,
-            PIECE,
-            *(
-                F.last(f"_end_{name}", ignorenulls=True).over(before).alias(f"_carry_{name}")
-                for name in values
-            ),
-        )
-        seen = _with_summary(seen, summary, keys)
-        seen = seen.withColumns(
-            {name: F.coalesce(F.col(name), F.col(f"_carry_{name}")) for name in values}
-        ).drop(*(f"_carry_{name}" for name in values))
-    return seen.drop(*inputs.values())
+    return found.withColumns(
+        {
+            name: F.coalesce(
+                F.last(column, ignorenulls=True).over(window), F.col(f"_carry_{name}")
+            )
+            for name, column in inputs.items()
+        }
+    ).drop(*inputs.values(), *(f"_carry_{name}" for name in values))
 
 
 def running_total(
@@ -122,37 +96,24 @@ def running_total(
     keys: Sequence[str],
     order: Sequence[str],
 ) -> DataFrame:
-    """For each row the sum of the values so far, the row included; nulls count as zero."""
+    """For each row the sum of the values so far, the row included; nulls count as zero.
+
+    ``df`` comes from :func:`with_slices`.
+    """
     inputs = {name: f"_in_{name}" for name in values}
     df = df.withColumns(
         {inputs[name]: F.coalesce(value, F.lit(0)) for name, value in values.items()}
     )
-    window = _scope(df, keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumns({name: F.sum(inputs[name]).over(window) for name in values})
-    if PIECE in df.columns:
-        summary = _summaries(
-            df, keys, [F.sum(column).alias(f"_sum_{name}") for name, column in inputs.items()]
-        )
-        before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        summary = summary.select(
-            *keys,
-            PIECE,
-            *(
-                F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_carry_{name}")
-                for name in values
-            ),
-        )
-        summed = _with_summary(summed, summary, keys)
-        summed = summed.withColumns(
-            {
-                name: F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0))
-                for name in values
-            }
-        ).drop(*(f"_carry_{name}" for name in values))
-    return summed.drop(*inputs.values())
-
-
-def without_pieces(df: DataFrame) -> DataFrame:
-    return df.drop(PIECE)
+    found = _carried(
+        df,
+        keys,
+        {f"_end_{name}": F.sum(column) for name, column in inputs.items()},
+        {f"_carry_{name}": F.sum(f"_end_{name}") for name in values},
+    )
+    window = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumns(
+        {
+            name: F.sum(column).over(window) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0))
+            for name, column in inputs.items()
+        }
+    ).drop(*inputs.values(), *(f"_carry_{name}" for name in values))

@@ -14,7 +14,7 @@ from strikelens.functions.columns import (
     price_mid_first,
     year_fraction,
 )
-from strikelens.operators.scan import last_known, split_hot_keys, without_pieces
+from strikelens.operators.scan import last_known, with_slices, without_slices
 
 LEG = ("expiration", "strike", "option_type")
 LOOKBACK = "2 days"
@@ -25,18 +25,23 @@ FUTURES_ROOT = {"SPXW": "ES", "SPX": "ES", "NDXP": "NQ", "NDX": "NQ"}
 
 
 def _newest(chain: DataFrame, group: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
-    """Newest row per group.
+    """Newest row per group; of rows with one timestamp that of the largest row hash.
 
-    A contract has one row per timestamp in the stored chain. Then each column is taken at
-    the newest time by itself: the buffers have a fixed width, so the aggregate hashes and
-    never sorts the raw rows. With a tie-break whole rows are compared, which sorts them.
+    Time and hash are one number, so the buffers have a fixed width and the aggregate hashes and
+    never sorts the raw rows; all columns still come from one row. With a tie-break whole rows
+    are compared in its order, which sorts them.
     """
     rest = [c for c in chain.columns if c not in group]
     if tiebreak:
         newest = F.max_by(F.struct(*rest), F.struct("ts", *tiebreak)).alias("_row")
         return chain.groupBy(*group).agg(newest).select(*group, "_row.*")
-    columns = [F.max("ts").alias("ts") if c == "ts" else F.max_by(c, "ts").alias(c) for c in rest]
-    return chain.groupBy(*group).agg(*columns)
+    number = "decimal(38,0)"
+    position = F.unix_micros("ts").cast(number) * F.lit(1 << 62).cast("decimal(20,0)") + F.shiftrightunsigned(
+        F.xxhash64(*sorted(rest)), 2
+    ).cast("decimal(20,0)")
+    placed = chain.withColumn("_position", position.cast(number))
+    columns = [F.max_by(c, "_position").alias(c) for c in rest]
+    return placed.groupBy(*group).agg(*columns)
 
 
 def latest_snapshot(
@@ -63,12 +68,44 @@ def snapshot_series(
     chain: DataFrame,
     *,
     every: str,
+    lookback: str = LOOKBACK,
     keys: Sequence[str] = ("symbol",),
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """One snapshot per time bucket: newest row per contract, ``snapshot_ts`` = bucket end."""
-    bucketed = chain.withColumn("snapshot_ts", F.window("ts", every)["end"])
-    return _newest(bucketed, ["snapshot_ts", *keys, *LEG], tiebreak)
+    """At each grid time what :func:`latest_snapshot` gives for it as ``as_of``.
+
+    ``snapshot_ts`` runs over the multiples of ``every``, for each of ``keys`` up to the first
+    one not before its last row. Only the newest row of a contract between two grid times can
+    be seen, so the tape is reduced to these first; each then stands at every grid time until
+    the contract's next one, at most ``lookback`` old.
+    """
+    step, age = F.expr(f"INTERVAL {every}"), F.expr(f"INTERVAL {lookback}")
+
+    def grid(ts: Column) -> Column:
+        """The first grid time at or after ``ts``."""
+        return F.window(ts - F.expr("INTERVAL 1 MICROSECOND"), every)["end"]
+
+    contract = [*keys, *LEG]
+    seen = _newest(
+        chain.where(F.col("ts").isNotNull()).withColumn("_from", grid(F.col("ts"))),
+        ["_from", *contract],
+        tiebreak,
+    )
+    last = chain.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.max("ts").alias("_last"))
+    last = last.where(F.col("_last").isNotNull()).withColumn("_last", grid(F.col("_last")))
+    along = Window.partitionBy(*contract).orderBy("_from")
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    bounded = (
+        seen.withColumn("_next", F.lead("_from").over(along))
+        .withColumn("_stale", grid(F.col("ts") + age))
+        .join(last, condition)
+        .withColumn("_stop", F.least("_next", "_stale", F.col("_last") + step))
+        .where(F.col("_stop") > F.col("_from"))
+    )
+    times = F.explode(F.sequence(F.col("_from"), F.col("_stop") - step, step)).alias("snapshot_ts")
+    return bounded.select(times, *chain.columns)
 
 
 def fill_open_interest(chain: DataFrame, eod: DataFrame) -> DataFrame:
@@ -77,13 +114,14 @@ def fill_open_interest(chain: DataFrame, eod: DataFrame) -> DataFrame:
     A contract without an end-of-day row gets 0; a symbol without any end-of-day row
     keeps what it has.
     """
-    book = eod.select(
+    # Letters of either case name one contract; the newest load of it counts.
+    load = F.struct("oi_date", "open_interest") if "oi_date" in eod.columns else F.struct("open_interest")
+    book = eod.groupBy(
         "symbol",
         "expiration",
         F.col("strike").cast("double").alias("strike"),
         F.upper("option_type").alias("option_type"),
-        F.col("open_interest").alias("_eod"),
-    )
+    ).agg(F.max(load)["open_interest"].alias("_eod"))
     covered = eod.select("symbol").distinct().withColumn("_covered", F.lit(True))
     live = F.col("oi")
     needs = (live.isNull() | (live == 0)) & F.col("_covered").isNotNull()
@@ -201,14 +239,14 @@ def futures_at(
     ).where(F.col("root").isNotNull())
     timeline = ["ts", "_late", *order]
     scanned = last_known(
-        split_hot_keys(wanted.unionByName(seen), ["root"], timeline),
+        with_slices(wanted.unionByName(seen), timeline),
         {"_tick": F.when(F.col("_late") == 0, F.struct("ts", "price"))},
         ["root"],
         timeline,
     )
     fresh = F.col("_tick.ts") > F.col("ts") - F.expr(f"INTERVAL {window}")
     usable = fresh & (F.col("_tick.price") > 0)
-    return without_pieces(scanned.where(F.col("_late") == 1)).select(
+    return without_slices(scanned.where(F.col("_late") == 1)).select(
         F.col("ts").alias("snapshot_ts"),
         "symbol",
         F.when(usable, F.col("_tick.price")).alias("futures_price"),
@@ -235,11 +273,24 @@ def basis_carry(
     )
 
 
+def last_basis(
+    spots: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "snapshot_ts"
+) -> DataFrame:
+    """The newest known basis per key, to be stored for the next live snapshot."""
+    known = spots.withColumn("basis", F.col("futures_price") - F.col("parity_spot")).where(
+        F.col("basis").isNotNull()
+    )
+    return known.groupBy(*keys).agg(
+        F.max_by("basis", F.struct(order, "basis")).alias("basis"), F.max(order).alias(order)
+    )
+
+
 def resolve_spot(
     chain: DataFrame,
     *,
     as_of,
     futures: DataFrame | None = None,
+    basis: DataFrame | None = None,
     rate: float = 0.05,
     keys: Sequence[str] = ("snapshot_ts", "symbol"),
 ) -> DataFrame:
@@ -247,7 +298,9 @@ def resolve_spot(
 
     A snapshot keeps its prices when its last non-null underlying is above zero. Others
     take one resolved spot for all rows, or stay as they are when none can be found.
-    ``futures`` holds ``futures_price`` per ``keys`` (see :func:`futures_at`).
+    ``futures`` holds ``futures_price`` per ``keys`` (see :func:`futures_at`). A history
+    remembers the basis by itself; a live snapshot takes the last known one from ``basis``
+    (``symbol`` and ``basis``, see :func:`last_basis`), 0 where there is none.
     """
     own = chain_spot(chain, keys)
     needing = own.where(F.coalesce(F.col("spot"), F.lit(0.0)) <= 0).select(*keys)
@@ -262,8 +315,13 @@ def resolve_spot(
     if "snapshot_ts" in keys:
         resolved = basis_carry(table, [k for k in keys if k != "snapshot_ts"])
     else:
-        resolved = table.withColumn(
-            "resolved_spot", F.coalesce("parity_spot", "futures_price")
+        if basis is None:
+            known = table.withColumn("basis", F.lit(0.0))
+        else:
+            known = table.join(basis.select("symbol", "basis"), "symbol", "left").na.fill(0.0, ["basis"])
+        resolved = known.withColumn(
+            "resolved_spot",
+            F.coalesce(F.col("parity_spot"), F.col("futures_price") - F.col("basis")),
         )
     return (
         chain.join(resolved.select(*keys, "resolved_spot"), list(keys), "left")
@@ -273,11 +331,17 @@ def resolve_spot(
 
 
 def latest_underlying(chain: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Newest non-null underlying price per key over the whole chain table."""
+    """Newest non-null underlying price per key over the whole chain table.
+
+    Of the rows of the newest time the last in contract order counts, as in :func:`chain_spot`.
+    """
     return (
         chain.where(F.col("underlying_price").isNotNull())
         .groupBy(*keys)
-        .agg(F.max_by("underlying_price", "ts").alias("underlying_price"), F.max("ts").alias("ts"))
+        .agg(
+            F.max_by("underlying_price", F.struct("ts", *LEG, "underlying_price")).alias("underlying_price"),
+            F.max("ts").alias("ts"),
+        )
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelens.functions.columns import CONTRACT, MULTIPLIER
-from strikelens.operators.scan import last_known, running_total, split_hot_keys, without_pieces
+from strikelens.operators.scan import last_known, running_total, with_slices, without_slices
 
 MID_TOLERANCE = 1e-9
 
@@ -53,16 +53,16 @@ def quote_at_trade(
     """Give each trade the last bid and the last ask of its instrument at or before it.
 
     Both tapes go through one ordered scan, so the as-of match is a shuffle and a sort and
-    no inequality join. Quotes of a trade's own timestamp count as earlier.
+    no inequality join. ``order`` decides between equal timestamps, as in
+    :func:`chain_state`; a quote with the trade's own position counts as earlier.
     """
-    first, *rest = order
     carried = [c for c in trades.columns if c not in (*keys, *order, "bid", "ask")]
     left = trades.select(*keys, *order, F.struct(*carried).alias("_trade"), F.lit(1).alias("_late"))
     right = quotes.select(*keys, *order, F.lit(0).alias("_late"), "bid", "ask")
-    timeline = [first, "_late", *rest]
-    both = split_hot_keys(left.unionByName(right, allowMissingColumns=True), keys, timeline)
+    timeline = [*order, "_late"]
+    both = with_slices(left.unionByName(right, allowMissingColumns=True), timeline)
     scanned = last_known(both, {"bid": F.col("bid"), "ask": F.col("ask")}, keys, timeline)
-    return without_pieces(scanned.where(F.col("_late") == 1)).select(
+    return without_slices(scanned.where(F.col("_late") == 1)).select(
         *keys, *order, "_trade.*", "bid", "ask"
     )
 
@@ -93,7 +93,7 @@ def chain_state(
     statistic = (F.col("kind") == "cumulative_volume") & F.col("quantity").isNotNull()
     sized = trade & F.col("size").isNotNull()
     totals = running_total(
-        split_hot_keys(records, keys, order),
+        with_slices(records, order),
         {"_traded": F.when(sized, F.col("size").cast("bigint"))},
         keys,
         order,
@@ -113,7 +113,7 @@ def chain_state(
     )
     known = F.col("_sized").isNotNull() | F.col("_offset").isNotNull()
     volume = F.when(known, F.col("_traded") + F.coalesce("_offset", F.lit(0)))
-    return without_pieces(
+    return without_slices(
         seen.withColumn("volume", volume).drop(
             "_traded", "_offset", "_sized", "price", "size", "quantity"
         )
@@ -132,7 +132,7 @@ def lee_ready(
     priced trade; an equal price stays unclassified.
     """
     scanned = last_known(
-        split_hot_keys(trades.drop("mid", "side", "signed_qty"), keys, order),
+        with_slices(trades.drop("mid", "side", "signed_qty"), order),
         {"_before": F.col("price")},
         keys,
         order,
@@ -145,6 +145,6 @@ def lee_ready(
     quantity = F.col("side") * F.coalesce("size", F.lit(0)) if "size" in trades.columns else (
         F.col("side")
     )
-    return without_pieces(
+    return without_slices(
         sided.withColumn("signed_qty", quantity.cast("double")).drop("_before")
     )

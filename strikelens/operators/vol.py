@@ -237,7 +237,11 @@ def move_tracker(
 
 
 def session_open(prices: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """First price of the session per key, from a table of ``ts`` and ``price``."""
+    """First price of the session per key, from a table of ``ts`` and ``price``.
+
+    ``seq``, where there is one, decides between prices of one time, then the lower price.
+    """
+    order = [c for c in ("ts", "seq", "price") if c in prices.columns]
     return prices.where(F.col("price").isNotNull()).groupBy(*keys).agg(
-        F.min_by("price", "ts").alias("open_price")
+        F.min_by("price", F.struct(*order)).alias("open_price")
     )

@@ -42,21 +42,24 @@ def _overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -
 
 
 def batch_sink(
-    path: str, table: str, *, order: Sequence[str] = ("ts",), ts: str = "ts"
+    path: str, table: str, *, order: Sequence[str], ts: str = "ts"
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends a merged micro-batch.
 
-    Each batch owns its folder and replaces it when Spark runs the batch again, so a retry
+    ``order`` names the columns that say which of two rows of one key came later, such as an
+    arrival number; columns of the key cannot tell them apart and are refused. Each batch owns its folder and replaces it when Spark runs the batch again, so a retry
     adds nothing. Rows of one key in several batches are resolved by :func:`read_merged`.
     """
     key = TABLES[table].key
+    if not order or set(order) & set(key):
+        raise ValueError(f"order {tuple(order)} must be outside the key {tuple(key)}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         merged = merge_rows(batch, key, order)
         stamped = to_storage(merged, table).withColumns(
             {"dt": F.to_date(ts), "batch": F.lit(batch_id)}
         )
-        _overwrite_partitions(stamped, path, ["batch", "dt"])
+        _overwrite_partitions(stamped, path, ["dt", "batch"])
 
     return write
 
@@ -69,10 +72,12 @@ def read_merged(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None while nothing has been written."""
+    """The table at a path, or None while nothing has been written; other errors are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -93,15 +98,24 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def append_new_events(events: DataFrame, path: str) -> None:
-    """Store flow events whose id is not stored yet. Only the days of the batch are read."""
+    """Store flow events whose id is not stored yet. Only the days of the batch are read.
+
+    The batch's first and last day go into the read as literals, so the folders of other days
+    are not even listed for the scan.
+    """
     spark = events.sparkSession
     fresh = to_storage(events, "flow_events").withColumn("dt", F.to_date("ts"))
-    fresh = fresh.dropDuplicates(["event_id"])
-    old = stored_or_none(spark, path)
-    if old is not None:
-        seen = old.select("dt", "event_id")
-        fresh = fresh.join(seen, ["dt", "event_id"], "left_anti")
-    fresh.write.mode("append").partitionBy("dt").parquet(path)
+    fresh = fresh.dropDuplicates(["event_id"]).persist()
+    try:
+        first, last = fresh.agg(F.min("dt"), F.max("dt")).first()
+        old = stored_or_none(spark, path)
+        if first is not None and old is not None:
+            seen = old.where(F.col("dt").between(F.lit(first), F.lit(last))).select("dt", "event_id")
+            fresh.join(seen, ["dt", "event_id"], "left_anti").write.mode("append").partitionBy("dt").parquet(path)
+        elif first is not None:
+            fresh.write.mode("append").partitionBy("dt").parquet(path)
+    finally:
+        fresh.unpersist()
 
 
 def upsert_open_interest(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -118,14 +132,47 @@ def retained(df: DataFrame, table: str, *, as_of, ts: str = "ts") -> DataFrame:
     return df.where(F.col(ts) >= instant(as_of) - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def drop_expired(spark: SparkSession, name: str, table: str, *, as_of: dt.date) -> list[str]:
-    """Drop the expired day partitions of a catalog table. Only partition names are listed."""
+def _day_folders(spark: SparkSession, path: str):
+    """(day, folder) of a table laid out by day, whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("dt="):
+            yield files, name.removeprefix("dt="), status.getPath()
+
+
+def drop_expired(spark: SparkSession, path: str, table: str, *, as_of: dt.date) -> list[str]:
+    """Drop the expired days of a table that these sinks write. Only day names are listed."""
     days = TABLES[table].keep_days
     if days is None:
         return []
     oldest = (as_of - dt.timedelta(days=days)).isoformat()
-    listed = [row["partition"] for row in spark.sql(f"SHOW PARTITIONS {name}").toLocalIterator()]
-    expired = [p for p in listed if p.startswith("dt=") and p[3:13] < oldest]
-    for partition in expired:
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (dt = DATE '{partition[3:13]}')")
-    return expired
+    dropped = []
+    for files, day, folder in _day_folders(spark, path):
+        if day < oldest and files.delete(folder, True):
+            dropped.append(day)
+    return sorted(dropped)
+
+
+def compact(spark: SparkSession, path: str, table: str, *, day: dt.date, batch: int = -1) -> None:
+    """Rewrite the batches of one finished day as one, merged as :func:`read_merged` does.
+
+    The merged rows are batch ``batch``; the folders of the others go once they are written, so a
+    reader in between sees a value twice, never not at all.
+    """
+    merged = merge_rows(
+        spark.read.parquet(path).where(F.col("dt") == F.lit(day)), TABLES[table].key, ["batch"]
+    )
+    stamped = merged.select(*TABLES[table].schema.names).withColumns(
+        {"dt": F.lit(day), "batch": F.lit(batch)}
+    )
+    _overwrite_partitions(stamped, path, ["dt", "batch"])
+    for files, name, folder in _day_folders(spark, path):
+        if name == day.isoformat():
+            for status in files.listStatus(folder):
+                if status.getPath().getName() not in (f"batch={batch}", "_SUCCESS"):
+                    files.delete(status.getPath(), True)

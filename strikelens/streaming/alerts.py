@@ -4,47 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strikelens.operators import alerts
 from strikelens.sources.sinks import stored_or_none
 
 
+def _known(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left; its slot is never the one this batch writes."""
+    stored = stored_or_none(spark, path) if batch_id > 0 else None
+    if stored is None:
+        return None
+    return stored.where((F.col("slot") == (batch_id - 1) % 2) & (F.col("batch") < batch_id)).drop(
+        "slot", "batch"
+    )
+
+
+def _remember(df: DataFrame, path: str, batch_id: int) -> None:
+    (
+        df.withColumns({"batch": F.lit(batch_id), "slot": F.lit(batch_id % 2)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("slot")
+        .parquet(path)
+    )
+
+
 def alert_sink(
-    metrics_path: str, events_path: str, rules: Sequence[dict], *, lookback: str = "1 day"
+    metrics_path: str, events_path: str, rules: Sequence[dict]
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that evaluates the rules at the batch's metric times.
 
-    The stored metrics (the batch included) give the previous payload, and the stored events
-    give each rule's last firing, so nothing else has to be remembered. A batch that runs
-    again replaces its own events.
+    Two small tables beside the events carry what a batch needs of the past, however long ago
+    it was: the last payload of each symbol, so that a crossing over a weekend is seen, and the
+    last firing of each rule. Batches take turns in two slots of them, so a batch that runs
+    again still finds what the one before it left, and replaces its own events. Of the stored
+    metrics only the days that a payload of the batch can reach are read.
     """
+    payload_path, fired_path = f"{events_path}-payloads", f"{events_path}-last-fired"
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        before = _known(spark, payload_path, batch_id)
+        last_fired = _known(spark, fired_path, batch_id)
         moments = batch.select("symbol", F.col("ts").alias("snapshot_ts")).distinct()
-        span = moments.agg(F.min("snapshot_ts").alias("a"), F.max("snapshot_ts").alias("b"))
-        first, last = span.first()
-        if first is None:
+        first, last = moments.agg(F.min("snapshot_ts"), F.max("snapshot_ts")).first()
+        if first is None:  # nothing new: hand on what is known
+            for df, path in ((before, payload_path), (last_fired, fired_path)):
+                if df is not None:
+                    _remember(df, path, batch_id)
             return
-        since = F.lit(first) - F.expr(f"INTERVAL {lookback}")
+        since = F.lit(first) - F.make_dt_interval(secs=F.lit(alerts.PAYLOAD_SECONDS))
         stored = spark.read.parquet(metrics_path).where(
-            (F.col("dt") >= since.cast("date"))
-            & (F.col("ts") >= since)
-            & (F.col("ts") <= F.lit(last))
+            F.col("dt").between(since.cast("date"), F.lit(last).cast("date"))
+            & F.col("ts").between(since, F.lit(last))
         )
-        payloads = alerts.payload_history(stored)
+        fresh = alerts.payload_history(stored).join(moments, ["symbol", "snapshot_ts"], "left_semi")
+        payloads = (fresh if before is None else fresh.unionByName(before)).persist()
         fired = alerts.evaluate_rules(payloads, rules).join(
             moments, ["symbol", "snapshot_ts"], "left_semi"
         )
-        history = stored_or_none(spark, events_path)
-        if history is not None:
-            before = history.where(F.col("batch") != batch_id)
-            known = before.groupBy("rule_id", "symbol").agg(F.max("ts").alias("_last"))
-            fired = fired.join(known, ["rule_id", "symbol"], "left").withColumn(
-                "last_fired_at", F.greatest("last_fired_at", "_last")
-            ).drop("_last")
-        kept = alerts.apply_cooldown(fired.persist())
+        if last_fired is not None:
+            fired = fired.join(last_fired, ["rule_id", "symbol"], "left").withColumn(
+                "last_fired_at", F.greatest("last_fired_at", "last")
+            ).drop("last")
+        kept = alerts.apply_cooldown(fired).persist()
         (
             kept.select(
                 "rule_id", F.col("snapshot_ts").alias("ts"), "symbol", "matched", "payload",
@@ -55,6 +79,16 @@ def alert_sink(
             .partitionBy("batch")
             .parquet(events_path)
         )
-        fired.unpersist()
+        newest = payloads.groupBy("symbol").agg(
+            F.max_by("payload", F.struct("snapshot_ts", "payload")).alias("payload"),
+            F.max("snapshot_ts").alias("snapshot_ts"),
+        )
+        _remember(newest, payload_path, batch_id)
+        firings = kept.select("rule_id", "symbol", F.col("snapshot_ts").alias("last"))
+        if last_fired is not None:
+            firings = firings.unionByName(last_fired)
+        _remember(firings.groupBy("rule_id", "symbol").agg(F.max("last").alias("last")), fired_path, batch_id)
+        kept.unpersist()
+        payloads.unpersist()
 
     return evaluate

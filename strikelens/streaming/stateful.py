@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strikelens.functions.columns import CONTRACT
+from strikelens.operators import greedy
+from strikelens.operators.flow import greedy_sweeps, ordered_prints, print_columns, sweep_rows
 from strikelens.operators.tape import trade_tape
 from strikelens.session import ship_package
 
@@ -18,7 +22,6 @@ CHAIN_ROW = (
     "instrument_id bigint, ts timestamp, seq bigint, kind string, price double, size double, "
     f"{STATE}"
 )
-IDLE_MS = 2 * 24 * 3600 * 1000
 
 
 def _advance(rows: pd.DataFrame, known: dict) -> pd.DataFrame:
@@ -47,25 +50,20 @@ def _advance(rows: pd.DataFrame, known: dict) -> pd.DataFrame:
 def _build_chain(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     names = [*CARRIED, "volume"]
     known = dict(zip(names, state.get if state.exists else [None] * len(names)))
     rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
     built = _advance(rows, known)
     last = built.iloc[-1]
     state.update(tuple(None if pd.isna(last[n]) else float(last[n]) for n in names))
-    newest_ms = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield built
 
 
 def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
     """One chain row per record with everything known of its instrument so far.
 
-    The state per instrument is five numbers; it is dropped after two idle days. A call
-    sees the records of one instrument in one micro-batch, which the source's rate limits
+    The state per instrument is five numbers and is never dropped: a weekend, or a month
+    without a record, changes nothing. A call sees the records of one instrument in one micro-batch, which the source's rate limits
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) keep small.
     """
     ship_package(records.sparkSession)
@@ -81,7 +79,7 @@ def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
         CHAIN_ROW,
         STATE,
         "append",
-        GroupStateTimeout.EventTimeTimeout,
+        GroupStateTimeout.NoTimeout,
     )
 
 
@@ -93,71 +91,47 @@ def option_trades(records: DataFrame) -> DataFrame:
 
 SWEEP_ROW = (
     "symbol string, expiration date, strike double, option_type string, ts timestamp, "
-    "side int, size bigint, price double, legs int, venues array<string>"
+    "side int, size bigint, price double, legs int, venues array<string>, event_key string"
 )
 PENDING = (
-    "us array<bigint>, seq array<bigint>, side array<int>, size array<bigint>, "
+    "_us array<bigint>, seq array<bigint>, side array<int>, size array<bigint>, "
     "price array<double>, exchange array<string>"
 )
-PRINT = ("us", "seq", "side", "size", "price", "exchange")
-
-
-def _close_clusters(prints: list[tuple], closed_us: int, window_us: int, legs: int, venues: int):
-    """Take the clusters that no later print can join; return them and the prints left over."""
-    found, at = [], 0
-    while at < len(prints) and prints[at][0] + window_us < closed_us:
-        start, side = prints[at][0], prints[at][2]
-        end = at + 1
-        while (
-            side
-            and end < len(prints)
-            and prints[end][2] == side
-            and prints[end][0] - start <= window_us
-        ):
-            end += 1
-        cluster = prints[at:end]
-        places = sorted({p[5] for p in cluster if p[5] is not None})
-        hit = side and len(cluster) >= legs and len(places) >= venues
-        if hit:
-            found.append((cluster, places))
-        at = end if hit else at + 1
-    return found, prints[at:]
+PRINT = pa.schema(
+    [
+        ("_us", pa.int64()), ("seq", pa.int64()), ("side", pa.int32()), ("size", pa.int64()),
+        ("price", pa.float64()), ("exchange", pa.string()),
+    ]
+)
 
 
 def _sweep_finder(window_ms: int, min_legs: int, min_venues: int):
-    window_us = window_ms * 1000
+    window_us = max(window_ms * 1000, 1)
 
     def find(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        prints = list(zip(*state.get)) if state.exists else []
+        parts = []
+        if state.exists:
+            parts.append(pa.table(list(map(pa.array, state.get, PRINT.types)), schema=PRINT))
         if not state.hasTimedOut:
-            for batch in batches:
-                clean = batch[list(PRINT)].astype(object).where(batch[list(PRINT)].notna(), None)
-                prints += list(clean.itertuples(index=False, name=None))
-        prints.sort(key=lambda p: (p[0], p[1]))
-        closed_us = state.getCurrentWatermarkMs() * 1000
-        found, left = _close_clusters(prints, closed_us, window_us, min_legs, min_venues)
-        if left:
-            state.update(tuple(list(column) for column in zip(*left)))
-            due = (left[0][0] + window_us) // 1000 + 1
+            parts += [pa.Table.from_pandas(b[PRINT.names], PRINT, preserve_index=False) for b in batches]
+        prints = ordered_prints(pa.concat_tables(parts) if parts else PRINT.empty_table())
+        us = prints["_us"].to_numpy()
+        following, hit = greedy_sweeps(*print_columns(prints), window_us, min_legs, min_venues)
+        # No later print can join what begins this early.
+        closed = int(np.searchsorted(us, state.getCurrentWatermarkMs() * 1000 - window_us))
+        starts, at = greedy.walked(following, hit, 0, closed)
+        left = prints.slice(at)
+        if left.num_rows:
+            state.update(tuple(c.to_pylist() for c in left.columns))
+            due = (int(us[at]) + window_us) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        rows = []
-        for cluster, places in found:
-            size = sum(p[3] for p in cluster)
-            value = sum(p[4] * p[3] for p in cluster if p[4] is not None)
-            rows.append(
-                (
-                    *key,
-                    pd.Timestamp(cluster[0][0], unit="us"),
-                    cluster[0][2],
-                    size,
-                    value / size if size else None,
-                    len(cluster),
-                    places,
-                )
-            )
-        names = [*CONTRACT, "ts", "side", "size", "price", "legs", "venues"]
+        rows = [
+            (*key, pd.Timestamp(at_us, unit="us"), *rest)
+            for at_us, *rest in sweep_rows(prints, starts, following)
+        ]
+        names = [*CONTRACT, "ts", "side", "size", "price", "legs", "venues", "event_key"]
         yield pd.DataFrame(rows, columns=names)
 
     return find
@@ -173,18 +147,19 @@ def sweeps(
 ) -> DataFrame:
     """Sweeps as soon as the watermark shows that no further print can join them.
 
-    The state of a contract holds the prints of the open window only.
+    The choice is that of :func:`strikelens.operators.flow.sweeps`. The state of a contract
+    holds the prints of the open window only.
     """
     ship_package(trades.sparkSession)
     prints = trades.withWatermark("ts", late).select(
         *CONTRACT,
         "ts",
-        F.unix_micros("ts").alias("us"),
+        F.unix_micros("ts").alias("_us"),
         F.col("seq").cast("bigint").alias("seq"),
         F.coalesce(F.col("side").cast("int"), F.lit(0)).alias("side"),
         F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"),
         F.col("price").cast("double").alias("price"),
-        "exchange",
+        F.col("exchange").cast("string").alias("exchange"),
     )
     return prints.groupBy(*CONTRACT).applyInPandasWithState(
         _sweep_finder(window_ms, min_legs, min_venues),

@@ -47,12 +47,25 @@ def unusual_volume(
     min_volume: int = 5000,
     late: str = "2 minutes",
 ) -> DataFrame:
-    """Contracts whose volume in a sliding window reaches the floor."""
+    """Contracts whose volume in a sliding window reaches the floor.
+
+    ``event_id`` names the contract and the window: a window that is looked at again gives the
+    same event.
+    """
     size = F.coalesce(F.col("size").cast("bigint"), F.lit(0))
     return (
         trades.withWatermark("ts", late)
         .groupBy(*CONTRACT, F.window("ts", span, every))
         .agg(F.sum(size).alias("size"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("legs"))
         .where(F.col("size") >= min_volume)
-        .select(*CONTRACT, F.col("window.end").alias("window_end"), "ts", "size", "legs")
+        .select(
+            *CONTRACT,
+            F.col("window.end").alias("window_end"),
+            "ts",
+            "size",
+            "legs",
+            F.sha2(
+                F.concat_ws("|", F.lit("UOA"), *CONTRACT, F.unix_micros("window.start")), 256
+            ).alias("event_id"),
+        )
     )

@@ -21,11 +21,11 @@ def sf_dir():
 
 
 @pytest.fixture
-def hot_keys(spark):
-    """Treat every key with more than 20 rows as hot."""
-    spark.conf.set("strikelens.hotKeyRows", "20")
+def short_slices(spark):
+    """Slices of a minute, so that small tapes have many."""
+    spark.conf.set("strikelens.sliceSeconds", "60")
     yield
-    spark.conf.unset("strikelens.hotKeyRows")
+    spark.conf.unset("strikelens.sliceSeconds")
 
 
 def _plain(value):

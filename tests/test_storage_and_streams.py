@@ -35,10 +35,11 @@ def test_merge_takes_the_newest_filled_value(spark):
 
 def test_batch_sink_is_idempotent_and_later_batches_win(spark, tmp_path):
     path = str(tmp_path / "ticks")
-    write = sinks.batch_sink(path, "futures_ticks")
-    write(ticks(spark, (at(0), "ESM6", 1, 1.0, 5, 0.5)), 0)
+    write = sinks.batch_sink(path, "futures_ticks", order=["arrival"])
+    arrived = lambda *rows: ticks(spark, *rows).withColumn("arrival", F.monotonically_increasing_id())
+    write(arrived((at(0), "ESM6", 1, 1.0, 5, 0.5)), 0)
     for _ in range(2):
-        write(ticks(spark, (at(0), "ESM6", 1, 2.0, None, None), (at(1), "ESM6", 2, 3.0, 1, None)), 1)
+        write(arrived((at(0), "ESM6", 1, 2.0, None, None), (at(1), "ESM6", 2, 3.0, 1, None)), 1)
     assert spark.read.parquet(path).count() == 3
     found = {r.seq: (float(r.price), r["size"]) for r in sinks.read_merged(spark, path, "futures_ticks").collect()}
     assert found == {1: (2.0, 5), 2: (3.0, 1)}
@@ -89,16 +90,60 @@ def test_storage_types(spark):
     assert stored.schema == TABLES["futures_ticks"].schema
 
 
-def test_expired_partitions_are_dropped(spark):
-    spark.sql("DROP TABLE IF EXISTS kept_chain")
+def test_expired_days_are_dropped(spark, tmp_path):
+    path = str(tmp_path / "chain")
     days = [dt.date(2024, 1, d) for d in (1, 5, 9)]
-    spark.createDataFrame([(d.day, d) for d in days], "v int, dt date").write.partitionBy("dt").saveAsTable("kept_chain")
-    try:
-        gone = sinks.drop_expired(spark, "kept_chain", "options_chain", as_of=dt.date(2024, 1, 10))
-        assert gone == ["dt=2024-01-01"]
-        assert spark.table("kept_chain").count() == 2
-    finally:
-        spark.sql("DROP TABLE kept_chain")
+    spark.createDataFrame([(d.day, d) for d in days], "v int, dt date").write.partitionBy("dt").parquet(path)
+    assert sinks.drop_expired(spark, path, "options_chain", as_of=dt.date(2024, 1, 10)) == ["2024-01-01"]
+    assert spark.read.parquet(path).count() == 2
+    assert sinks.drop_expired(spark, str(tmp_path / "none"), "options_chain", as_of=dt.date(2024, 1, 10)) == []
+
+
+def test_the_order_of_a_sink_is_outside_its_key(spark, tmp_path):
+    for order in ([], ["ts"], ["size", "seq"]):
+        with pytest.raises(ValueError):
+            sinks.batch_sink(str(tmp_path / "ticks"), "futures_ticks", order=order)
+
+
+def test_the_later_of_many_rows_of_a_key_is_stored(spark, tmp_path):
+    path = str(tmp_path / "ticks")
+    rows = [(at(0), "ESM6", 1, float(i), i, None) for i in range(50)]
+    write = sinks.batch_sink(path, "futures_ticks", order=["size"])
+    write(ticks(spark, *rows).repartition(4), 0)
+    [found] = sinks.read_merged(spark, path, "futures_ticks").collect()
+    assert (found["size"], float(found.price)) == (49, 49.0)
+
+
+def test_compaction_changes_no_value(spark, tmp_path, rows):
+    path = str(tmp_path / "ticks")
+    write = sinks.batch_sink(path, "futures_ticks", order=["size"])
+    for batch in range(3):
+        write(ticks(spark, (at(0), "ESM6", 1, 1.0 + batch, 5, None), (at(batch), "ESM6", 2, 3.0, 1, 0.5)), batch)
+    before = rows(sinks.read_merged(spark, path, "futures_ticks"))
+    sinks.compact(spark, path, "futures_ticks", day=START.date())
+    assert rows(sinks.read_merged(spark, path, "futures_ticks")) == before
+    assert spark.read.parquet(path).select("batch").distinct().count() == 1
+
+
+def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
+    assert sinks.stored_or_none(spark, str(tmp_path / "nothing")) is None
+    (tmp_path / "broken.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.stored_or_none(spark, str(tmp_path / "broken.parquet"))
+
+
+def test_prints_of_one_microsecond_have_their_own_ids(spark):
+    trade = "ts timestamp, seq bigint, symbol string, expiration date, strike double, option_type string, price double, size bigint, side int, exchange string"
+    base = (dt.date(2024, 1, 5), 5800.0, "C")
+    rows_ = [(at(0), 1, "SPXW", *base, 5.0, 100, 1, "A"), (at(0), 2, "SPXW", *base, 5.1, 100, 1, "B")]
+    found = flow.with_event_id(flow.blocks(spark.createDataFrame(rows_, trade)))
+    assert found.select("event_id").distinct().count() == 2
+    # A growing tape flags a contract once a day.
+    unusual = [
+        flow.with_event_id(flow.unusual_volume(spark.createDataFrame(rows_[:n], trade), min_volume=50)).first().event_id
+        for n in (1, 2)
+    ]
+    assert unusual[0] == unusual[1]
 
 
 @pytest.fixture
@@ -124,6 +169,36 @@ def test_chain_stream_equals_the_batch(spark, sf_dir, rows, split_records):
     assert rows(as_numbers(streamed)) == rows(as_numbers(tape.chain_state(records)))
 
 
+def test_chain_stream_survives_a_weekend(spark, split_records):
+    """A quote and open interest on Friday, a trade on Monday."""
+    schema = "instrument_id bigint, ts timestamp, seq bigint, kind string, price double, size bigint, bid double, ask double, quantity bigint"
+    friday, monday = dt.datetime(2024, 1, 5, 20), dt.datetime(2024, 1, 8, 14)
+    records = spark.createDataFrame(
+        [
+            (1, friday, 1, "quote", None, None, 5.0, 5.2, None),
+            (1, friday, 2, "open_interest", None, None, None, None, 700),
+            (2, dt.datetime(2024, 1, 7, 12), 3, "quote", None, None, 1.0, 1.1, None),
+            (2, dt.datetime(2024, 1, 8, 9), 4, "quote", None, None, 1.0, 1.1, None),
+            (1, monday, 5, "trade", 5.1, 3, None, None, None),
+        ],
+        schema,
+    )
+    found = drain(stateful.chain_rows(split_records(records, "weekend"))).where("seq = 5").first()
+    assert (found.bid, found.ask, found.oi) == (5.0, 5.2, 700.0)
+
+
+def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
+    """A row within the allowance counts, one behind it doesn't."""
+    path = str(tmp_path / "late")
+    trade = "ts timestamp, seq bigint, symbol string, expiration date, strike double, option_type string, price double, size bigint, side int, exchange string"
+    row = lambda minute, seq: (at(minute), seq, "SPXW", dt.date(2024, 1, 5), 5800.0, "C", 1.0, 1, 1, "A")
+    for batch in ([row(0, 1)], [row(10, 2)], [row(11, 7)], [row(10, 3), row(0, 4)], [row(30, 5)], [row(31, 6)]):
+        spark.createDataFrame(batch, trade).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = {r.ts: r.call_premium for r in drain(windows.premium_buckets(stream)).collect()}
+    assert found == {at(0): -100.0, at(10): -200.0, at(11): -100.0}
+
+
 def test_sweep_stream_equals_the_batch(spark, sf_dir, rows, split_records):
     trades = demo.options_trades(spark, sf_dir)
     # Prints ten days later close every open window.
@@ -160,14 +235,14 @@ def test_alert_stream_remembers_previous_payload_and_cooldown(spark, tmp_path):
          "rule": {"field": "ATM_IV.value", "op": "gt", "value": 2}},
     ]
     evaluate = alert_sink(metrics_path, events_path, rules)
-    for batch_id, (minute, value) in enumerate([(0, 1.0), (1, 3.0), (2, 3.0), (3, 3.0)]):
+    for batch_id, (minute, value) in enumerate([(0, 1.0), (3 * 1440, 3.0), (3 * 1440 + 1, 3.0), (3 * 1440 + 2, 3.0)]):
         row = (at(minute), "SPXW", "ATM_IV", 0.0, dt.date(1970, 1, 1), at(minute), value, None)
         batch = spark.createDataFrame([row], schema)
         sinks.write_metrics(batch, metrics_path)
         for _ in range(2):  # a batch that runs again changes nothing
             evaluate(batch, batch_id)
-    found = sorted((r.rule_id, (r.ts - START).seconds // 60) for r in spark.read.parquet(events_path).collect())
-    assert found == [("high", 1), ("high", 3), ("up", 1)]
+    found = sorted((r.rule_id, int((r.ts - START).total_seconds()) // 60 - 3 * 1440) for r in spark.read.parquet(events_path).collect())
+    assert found == [("high", 0), ("high", 2), ("up", 0)]  # over a long weekend
 
 
 def test_trade_stream_equals_the_batch(spark, sf_dir, rows, split_records):
@@ -190,7 +265,7 @@ def test_sliding_volume_stream(spark, sf_dir, rows, split_records):
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("legs")
     ).select(*contract, F.col("window.end").alias("window_end"), "size", "legs")
     closed = batch.where("size >= 300 AND window_end <= '2024-01-30'")
-    streamed = found.where("window_end <= '2024-01-30'").drop("ts")
+    streamed = found.where("window_end <= '2024-01-30'").drop("ts", "event_id")
     assert rows(streamed) == rows(closed) and closed.count() > 0
 
 

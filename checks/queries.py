@@ -549,8 +549,12 @@ def health_alarm(spark, sf):
 
 def _fired(spark, sf):
     payloads = alerts.payload_history(_history_metrics(spark, sf)).persist()
-    enabled = [rule for rule in demo.alert_rules() if rule["enabled"]]
-    return alerts.evaluate_rules(payloads, enabled)
+    rules = demo.alert_rules()
+    enabled = {rule["id"]: rule["enabled"] for rule in rules}
+    stored = alerts.rule_table(spark, rules).withColumn(
+        "enabled", F.col("id").isin([name for name, on in enabled.items() if on])
+    )
+    return alerts.evaluate_rules(payloads, alerts.load_rules(stored))
 
 @register("alerts_fired", "rule_id symbol snapshot_ts:t matched", "fired_listed")
 def alerts_fired(spark, sf):

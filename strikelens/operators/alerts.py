@@ -1,56 +1,86 @@
 """Alert rules: predicate trees over the metric payload of a symbol, with cooldown.
 
 A payload is one JSON text per symbol and snapshot, ``{metric_type: {value, ts, ...}}``.
-Rules are configuration: they are read on the driver and become Columns, so every rule is
-evaluated for every snapshot inside one projection.
+Rules are rows of a table; their trees are flattened into leaves that are joined with payloads.
 """
 
 from __future__ import annotations
 
 import json
-import operator
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strikelens.functions.columns import instant
 from strikelens.operators import greedy
+from strikelens.session import ship_package
 
 PAYLOAD_SECONDS = 600
 LONGEST_LIST = 10
 
+# The names of the tests.
 COMPARE = {
-    "gt": operator.gt,
-    "lt": operator.lt,
-    "ge": operator.ge,
-    "le": operator.le,
-    "eq": operator.eq,
-    "ne": operator.ne,
-    "abs_gt": lambda value, limit: F.abs(value) > limit,
-    "abs_lt": lambda value, limit: F.abs(value) < limit,
+    "gt": lambda now, limit: now > limit,
+    "lt": lambda now, limit: now < limit,
+    "ge": lambda now, limit: now >= limit,
+    "le": lambda now, limit: now <= limit,
+    "eq": lambda now, limit: now == limit,
+    "ne": lambda now, limit: now != limit,
+    "abs_gt": lambda now, limit: F.abs(now) > limit,
+    "abs_lt": lambda now, limit: F.abs(now) < limit,
 }
 CROSSINGS = {
     "cross_above": lambda before, now, limit: (before <= limit) & (now > limit),
     "cross_below": lambda before, now, limit: (before >= limit) & (now < limit),
 }
+RULE = "id string, symbol string, rule string, cooldown_seconds int, last_fired_at timestamp"
 
 
-def load_rules(rules: DataFrame) -> list[dict]:
-    """The enabled rules as dictionaries, their trees parsed from JSON text."""
-    enabled = rules.where("enabled").toLocalIterator()
-    return [{**row.asDict(), "rule": json.loads(row["rule"])} for row in enabled]
+def load_rules(rules: DataFrame) -> DataFrame:
+    """The enabled rules of the stored table."""
+    return rules.where("enabled").select("id", "symbol", "rule", "cooldown_seconds", "last_fired_at")
 
 
-def payload_number(payload: str, field: str) -> Column:
+def rule_table(spark: SparkSession, rules: Iterable[dict]) -> DataFrame:
+    """Rules given as dictionaries, as a table like the stored one."""
+    rows = [
+        (str(r["id"]), r["symbol"], json.dumps(r["rule"]), int(r.get("cooldown_seconds") or 0), r.get("last_fired_at"))
+        for r in rules
+    ]
+    return spark.createDataFrame(rows, RULE)
+
+
+def with_last_fired(rules: DataFrame, fired: DataFrame, *, order: str = "snapshot_ts") -> DataFrame:
+    """The rules with the time of their newest kept firing, to be stored again."""
+    newest = fired.groupBy(F.col("rule_id").alias("_of")).agg(F.max(order).alias("_last"))
+    return (
+        rules.join(newest, F.col("id") == F.col("_of"), "left")
+        .withColumn("last_fired_at", F.greatest("last_fired_at", "_last"))
+        .select(rules.columns)
+    )
+
+
+def payload_number(payload: Column, field: Column) -> Column:
     """Number at a dotted path, steps being object keys or list positions; null if absent."""
-    steps = field.split(".")
-    by_key = "$" + "".join(f"['{step}']" for step in steps)
-    found = F.get_json_object(payload, by_key)
-    if any(step.isdigit() for step in steps):
-        by_place = "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps)
-        found = F.coalesce(found, F.get_json_object(payload, by_place))
+    steps = F.split(field, "\\.")
+    by_key = F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.concat(F.lit("['"), s, F.lit("']"))), ""))
+    by_place = F.concat(
+        F.lit("$"),
+        F.array_join(
+            F.transform(
+                steps,
+                lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(
+                    F.concat(F.lit("['"), s, F.lit("']"))
+                ),
+            ),
+            "",
+        ),
+    )
+    found = F.call_function("get_json_object", payload, by_key)
+    found = F.coalesce(found, F.call_function("get_json_object", payload, by_place))
     flag = F.when(found == "true", 1.0).when(found == "false", 0.0)
     return F.coalesce(flag, found.try_cast("double"))
 
@@ -62,118 +92,140 @@ def _constant(value) -> float | None:
         return None
 
 
-def _leaves(node) -> Iterable[dict]:
+def _branch(node) -> tuple[list, bool] | None:
+    """The children of a branch, and which outcome of a child decides it."""
+    for name, stops_at in (("all", False), ("any", True)):
+        if isinstance(node.get(name), list):
+            return node[name], stops_at
+    return None
+
+
+def tree_leaves(node) -> list[dict]:
+    """The tests of a rule's tree in the order they are written."""
     if not isinstance(node, dict):
-        return
-    for branch in ("all", "any"):
-        if isinstance(node.get(branch), list):
-            for child in node[branch]:
-                yield from _leaves(child)
-            return
-    if isinstance(node.get("field"), str) and isinstance(node.get("op"), str):
-        yield node
-
-
-class _Clauses:
-    """Column names for the numbers and the verdicts that the trees need."""
-
-    def __init__(self, rules: Iterable[dict]):
-        self.leaves = [leaf for rule in rules for leaf in _leaves(rule["rule"])]
-        self.fields = sorted({leaf["field"] for leaf in self.leaves})
-
-    def now(self, field: str) -> str:
-        return f"_now_{self.fields.index(field)}"
-
-    def before(self, field: str) -> str:
-        return f"_before_{self.fields.index(field)}"
-
-    def crossing_fields(self) -> list[str]:
-        return sorted({leaf["field"] for leaf in self.leaves if leaf["op"] in CROSSINGS})
-
-    def verdict(self, leaf: dict) -> Column:
-        """Two-valued: anything missing or not a number is false."""
-        limit = _constant(leaf.get("value"))
-        if limit is None:
-            return F.lit(False)
-        if leaf["op"] in COMPARE:
-            test = COMPARE[leaf["op"]](F.col(self.now(leaf["field"])), F.lit(limit))
-        elif leaf["op"] in CROSSINGS:
-            test = CROSSINGS[leaf["op"]](
-                F.col(self.before(leaf["field"])), F.col(self.now(leaf["field"])), F.lit(limit)
-            )
-        else:
-            return F.lit(False)
-        return F.coalesce(test, F.lit(False))
-
-    def tree(self, node, visited: Column) -> tuple[Column, list[Column]]:
-        """Verdict of a node, and its matched texts given that the node is visited at all.
-
-        A branch stops at the first child that decides it, so later children count as
-        visited only while the branch is open.
-        """
-        if not isinstance(node, dict):
-            return F.lit(False), []
-        for branch, stops_at in (("all", False), ("any", True)):
-            if isinstance(node.get(branch), list):
-                verdict, texts = F.lit(not stops_at), []
-                for child in node[branch]:
-                    is_open = ~verdict if stops_at else verdict
-                    outcome, found = self.tree(child, visited & is_open)
-                    verdict = (verdict | outcome) if stops_at else (verdict & outcome)
-                    texts += found
-                return verdict, texts
-        if not (isinstance(node.get("field"), str) and isinstance(node.get("op"), str)):
-            return F.lit(False), []
-        verdict = self.verdict(node)
-        text = f"{node['field']} {node['op']} {node.get('value')}"
-        return verdict, [F.when(visited & verdict, text)]
+        return []
+    if branch := _branch(node):
+        return [leaf for child in branch[0] for leaf in tree_leaves(child)]
+    return [node] if isinstance(node.get("field"), str) and isinstance(node.get("op"), str) else []
+
+
+def tree_verdict(node, outcomes: Iterator[bool]) -> tuple[bool, list[str]]:
+    """The verdict of a tree, given the outcomes of its leaves in order, and the matched texts.
+
+    A branch stops at the first child that decides it; later children are not looked at.
+    """
+    if not isinstance(node, dict):
+        return False, []
+    if branch := _branch(node):
+        children, stops_at = branch
+        verdict, texts, is_open = not stops_at, [], True
+        for child in children:
+            outcome, found = tree_verdict(child, outcomes)  # uses up its outcomes in any case
+            if is_open:
+                texts += found
+                if outcome == stops_at:
+                    verdict, is_open = stops_at, False
+        return verdict, texts
+    if not tree_leaves(node):
+        return False, []
+    hit = next(outcomes)
+    return hit, [f"{node['field']} {node['op']} {node.get('value')}"] if hit else []
+
+
+def _flattened(rules: DataFrame) -> DataFrame:
+    """One row per leaf: rule, symbol, number of the leaf, field, operation and limit.
+
+    A rule without any leaf has one row without a field, so that it is judged as well.
+    """
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for rule_id, symbol, text in zip(batch["id"], batch["symbol"], batch["rule"]):
+                for k, leaf in enumerate(tree_leaves(json.loads(text)) or [{}]):
+                    rows.append((rule_id, symbol, k, leaf.get("field"), leaf.get("op"), _constant(leaf.get("value"))))
+            yield pd.DataFrame(rows, columns=["rule_id", "symbol", "leaf", "field", "op", "limit"])
+
+    schema = "rule_id string, symbol string, leaf int, field string, op string, limit double"
+    return rules.select("id", "symbol", "rule").mapInPandas(job, schema)
 
 
 def evaluate_rules(
-    payloads: DataFrame, rules: Sequence[dict], *, order: str = "snapshot_ts"
+    payloads: DataFrame, rules: DataFrame | Sequence[dict], *, order: str = "snapshot_ts"
 ) -> DataFrame:
     """Every rule that fires, per snapshot: rule, matched clauses and the trimmed payload.
 
-    Crossings compare with the previous payload of the symbol; the first one has none.
+    Rules are rows, so ten thousand of them plan like ten. Their leaves are met by the numbers
+    of the payload, taken out of its text once per field; the outcomes are put together per rule
+    and snapshot, and only what fires gets its payload back. Crossings compare with the previous
+    payload of the symbol; the first one has none. Anything missing or not a number is false.
     """
-    clauses = _Clauses(rules)
-    read = payloads.withColumns(
-        {clauses.now(f): payload_number("payload", f) for f in clauses.fields}
+    spark = payloads.sparkSession
+    ship_package(spark)
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(spark, rules)
+    at = F.col(order).alias("_at")
+    leaves = _flattened(rules)
+    fields = leaves.groupBy(F.col("symbol").alias("_of")).agg(
+        F.collect_set(F.coalesce("field", F.lit(""))).alias("_fields")
     )
-    previous = Window.partitionBy("symbol").orderBy(order)
-    read = read.withColumns(
-        {clauses.before(f): F.lag(clauses.now(f)).over(previous) for f in clauses.crossing_fields()}
+    numbers = (
+        payloads.join(fields, F.col("symbol") == F.col("_of"))
+        .select("symbol", at, "payload", F.explode("_fields").alias("field"))
+        .select("symbol", "_at", "field", payload_number(F.col("payload"), F.col("field")).alias("now"))
     )
-    results = []
-    for rule in rules:
-        verdict, texts = clauses.tree(rule["rule"], F.lit(True))
-        matched = F.array_compact(F.array(*texts)) if texts else F.array()
-        results.append(
-            F.struct(
-                F.lit(rule["id"]).alias("rule_id"),
-                ((F.col("symbol") == rule["symbol"]) & verdict).alias("fired"),
-                matched.cast("array<string>").alias("matched"),
-                F.lit(int(rule.get("cooldown_seconds") or 0)).alias("cooldown_seconds"),
-                F.lit(rule.get("last_fired_at")).cast("timestamp").alias("last_fired_at"),
-            )
-        )
-    if not results:
-        results = [
-            F.struct(
-                F.lit("").alias("rule_id"), F.lit(False).alias("fired"),
-                F.array().cast("array<string>").alias("matched"),
-                F.lit(0).alias("cooldown_seconds"),
-                F.lit(None).cast("timestamp").alias("last_fired_at"),
+    before = Window.partitionBy("symbol", "field").orderBy("_at")
+    numbers = numbers.withColumn("before", F.lag("now").over(before)).select(
+        F.col("symbol").alias("_symbol"), "_at", F.col("field").alias("_field"), "now", "before"
+    )
+    now, limit = F.col("now"), F.col("limit")
+    test = F.lit(False)
+    for name, compare in COMPARE.items():
+        test = F.when(F.col("op") == name, compare(now, limit)).otherwise(test)
+    for name, crosses in CROSSINGS.items():
+        test = F.when(F.col("op") == name, crosses(F.col("before"), now, limit)).otherwise(test)
+    met = leaves.join(
+        numbers,
+        (F.col("symbol") == F.col("_symbol")) & (F.coalesce("field", F.lit("")) == F.col("_field")),
+    )
+    outcomes = met.groupBy("rule_id", "symbol", "_at").agg(
+        F.array_sort(F.collect_list(F.struct("leaf", F.coalesce(test, F.lit(False)).alias("hit")))).alias("_hits")
+    )
+    trees = rules.select(F.col("id").alias("_id"), "rule", "cooldown_seconds", "last_fired_at")
+    judged = outcomes.join(trees, F.col("rule_id") == F.col("_id")).select(
+        "rule_id", "symbol", "_at", "cooldown_seconds", "last_fired_at", "rule", F.col("_hits.hit").alias("hits")
+    )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[str, dict] = {}
+        for batch in batches:
+            kept, matched = [], []
+            for i, (text, hits) in enumerate(zip(batch["rule"].to_pylist(), batch["hits"].to_pylist())):
+                if text not in parsed:
+                    parsed[text] = json.loads(text)
+                fires, texts = tree_verdict(parsed[text], iter(hits))
+                if fires:
+                    kept.append(i)
+                    matched.append(texts)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns[:5], pa.array(matched, pa.list_(pa.string()))],
+                names=["rule_id", "symbol", "_at", "cooldown_seconds", "last_fired_at", "matched"],
             )
-        ]
-    fired = F.explode(F.filter(F.array(*results), lambda r: r["fired"])).alias("_hit")
-    return read.select(F.col(order), "symbol", "payload", fired).select(
-        F.col(order),
+
+    schema = (
+        "rule_id string, symbol string, _at timestamp, cooldown_seconds int, last_fired_at timestamp, "
+        "matched array<string>"
+    )
+    fired = judged.mapInArrow(judge, schema)
+    texts = payloads.select(F.col("symbol").alias("_symbol"), F.col(order), "payload")
+    return fired.join(texts, (F.col("symbol") == F.col("_symbol")) & (F.col("_at") == F.col(order))).select(
+        order,
         "symbol",
-        "_hit.rule_id",
-        "_hit.matched",
-        "_hit.cooldown_seconds",
-        "_hit.last_fired_at",
+        "rule_id",
+        "matched",
+        F.coalesce("cooldown_seconds", F.lit(0)).alias("cooldown_seconds"),
+        "last_fired_at",
         shrink_payload(F.col("payload")).alias("payload"),
     )
 

@@ -31,7 +31,7 @@ def _remember(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def alert_sink(
-    metrics_path: str, events_path: str, rules: Sequence[dict]
+    metrics_path: str, events_path: str, rules: DataFrame | Sequence[dict]
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that evaluates the rules at the batch's metric times.
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +236,24 @@ def test_crossings_need_a_previous_payload(spark):
     assert minute(above) == [3] and minute(below) == [1, 4]
 
 
+def test_many_rules_plan_like_few(spark):
+    payloads = spark.createDataFrame([(START, "SPXW", json.dumps(GEX[0] if isinstance(GEX, list) else GEX))], "snapshot_ts timestamp, symbol string, payload string")
+    seconds = []
+    for n in (10, 10_000):
+        table = alerts.rule_table(spark, [rule(leaf("A.value", "gt", i), id=f"r{i}") for i in range(n)])
+        begun = time.perf_counter()
+        alerts.evaluate_rules(payloads, table)._jdf.queryExecution().executedPlan()
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 5 * seconds[0] + 2
+
+
+def test_rules_remember_their_last_firing(spark):
+    table = alerts.rule_table(spark, [rule(leaf("A.value", "gt", 0), id=i) for i in ("a", "b")])
+    fired = spark.createDataFrame([("a", START), ("a", START + dt.timedelta(minutes=3))], "rule_id string, snapshot_ts timestamp")
+    found = {r.id: r.last_fired_at for r in alerts.with_last_fired(table, fired).collect()}
+    assert found == {"a": START + dt.timedelta(minutes=3), "b": None}
+
+
 def test_long_lists_are_trimmed(spark):
     payload = {"A": {"value": 1, "long": list(range(11)), "short": list(range(10))}}
     kept = json.loads(fire(spark, leaf("A.value", "gt", 0), payload)[0].payload)

@@ -795,6 +795,24 @@ SELECT * FROM sweep_events WHERE ts + INTERVAL 24 HOURS <
   (SELECT date_trunc('milliseconds', max(ts)) FROM trades) - INTERVAL 2 SECONDS"""
 
 
+# Records of three kinds to chain rows.
+CTES["raw_all"] = """
+SELECT instrument_id, ts, seq, 'trade' AS kind, price, size FROM raw_prints
+UNION ALL BY NAME SELECT instrument_id, ts, seq, 'quote' AS kind, bid, ask FROM raw_quotes
+UNION ALL BY NAME SELECT instrument_id, ts, seq, kind, quantity FROM raw_statistics"""
+CTES["raw_running"] = """
+SELECT *, coalesce(sum(size) FILTER (kind = 'trade') OVER w, 0) AS traded,
+       count(size) FILTER (kind = 'trade') OVER w AS sized
+FROM raw_all WINDOW w AS (PARTITION BY instrument_id ORDER BY ts, seq)"""
+CTES["ingested"] = """
+SELECT instrument_id, ts, seq, kind, last_value(bid IGNORE NULLS) OVER w AS bid, last_value(ask IGNORE NULLS) OVER w AS ask,
+       last_value(CASE WHEN kind = 'trade' THEN price END IGNORE NULLS) OVER w AS last_price,
+       last_value(CASE WHEN kind = 'open_interest' THEN quantity END IGNORE NULLS) OVER w AS oi,
+       CASE WHEN sized > 0 OR last_value(CASE WHEN kind = 'cumulative_volume' THEN quantity END IGNORE NULLS) OVER w IS NOT NULL
+            THEN traded + coalesce(last_value(CASE WHEN kind = 'cumulative_volume' THEN quantity - traded END IGNORE NULLS) OVER w, 0)
+       END AS volume
+FROM raw_running WINDOW w AS (PARTITION BY instrument_id ORDER BY ts, seq)"""
+
 # Stored tables.
 CTES["scanned_chain"] = """
 SELECT * FROM chain WHERE ts >= TIMESTAMP '1996-03-01' AND ts <= TIMESTAMP '1996-03-20 12:00:00' AND symbol IN ('SPXW', 'RUTW')"""

@@ -583,6 +583,15 @@ def statistic_records(spark, sf):
     return records.statistics(demo.statistic_records(spark, sf))
 
 
+@register("ingest_chain", "instrument_id ts:t seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "ingested")
+def ingest_chain(spark, sf):
+    """The whole ingest: vendor prints, quotes and statistics to chain rows."""
+    together = records.chain_records(
+        option_trade_records(spark, sf), option_quote_records(spark, sf), statistic_records(spark, sf)
+    )
+    return tape.chain_state(together)
+
+
 @register("option_registry", f"instrument_id {LEG}", "registry")
 def option_registry(spark, sf):
     return _contracts(spark, sf)

@@ -152,7 +152,7 @@ def with_price(
 
 
 def price_array(spot, strike, tau, sigma, r: float, call) -> np.ndarray:
-    """:func:`price` on numpy arrays of positive inputs."""
+    """The value that :func:`with_price` gives, on numpy arrays of positive inputs."""
     width = sigma * np.sqrt(tau)
     first = (np.log(spot / strike) + (r + 0.5 * sigma * sigma) * tau) / width
     second = first - width

@@ -42,10 +42,6 @@ def metric_breakdown(metrics: DataFrame, *, now) -> DataFrame:
     ).withColumn("lag_seconds", lag_seconds(F.col("last_seen"), now))
 
 
-def rows_per_symbol(df: DataFrame) -> DataFrame:
-    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def chain_quality(chain: DataFrame, *, now, window: str = "1 hour") -> DataFrame:
     """Share of filled values per symbol over the last hour, or over all rows if it is empty.
 

@@ -12,6 +12,7 @@ from strikelens.operators import exposure, flow, positioning, profile, vol
 from strikelens.operators.snapshot import with_spot
 
 #: Expiry of metrics that belong to no single expiry.
+# Metric names and their extra fields, here and in the rows below.
 NO_EXPIRY = "1970-01-01"
 #: Strikes listed at either end of an exposure curve.
 TOP_LEVELS = 5

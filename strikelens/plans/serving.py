@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# The metric types shown by the inspector, in its order.
 INSPECTED_TYPES = (
     "GEX_NET_TOTAL_VOL", "GEX_NET_TOTAL", "VANNA_NET_TOTAL", "CHARM_NET_TOTAL", "MAX_PAIN",
     "ATM_IV", "MOVE_TRACKER", "REGIME_VOL", "REGIME_OI", "HIRO", "BASIS_SPX_ES",

@@ -27,6 +27,7 @@ class Table:
         return StructType.fromDDL(self.ddl)
 
 
+# Columns, types, keys and retention of the stored tables.
 TABLES = {
     "options_chain": Table(
         "ts timestamp, symbol string, expiration date, strike decimal(20,6), "
@@ -90,9 +91,3 @@ def to_storage(df: DataFrame, table: str) -> DataFrame:
             for f in TABLES[table].schema.fields
         )
     )
-
-
-def to_doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, for computing on a stored table."""
-    decimals = [f.name for f in df.schema.fields if f.dataType.typeName() == "decimal"]
-    return df.withColumns({name: F.col(name).cast("double") for name in decimals})

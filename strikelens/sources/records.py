@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from strikelens.functions.columns import fixed_point, from_epoch_ns, instant, option_letter
 
+# The vendor's codes and field names, here and in the selections below.
 OPEN_INTEREST = 9
 CUMULATIVE_VOLUME = 10
 QUOTE_FIELDS = (

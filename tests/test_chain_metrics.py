@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikelens.functions import greeks
-from strikelens.operators import exposure, positioning, vol
+from strikelens.functions.columns import number
+from strikelens.operators import exposure, positioning, quality, vol
 from strikelens.operators.snapshot import (
     basis_carry,
     fill_open_interest,
@@ -15,6 +16,7 @@ from strikelens.operators.snapshot import (
     parity_spot,
     resolve_spot,
 )
+from strikelens.plans import serving
 from strikelens.plans.pipeline import run_chain_pipeline, run_history_pipeline
 from strikelens.sources import demo
 
@@ -293,3 +295,15 @@ def test_history_gives_the_latest_snapshot_the_same_totals(spark):
             for r in metrics.where("ts = '2024-01-02' AND value IS NOT NULL").collect()
         }
     assert pick(history) == pick(single) and len(pick(single)) > 20
+
+
+def test_numbers_at_ingest(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), (None,)], "v string")
+    assert [r.n for r in df.select(number("v").alias("n")).collect()] == [1.5, None, None, None]
+
+
+def test_rule_counts_and_recent_alerts(spark):
+    rules = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "id string, enabled boolean")
+    assert quality.rule_counts(rules).first().asDict() == {"rules_total": 3, "rules_enabled": 2}
+    events = spark.createDataFrame([(f"r{i}", dt.datetime(2024, 1, 1, i)) for i in range(5)], "rule_id string, ts timestamp")
+    assert [r.rule_id for r in serving.recent_alerts(events, 2).collect()] == ["r4", "r3"]

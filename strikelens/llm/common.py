@@ -33,12 +33,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a job sees at once: whole texts, and what is made of them, are held together.
+ROWS = 256
+BATCH_BYTES = 8 << 20
+#: What a worker keeps from task to task, by the module that keeps it, and how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
 def map_batches(
     df: DataFrame, job: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(job, schema)
+    """``mapInArrow`` with this package on the workers.
+
+    Workers live on between jobs; one that begins a job drops what other modules have kept, so
+    that the tables of one operator don't stand beside those of the next. A job gets ``ROWS``
+    rows at a time. Arrow's batches are limited to ``BATCH_BYTES`` in the session, where it has
+    no lower limit: rows here are texts, and ten thousand of them are no small buffer.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4 * ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+    owner = job.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, drop in KEPT.items():
+            if module != owner:
+                drop()
+        yield from job(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names that clash with nothing, and the new name of each old one.
+
+    ``toDF(*df.columns)`` on the new columns, in their order, gives the old names back.
+    """
+    names = [f"column_{i}_of_input" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

@@ -17,7 +17,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.where("v < u" if small else "true")
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(least.hint("merge"), "u")  # both sides grow with the links
     if small:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
@@ -46,6 +46,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
-    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
+    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).hint("merge"), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikelens.llm.common import written
+from strikelens.llm.common import renamed, written
 
 #: The exponent is a multiple of 1 / STEPS.
 STEPS = 1 << 30
@@ -185,9 +185,12 @@ def mix(
 
 def mixed_rows(df: DataFrame, **goal) -> DataFrame:
     """``df`` with each row as often as its mixture passes over it; same columns."""
+    rows, name = renamed(df)
     passes = mix(df, **goal).groupBy(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source")).agg(F.count("*").alias("passes"))
-    met = df.join(
+    met = rows.join(
         passes,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & F.col("source").cast("string").eqNullSafe(F.col("of_source")),
+        F.col(name["doc_id"]).cast("long").eqNullSafe(F.col("of_id"))
+        & F.col(name["source"]).cast("string").eqNullSafe(F.col("of_source")),
     )
-    return met.withColumn("of_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes")))).select(df.columns)
+    repeated = met.withColumn("of_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
+    return repeated.select(rows.columns).toDF(*df.columns)

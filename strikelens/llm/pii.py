@@ -99,10 +99,9 @@ def span_features(text: str, start: int, end: int) -> list[str]:
         "bias",
         f"shape {shape}",
         f"coarse {re.sub('d[0-9]', 'd', shape)}",
-        f"digits {min(len(digits), 20)}",
+        f"digits {min(len(digits), 20)} {any(map(str.isalpha, span))}",
         f"before {'a' if before.isalnum() else before or '^'}",
         f"after {'a' if after.isalnum() else after or '$'}",
-        f"letters {any(map(str.isalpha, span))}",
     ]
     if 13 <= len(digits) <= 19:
         found.append(f"luhn {luhn(digits)}")
@@ -204,7 +203,8 @@ def _distractor(rng: random.Random) -> str:
     return rng.choice(
         [f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}", f"{n(10)}.{n(10)}.{n(10)}", f"{n(1000)},{n(100, 1000)}.{n(10, 100)}",
          f"{n(256, 999)}.{n(999)}.{n(999)}.{n(256, 999)}", "".join(rng.choices("0123456789abcdef", k=40)),
-         str(n(10**9, 10**12)), f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"#{n(10**6)}", f"{n(10**13, 10**14)}7x"]
+         str(n(10**9, 10**12)), f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}",
+         f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)} at {n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"#{n(10**6)}", f"{n(10**13, 10**14)}7x"]
     )
 
 
@@ -292,18 +292,18 @@ def fit_on(df: DataFrame, sample_docs: int = 2000) -> SemiCrf:
     """Fit on passages of at most ``sample_docs`` documents that hold a base-like character.
 
     The sample is the smallest hashes of ``doc_id`` and text among such documents: the same
-    rows give the same model, whatever their order or partitions. Texts over 20,000 code points
-    are left to other rows of the sample.
+    rows give the same model, whatever their order or partitions; equal rows count once. Hashes
+    alone are ordered, and only the chosen texts are fetched. Texts over 20,000 code points are
+    left to other rows of the sample.
     """
-    chosen = (
+    rows = (
         documents(df)
         .where("text rlike '[0-9]' and length(text) <= 20000")
-        .select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-        .orderBy("h", "doc_id", "text")
-        .limit(sample_docs)
-        .select("text")
+        .select(F.xxhash64("doc_id", "text").alias("h"), "text")
     )
-    return fit([r.text for r in chosen.toLocalIterator()])
+    least = rows.select(F.col("h").alias("of")).distinct().orderBy("of").limit(sample_docs)
+    chosen = rows.join(F.broadcast(least), F.col("h") == F.col("of")).dropDuplicates(["h"]).orderBy("h")
+    return fit([r.text for r in chosen.select("text").toLocalIterator()])
 
 
 def find_pii(df: DataFrame, model: SemiCrf) -> DataFrame:

@@ -160,11 +160,11 @@ def fit_on(
         .withColumn("order_hash", F.xxhash64("doc_id"))
         .orderBy("order_hash", "doc_id")
         .limit(sample_docs)
-        .select(F.col("doc_id").alias("label_id"), "order_hash", *label_columns)
+        .select(F.col("doc_id").alias("_label_id"), "order_hash", *label_columns)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    sample = texts.join(F.broadcast(chosen), F.expr("text_id = label_id")).select(
-        "text_id",
+    texts = docs.select(F.col("doc_id").cast("long").alias("_row_id"), "text")
+    sample = texts.join(F.broadcast(chosen), F.expr("_row_id = _label_id")).select(
+        "_row_id",
         "text",
         F.pmod("order_hash", F.lit(FOLDS)).cast("int").alias("fold"),
         F.array(*[F.coalesce(rule.cast("int"), F.lit(0)) for _, rule in categories]).alias("targets"),
@@ -174,14 +174,14 @@ def fit_on(
         for batch in batches:
             found = [sorted(word_features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("text_id", "fold", "targets")), pa.array(found, pa.list_(pa.string()))],
-                names=["text_id", "fold", "targets", "features"],
+                [*(batch.column(c) for c in ("_row_id", "fold", "targets")), pa.array(found, pa.list_(pa.string()))],
+                names=["_row_id", "fold", "targets", "features"],
             )
 
     rows = written(
-        map_batches(sample, extract, "text_id long, fold int, targets array<int>, features array<string>"),
+        map_batches(sample, extract, "_row_id long, fold int, targets array<int>, features array<string>"),
         "toxicity-sample",
-    ).dropDuplicates(["text_id"])
+    ).dropDuplicates(["_row_id"])
     names = [name for name, _ in categories]
     sums = rows.agg(F.count("*"), *[F.coalesce(F.sum(F.col("targets")[k]), F.lit(0)) for k in range(len(names))]).first()
     total, positives = sums[0], sums[1:]
@@ -207,12 +207,12 @@ def fit_on(
     place = {f: i for i, f in enumerate(features)}
     kept = F.broadcast(docs.sparkSession.createDataFrame([(f,) for f in features], "feature string"))
     sparse = (
-        rows.select("text_id", F.explode("features").alias("feature"))
+        rows.select("_row_id", F.explode("features").alias("feature"))
         .join(kept, "feature")
-        .groupBy("text_id")
+        .groupBy("_row_id")
         .agg(F.sort_array(F.collect_list("feature")).alias("found"))
     )
-    cases = rows.select("text_id", "fold", "targets").join(sparse, "text_id", "left").orderBy("text_id").collect()
+    cases = rows.select("_row_id", "fold", "targets").join(sparse, "_row_id", "left").orderBy("_row_id").collect()
     if not cases:
         zero = np.zeros(len(features))
         return Chain(names, features, [zero] * len(names), [np.zeros(k) for k in range(len(names))], [0.0] * len(names))

@@ -36,7 +36,7 @@ def test_rules(frame):
         (6, "MIT", 0),
         (7, "MIT", 0),
     ]
-    assert rows[4][1] == "5,U6"
+    assert rows[4][1] == "5,U,6"
 
 
 def test_odd_rows(odd, empty):

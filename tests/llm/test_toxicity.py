@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from strikelens.llm import toxicity
 
-RULES = (("insult", F.col("insult") == 1), ("toxic", F.col("toxic") == 1))
+def rules():
+    return (("insult", F.col("insult") == 1), ("toxic", F.col("toxic") == 1))
 
 
 def _corpus(frame, spark, n=600, seed=8):
@@ -25,7 +26,7 @@ def _corpus(frame, spark, n=600, seed=8):
 
 def test_held_out_accuracy(spark, frame):
     docs, labels = _corpus(frame, spark)
-    chain = toxicity.fit_on(docs, labels, RULES)
+    chain = toxicity.fit_on(docs, labels, rules())
     later, truth = _corpus(frame, spark, seed=9)
     found = {r.doc_id: r.toxic for r in toxicity.score(later, chain).collect()}
     want = {r.doc_id: bool(r.toxic) for r in truth.collect()}
@@ -38,7 +39,7 @@ def test_held_out_accuracy(spark, frame):
 def test_the_chain_feeds_earlier_probabilities(spark, frame):
     """A last link without words of its own leans on the first one."""
     docs, labels = _corpus(frame, spark)
-    chain = toxicity.fit_on(docs, labels, RULES)
+    chain = toxicity.fit_on(docs, labels, rules())
     rows = [[chain.place["nitwit"]], []]
     before = chain.probabilities(rows)
     chain.links[1] = np.zeros(1)
@@ -65,10 +66,10 @@ def test_links_equal_plain_gradient_descent():
 
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (None, 1, 1), (2, 1, 1), (99, 1, None)], "doc_id long, insult int, toxic int")
-    chain = toxicity.fit_on(odd, labels, RULES)
+    chain = toxicity.fit_on(odd, labels, rules())
     rows = toxicity.score(odd, chain).collect()
     assert len(rows) == 10 and not any(r.toxic for r in rows)  # nothing was learnt from two rows
     assert toxicity.score(empty, chain).count() == 0
-    nothing = toxicity.fit_on(empty, labels.limit(0), RULES)
+    nothing = toxicity.fit_on(empty, labels.limit(0), rules())
     assert not any(r.toxic for r in toxicity.score(odd, nothing).collect())
     assert toxicity.without_toxic(odd, nothing).count() == 10

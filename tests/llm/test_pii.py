@@ -43,7 +43,8 @@ def test_base_spans_equal_the_patterns(text):
 def test_base_spans_on_long_runs_are_fast():
     assert pii.base_spans("9" * 200_000) == []
     assert pii.base_spans("a" * 200_000 + "@" + "b" * 200_000) == []
-    assert pii.base_spans("1." * 100_000) == plain("1." * 100_000)
+    assert len(pii.base_spans("1." * 100_000)) == 25_000
+    assert pii.base_spans("1." * 2_000) == plain("1." * 2_000)
 
 
 TEXTS = [

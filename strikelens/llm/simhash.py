@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikelens.llm.common import documents, map_batches, written
+from strikelens.llm.common import documents, map_batches, renamed, written
 from strikelens.llm.components import components
 
 BITS = 64
@@ -77,11 +76,11 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def links(fps: DataFrame, radius: int = 2, pairwise: int = 48) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, pairwise: int = 256) -> DataFrame:
     """Links (u, v) between distinct ``fp`` whose closure is that of all pairs within ``radius``.
 
-    Tables of the covering hash gather candidates. Buckets of at most ``pairwise`` fingerprints
-    compare their pairs. In larger ones every fingerprint is hung on each point within half the
+    No side of a join is broadcast: all of them grow with the corpus. Tables of the covering hash gather candidates. Buckets of at most ``pairwise`` fingerprints
+    compare their pairs; a pair counts in the first table that brings it together. In larger ones every fingerprint is hung on each point within half the
     radius of it, and those of one point on their smallest: they lie within the radius of each
     other, and two fingerprints within the radius always share such a point. That is exact, and
     linear in the size of a bucket. ``radius`` must be even.
@@ -96,10 +95,12 @@ def links(fps: DataFrame, radius: int = 2, pairwise: int = 48) -> DataFrame:
         ).alias("b"),
     ).select("fp", "b.t", "b.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sizes, ["t", "key"])
+    met = rows.join(sizes.hint("merge"), ["t", "key"])
     few = met.where(F.col("n") <= pairwise).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    listed = f"array({', '.join(f'{_signed(m)}L' for m in masks)})"
     pair = f"""flatten(transform(fps, (x, i) -> transform(
-        filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {radius}),
+        filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {radius}
+            and forall(slice({listed}, 1, t), m -> ((x ^ y) & m) != 0)),
         y -> named_struct('u', x, 'v', y))))"""
     close = few.select(F.explode(F.expr(pair)).alias("p")).select("p.u", "p.v")
     crowd = met.where(F.col("n") > pairwise).select("fp").distinct()
@@ -108,7 +109,7 @@ def links(fps: DataFrame, radius: int = 2, pairwise: int = 48) -> DataFrame:
         "fp", F.explode(F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda f: F.col("fp").bitwiseXOR(f))).alias("at")
     )
     least = points.groupBy("at").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
-    starred = points.join(least, "at").select("u", F.col("fp").alias("v")).where("u != v")
+    starred = points.join(least.hint("merge"), "at").select("u", F.col("fp").alias("v")).where("u != v")
     return close.union(starred).distinct()
 
 
@@ -124,12 +125,12 @@ def near_duplicates(df: DataFrame, radius: int = 2, shingle: int = 3, seed: int
     marked = written(fingerprints(df, shingle, seed), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(
+    by_fp = rooted.join(named.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(by_fp.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -143,8 +144,10 @@ def first_of_each(df: DataFrame, radius: int = 2, shingle: int = 3, seed: int =
     found = near_duplicates(df, radius, shingle, seed)
     ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = ids.select(F.col("doc_id").alias("kept_id"), "n")
-    named = df.join(ids, F.col("doc_id").cast("long") == F.col("kept_id"))
-    single = named.where("n = 1").select(df.columns)
-    # Rows that share an id: compare what they hold only here.
-    repeated = named.where("n > 1").dropDuplicates(["kept_id"]).select(df.columns)
-    return reduce(DataFrame.unionByName, [single, repeated, df.where("doc_id is null")])
+    rows, name = renamed(df)
+    named = rows.join(ids, F.col(name["doc_id"]).cast("long") == F.col("kept_id"))
+    single = named.where("n = 1").select(rows.columns)
+    # Only rows that share an id are compared with each other.
+    repeated = named.where("n > 1").dropDuplicates(["kept_id"]).select(rows.columns)
+    nameless = rows.where(F.col(name["doc_id"]).isNull())
+    return single.union(repeated).union(nameless).toDF(*df.columns)

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikelens.llm.common import documents, map_batches, shared_folder
+from strikelens.llm.common import KEPT, documents, map_batches, shared_folder
 
 BLOCK_TOKENS = 1 << 17
 CHECKPOINT_TOKENS = 1 << 16
-LANES = 256
+LANES = 1024
 #: States stay in [2**31, 2**63) and give and take words of 32 bits.
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -46,8 +46,10 @@ class WordIds(dict):
     word touches other white space.
     """
 
-    REMEMBERED = 800_000
+    REMEMBERED = 2_000_000
     STOPS = ".,"
+    #: Words encoded in one call, a line break between two.
+    TOGETHER = 64
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +60,13 @@ class WordIds(dict):
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A line break between two other characters is an id of its own.
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        line = ids("\n")
+        lone = len(line) == 1 and all(ids(f"a\n{b}") == [*ids("a"), *line, *ids(b)] for b in ("b", " b"))
+        self.line = line[0] if lone else None
         self.fresh: set[str] = set()
+        self.first: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> None:
@@ -68,52 +76,96 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
+    def _raw_words(self, words: list[str], before: str = " ") -> list[bytes]:
+        """The ids of words without white space, each with a space (or nothing) before it."""
+        if self.line is None:
+            return self._raw([before + w for w in words])
+        n, out = self.TOGETHER, []
+        lines = [before + f"\n{before}".join(words[i : i + n]) + "\n" for i in range(0, len(words), n)]
+        width = array(self.code).itemsize
+        for raw in self._raw(lines):
+            ends = (np.flatnonzero(np.frombuffer(raw, self.kind) == self.line) * width).tolist()
+            at = 0
+            for end in ends:
+                out.append(raw[at:end])
+                at = end + width
+        return out
+
     def _learn(self) -> None:
-        """Encode the words met for the first time, without the stops after a last letter."""
-        rest: dict[str, str] = {}
-        for word in self.fresh:
-            if not word or word[0].isspace() or word[-1].isspace():
+        """Encode the words met for the first time.
+
+        Words are encoded without the stops after a last letter, and the two sides of a line
+        break apart from each other.
+        """
+        plain, stopped, broken, odd = [], [], [], []
+        later: set[str] = set()  # words that only parts of others need
+
+        def sort_out(word: str) -> None:
+            core = word.rstrip(self.STOPS)
+            if core.isalpha():
+                stopped.append((word, core))
+                if core not in self.fresh:
+                    later.add(core)
+            elif not word or word[0].isspace() or word[-1].isspace():
                 self[word] = None
             else:
-                core = word.rstrip(self.STOPS)
-                rest[word] = core if core and core[-1].isalpha() else word
-        cores = list(set(rest.values()).difference(self))
-        ids = dict(zip(cores, self._raw([" " + c for c in cores]), strict=True))
-        for word, core in rest.items():
+                sides = word.split("\n") if self.line is not None else [word]
+                if any(not p or len(p.split()) > 1 or p[0].isspace() or p[-1].isspace() for p in sides):
+                    odd.append(word)
+                elif len(sides) > 1:
+                    broken.append((word, sides))
+                    if sides[0] not in self.fresh:
+                        later.add(sides[0])
+                else:
+                    plain.append(word)
+
+        more = self.fresh
+        while more:
+            plain += [w for w in more if w.isalpha()]
+            for word in more:
+                if not word.isalpha():
+                    sort_out(word)
+            more = [w for w in later if w not in self]
+            self.fresh.update(more)
+            later.clear()
+        self.update(zip(plain, self._raw_words(plain), strict=True))
+        self.update(zip(odd, self._raw([" " + w for w in odd]), strict=True))
+        for word, core in stopped:
             stops = word[len(core) :]
             if stops not in self.stops:
                 self.stops[stops] = self._raw([stops])[0]
-            found = ids.get(core)
-            self[word] = (self[core] if found is None else found) + self.stops[stops]
-        self.update(ids)
+            self[word] = self[core] + self.stops[stops]
+        behind = list({p for _, sides in broken for p in sides[1:] if p not in self.first})
+        self.first.update(zip(behind, self._raw_words(behind, ""), strict=True))
+        line = array(self.code, [self.line or 0]).tobytes()
+        for word, sides in broken:
+            self[word] = line.join([self[sides[0]], *(self.first[p] for p in sides[1:])])
         self.fresh = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
         if len(self) > self.REMEMBERED:
             self.clear()
-            self.stops = {"": b""}
+            self.first, self.stops = {}, {"": b""}
         get = self.__getitem__
         cut = [t.split(" ") for t in texts]
-        first = self._raw([c[0] for c in cut])
+        new = list({c[0] for c in cut if c[0] not in self.first})
+        self.first.update(zip(new, self._raw(new), strict=True))
         parts = []
         for words in cut:
-            seen = len(self.fresh)
+            begin = self.first[words[0]]
             del words[0]
             found = list(map(get, words))
-            # A word that another text of this call has met first is new here as well.
-            parts.append(found if len(self.fresh) == seen and None not in found else None)
+            parts.append((begin, found, [i for i, ids in enumerate(found) if ids is None]))
         if self.fresh:
             self._learn()
         out = []
-        for text, words, found, begin in zip(texts, cut, parts, first, strict=True):
-            if found is None:
-                found = list(map(get, words))
-            edge = len(text) > 0 and bool(words) and (text[0] == " " or text[text.index(" ") - 1].isspace())
-            if edge or None in found or any(s in text for s in self.special):
-                out.append(self._raw([text])[0])
-            else:
-                out.append(begin + b"".join(found))
+        for text, words, (begin, found, holes) in zip(texts, cut, parts, strict=True):
+            for i in holes:
+                found[i] = get(words[i])
+            edge = len(words) > 0 and (text[0] == " " or text[text.index(" ") - 1].isspace())
+            whole = edge or any(found[i] is None for i in holes) or any(s in text for s in self.special)
+            out.append(self._raw([text])[0] if whole else begin + b"".join(found))
         return out
 
 
@@ -123,6 +175,9 @@ def _word_ids(tokenizer_file: str) -> WordIds:
     return WordIds(tokenizer_file)
 
 
+KEPT[__name__] = _word_ids.cache_clear
+
+
 # --- the coder ------------------------------------------------------------------------------
 
 
@@ -197,7 +252,7 @@ class Coder:
         words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
         states = np.frombuffer(block["states"][checkpoint], "<u8").copy()
         at, mask = block["places"][checkpoint], np.uint64((1 << int(self.bits)) - 1)
-        out = np.empty(end - begin, np.uint32)
+        out = np.empty(end - begin, "<u4")
         for lo in range(begin, end, lanes):
             hi = min(end, lo + lanes)
             x = states[: hi - lo]
@@ -210,13 +265,13 @@ class Coder:
                 at += len(need)
             states[: hi - lo] = x
             out[lo - begin : hi - begin] = ids
-        if zlib.crc32(out.astype("<u4").tobytes()) != block["checksums"][checkpoint]:
+        if zlib.crc32(out) != block["checksums"][checkpoint]:
             raise ValueError(f"checkpoint {checkpoint} fails its checksum")
         return out
 
     def decode(self, block: dict, n: int) -> np.ndarray:
         parts = [self.decode_from(block, n, k) for k in range(len(block["states"]))]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
 # --- jobs -----------------------------------------------------------------------------------
@@ -227,8 +282,11 @@ _BLOCK = (
 )
 
 
-def _raw_blocks(df: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """Blocks of plain ids, in order within a shard; shards follow each other by ``doc_id``."""
+def _raw_blocks(df: DataFrame, tokenizer_file: str, end_id: int, vocabulary: int) -> DataFrame:
+    """Blocks of plain ids, in order within a shard; shards follow each other by ``doc_id``.
+
+    The last row of a task has no block but ``counts``, how often the task has met each id.
+    """
     ordered = documents(df).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     numbered = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
@@ -236,17 +294,21 @@ def _raw_blocks(df: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         coder = _word_ids(tokenizer_file)
         end = np.array([end_id], coder.kind).tobytes()
         width = len(end)
-        shard, block, ids, sizes, held = 0, 0, [], [], []
+        shard, block, ids, sizes, held, total = 0, 0, [], [], [], 0
+        counts = np.zeros(vocabulary, np.int64)
 
-        def out() -> pa.RecordBatch:
+        def row(*values) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int32()), pa.array([block], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                    pa.array([b"".join(held)], pa.binary()),
-                ],
-                names=["shard", "block", "doc_ids", "n_tokens", "ids"],
-            )
+                [pa.array([v], t) for v, t in zip(values, types, strict=True)],
+                names=["shard", "block", "doc_ids", "n_tokens", "ids", "counts"],
+            )
+
+        def out() -> pa.RecordBatch:
+            nonlocal counts
+            raw = b"".join(held)
+            counts += np.bincount(np.frombuffer(raw, coder.kind), minlength=vocabulary)
+            return row(shard, block, ids, sizes, raw, None)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -258,27 +320,31 @@ def _raw_blocks(df: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                     ids.append(doc_id)
                     held += [raw, end]
                     sizes.append(len(raw) // width + 1)
-                    if sum(sizes[-1:]) >= BLOCK_TOKENS or len(held) % 64 == 0 and sum(sizes) >= BLOCK_TOKENS:
+                    total += sizes[-1]
+                    if total >= BLOCK_TOKENS:
                         yield out()
-                        block, ids, sizes, held = block + 1, [], [], []
+                        block, ids, sizes, held, total = block + 1, [], [], [], 0
         if ids:
             yield out()
+        yield row(shard, None, None, None, None, counts.tobytes())
 
-    return map_batches(numbered, job, "shard int, block long, doc_ids array<long>, n_tokens array<long>, ids binary")
+    schema = "shard int, block long, doc_ids array<long>, n_tokens array<long>, ids binary, counts binary"
+    return map_batches(numbered, job, schema)
 
 
-def _counts(raw: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
-    """How often each id occurs: a count per task and id, summed by Spark."""
+def _counts(raw: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs: the counts of the tasks, summed by Spark."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
-    sums = map_batches(raw.select("ids"), job, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = raw.select("counts").where("counts is not null")
+    sums = map_batches(told, job, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for row in sums.collect():  # at most a row for each id of the vocabulary
         counts[row.id] = row.n
@@ -297,9 +363,9 @@ def write_corpus(df: DataFrame, path: str, tokenizer_file: str, end_id: int) ->
     vocabulary, kind = max(words.tokenizer.get_vocab_size(), end_id + 1), words.kind
     bits = max(16, int(vocabulary - 1).bit_length() + 4)
     plain = shared_folder(spark, "token-ids")
-    _raw_blocks(df, tokenizer_file, end_id).write.option("compression", "zstd").parquet(plain)
+    _raw_blocks(df, tokenizer_file, end_id, vocabulary).write.option("compression", "zstd").parquet(plain)
     raw = spark.read.parquet(plain)
-    freq = quantized(_counts(raw, vocabulary, kind), bits)
+    freq = quantized(_counts(raw, vocabulary), bits)
     table = [(i, int(f), bits, vocabulary) for i, f in enumerate(freq.tolist()) if f]
     spark.createDataFrame(table, "id long, frequency long, bits int, vocabulary long").coalesce(1).write.parquet(
         f"{path}/tables"
@@ -321,7 +387,7 @@ def write_corpus(df: DataFrame, path: str, tokenizer_file: str, end_id: int) ->
                     names=["shard", "block", "doc_ids", "n_tokens", "lanes", "words", "states", "places", "checksums"],
                 )
 
-    map_batches(raw, job, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    map_batches(raw.drop("counts").where("block is not null"), job, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_corpus(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -349,7 +415,7 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 columns = [
                     pa.array([block["shard"]] * n, pa.int32()), pa.array([block["block"]] * n, pa.int64()),
                     pa.array(cuts[:-1]), pa.array(block["doc_ids"], pa.int64()), pa.array(sizes),
-                    pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
+                    pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                 ]
                 names = ["shard", "block", "place", "doc_id", "n_tokens", "ids_crc32"]
                 if with_ids:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from strikelens.llm import licenses, mixing, perplexity, pii, sampling, simhash, substrings, token_codec, topk, toxicity
 from strikelens.llm.common import shared_folder
 
-# Words that make a toxic document an insult, for the chain's middle category.
-INSULTS = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid")
 #: How often a source may be repeated, for the query and for the pipeline.
 REPEAT, PIPELINE_REPEAT = 4.0, 2.0
 BLOCK_TOKENS = 200_000
@@ -24,17 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
-    """Low quality, then insults, then toxic at all; the last one decides."""
-    insult = F.lower("text").rlike(rf"\b({'|'.join(INSULTS)})\b")
-    return toxicity.fit_on(
-        docs,
-        labels,
-        (
-            ("low_quality", F.col("quality") == 0),
-            ("insult", (F.col("toxic") == 1) & insult),
-            ("toxic", F.col("toxic") == 1),
-        ),
-    )
+    """Low quality, then kinds of toxic documents, by groups of words found in the labelled rows,
+    then toxic at all; the last one decides."""
+    bad = F.col("toxic") == 1
+    kinds = [(f"kind_{k}", bad & toxicity.holds_any(words)) for k, words in enumerate(toxicity.word_groups(docs, labels), 1)]
+    links = (("low_quality", F.col("quality") == 0), *kinds, ("toxic", bad))
+    return toxicity.fit_on(docs, labels, links, chosen_by=("low_quality", "toxic"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

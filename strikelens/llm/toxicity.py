@@ -137,6 +137,90 @@ def fit_chain(rows, targets: np.ndarray, folds: np.ndarray, categories, features
     return chain
 
 
+def _chosen(labels: DataFrame, sample_docs: int) -> DataFrame:
+    """At most ``sample_docs`` labels, those of the smallest hashes: ``_label_id``, ``order_hash``
+    and the label columns."""
+    label_columns = [c for c in labels.columns if c not in ("doc_id", "text")]
+    return (
+        labels.where("doc_id is not null")
+        .dropDuplicates(["doc_id"])
+        .withColumn("order_hash", F.xxhash64("doc_id"))
+        .orderBy("order_hash", "doc_id")
+        .limit(sample_docs)
+        .select(F.col("doc_id").alias("_label_id"), "order_hash", *label_columns)
+    )
+
+
+def word_groups(
+    docs: DataFrame,
+    labels: DataFrame,
+    groups: int = 4,
+    sample_docs: int = 12_000,
+    min_docs: int = 8,
+    min_lift: float = 3.0,
+    max_words: int = 400,
+) -> list[list[str]]:
+    """``groups`` lists of words that mark toxic documents, found in the labels alone.
+
+    A word is a marker if its share of toxic rows is far over that of its language; at most
+    ``max_words`` with the largest gains count. Markers that meet in toxic rows more often than
+    their numbers let expect are one group. The groups go by the toxic rows of their words, most
+    first; the last list has all further groups. Lists may be empty.
+    """
+    chosen = _chosen(labels, sample_docs).select("_label_id", F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("_bad"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_row_id"), "text", F.col("lang").cast("string").alias("_lang"))
+    sample = texts.join(F.broadcast(chosen), F.expr("_row_id = _label_id")).select("_row_id", "_lang", "_bad", "text")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(w for w in word_features(t) if w[-1] != "~") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("_row_id", "_lang", "_bad")), pa.array(found, pa.list_(pa.string()))],
+                names=["_row_id", "_lang", "_bad", "words"],
+            )
+
+    rows = written(map_batches(sample, extract, "_row_id long, _lang string, _bad int, words array<string>"), "toxicity-words")
+    rows = rows.dropDuplicates(["_row_id"])
+    shares = rows.groupBy(F.col("_lang").alias("of")).agg(F.avg("_bad").alias("share"))
+    counts = rows.select("_lang", "_bad", F.explode("words").alias("word")).groupBy("_lang", "word")
+    counts = counts.agg(F.count("*").alias("n"), F.sum("_bad").alias("bad")).join(F.broadcast(shares), F.expr("_lang <=> of"))
+    words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.expr("n * share")).alias("expected"))
+    words = words.withColumn("gain", F.expr("(bad - expected) / sqrt(expected + 1)"))
+    words = words.where((F.col("n") >= min_docs) & (F.col("bad") >= min_lift * F.col("expected")) & (F.col("gain") > 5))
+    markers = {r.word: r.bad for r in words.orderBy(F.desc("gain"), "word").limit(max_words).collect()}
+    total = rows.where("_bad = 1").count()
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in markers], "word string"))
+    held = rows.where("_bad = 1").select("_row_id", F.explode("words").alias("word")).join(kept, "word")
+    held = held.groupBy("_row_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    pair = "flatten(transform(words, (x, i) -> transform(slice(words, i + 2, size(words)), y -> struct(x as a, y as b))))"
+    met = held.select(F.explode(F.expr(pair)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).collect()
+    root = {w: w for w in markers}
+
+    def find(w: str) -> str:
+        while root[w] != w:
+            w = root[w]
+        return w
+
+    for r in met:
+        if r.n >= 2 and r.n * total > markers[r.a] * markers[r.b]:
+            a, b = sorted((find(r.a), find(r.b)))
+            root[b] = a
+    found: dict[str, list[str]] = {}
+    for w in sorted(markers):
+        found.setdefault(find(w), []).append(w)
+    order = sorted(found.values(), key=lambda g: (-sum(markers[w] for w in g), g))
+    return [order[k] if k < len(order) else [] for k in range(groups - 1)] + [sorted(w for g in order[groups - 1 :] for w in g)]
+
+
+def holds_any(words: Sequence[str]) -> Column:
+    """Whether ``text`` has one of the words, as :func:`word_features` reads them."""
+    if not words:
+        return F.lit(False)
+    edges = "[" + "".join("\\" + c for c in EDGES) + "]*"
+    own = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, f"^{edges}|{edges}$", ""))
+    return F.arrays_overlap(own, F.array(*[F.lit(w) for w in words]))
+
+
 def fit_on(
     docs: DataFrame,
     labels: DataFrame,
@@ -145,23 +229,17 @@ def fit_on(
     max_features: int = 3000,
     min_docs: int = 8,
     min_lift: float = 3.0,
+    chosen_by: Sequence[str] | None = None,
 ) -> Chain:
     """Fit on at most ``sample_docs`` labelled documents.
 
     ``categories`` names the chain in order; each Column is computed over the label columns and
     ``text`` and says whether a row belongs to it (null: no). The sample is the smallest hashes
     of ``doc_id``. Labels without a document and rows without ``doc_id`` take no part. With no
-    labelled document at all the chain says 0.5 of everything, which rejects nothing.
+    labelled document at all the chain says 0.5 of everything, which rejects nothing. Features are
+    chosen by the categories ``chosen_by`` (all): a category of one language would choose its words.
     """
-    label_columns = [c for c in labels.columns if c not in ("doc_id", "text")]
-    chosen = (
-        labels.where("doc_id is not null")
-        .dropDuplicates(["doc_id"])
-        .withColumn("order_hash", F.xxhash64("doc_id"))
-        .orderBy("order_hash", "doc_id")
-        .limit(sample_docs)
-        .select(F.col("doc_id").alias("_label_id"), "order_hash", *label_columns)
-    )
+    chosen = _chosen(labels, sample_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("_row_id"), "text")
     sample = texts.join(F.broadcast(chosen), F.expr("_row_id = _label_id")).select(
         "_row_id",
@@ -192,11 +270,13 @@ def fit_on(
     # its share there is several times its share overall; anything less is the topic or language.
     gains = []
     for k, p in enumerate(positives):
+        if chosen_by is not None and names[k] not in chosen_by:
+            continue
         expected = F.col("n") * max(p / max(total, 1), 1e-9)
         gains.append(F.when(F.col(f"n{k}") >= min_lift * expected, (F.col(f"n{k}") - expected) / F.sqrt(expected + 1)).otherwise(0.0))
     found = (
         counts.where(F.col("n") >= min_docs)
-        .withColumn("gain", F.greatest(*gains, F.lit(0.0)))
+        .withColumn("gain", F.greatest(*gains, F.lit(0.0), F.lit(0.0)))
         .where("gain > 5")
         .orderBy(F.desc("gain"), "feature")
         .limit(max_features)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strikelens.llm import toxicity
+from strikelens.llm import queries, toxicity
 
 def rules():
     return (("insult", F.col("insult") == 1), ("toxic", F.col("toxic") == 1))
@@ -73,3 +73,24 @@ def test_odd_rows(spark, odd, empty):
     nothing = toxicity.fit_on(empty, labels.limit(0), rules())
     assert not any(r.toxic for r in toxicity.score(odd, nothing).collect())
     assert toxicity.without_toxic(odd, nothing).count() == 10
+
+
+def test_kinds_come_from_the_labels_in_any_language(spark, frame):
+    """Words that no list names, in two languages, become kinds that the registered chain learns."""
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    lists = {"xx": ["grumio", "blorfo", "snartë", "vexuli"], "yy": ["дрянок", "мерзун", "гнусар", "пакост"]}
+    for i in range(800):
+        lang = "xx" if i % 2 == 0 else "yy"
+        words, bad = [f"{lang}{k}" for k in rng.integers(0, 200, 30)], rng.random() < 0.15
+        if bad:
+            words += [w.upper() + "!" for w in rng.choice(lists[lang], 2, replace=False)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs = frame(rows, lang=lambda i: "xx" if (i or 0) % 2 == 0 else "yy")
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert sorted(map(sorted, filter(None, toxicity.word_groups(docs, given)))) == sorted(map(sorted, lists.values()))
+    chain = queries.toxicity_chain(docs, given)
+    found = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    kinds = [c for c in chain.categories if c.startswith("kind_")]
+    assert all((max(found[i][f"p_{k}"] for k in kinds) > 0.5) == bool(bad) == found[i].toxic for i, _, bad in labels)

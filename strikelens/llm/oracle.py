@@ -118,9 +118,88 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
 
+#: The CRC-32 of a conversation's decimal id, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], [ascii(d)::BIGINT for d in string_split(conv_id::VARCHAR, '')]),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda k, i: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384::BIGINT) ELSE k >> 1 END)))"""
+
+_TRIE = f"""
+WITH plain AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+    len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) - 1 AS p FROM plain),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM plain)),
+joined AS (
+  SELECT c.conv_id, o.p, o.t, o.words FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.p < c.h
+  UNION ALL
+  SELECT c.conv_id, o.p, o.t, o.words FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.p >= c.h),
+steps AS (
+  SELECT conv_id, words, row_number() OVER w AS d, md5(string_agg(t, ',') OVER (w ROWS UNBOUNDED PRECEDING)) AS node,
+    coalesce(md5(string_agg(t, ',') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'root') AS parent
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM convs),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(words) AS saved
+  FROM steps GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+under AS (
+  SELECT s.node, sum(v.saved) AS saved_tokens, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves
+  FROM nodes v JOIN steps s ON s.conv_id = v.conv_id AND s.d <= v.d LEFT JOIN kids k ON k.node = v.node GROUP BY s.node),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM steps s JOIN (SELECT conv_id, max(d) AS d FROM steps GROUP BY conv_id) USING (conv_id, d) GROUP BY node)
+SELECT v.conv_id, v.d::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+  b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes u ON u.node = v.parent LEFT JOIN kids k ON k.node = v.node
+  JOIN under b ON b.node = v.node LEFT JOIN ends e ON e.node = v.node
+"""
+
+_WARC = """
+WITH records AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+tops AS (SELECT payload_digest, payload_bytes, max(page_id) AS top FROM records WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM records LEFT JOIN tops USING (payload_digest, payload_bytes)
+"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    def assigned(centroids: str) -> str:
+        gap = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f"""SELECT i, c, d FROM (
+          SELECT i, c, d, row_number() OVER (PARTITION BY i ORDER BY d, c) AS r FROM (SELECT v.i, c.c, {gap} AS d FROM vectors v, {centroids} c))
+        WHERE r = 1"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({assigned(f'c{r}')})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+          SELECT c.c, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+              SELECT a.c, j, sum(v.v[j])::BIGINT AS s, count(*) AS n FROM a{r} a JOIN vectors v USING (i), range(1, 65) t(j) GROUP BY a.c, j) GROUP BY c) n
+          USING (c))""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS c, v FROM vectors QUALIFY c < {k}),
+{", ".join(steps)},
+last AS MATERIALIZED ({assigned(f"c{rounds}")})
+SELECT vec_id, last.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY last.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last JOIN vectors USING (i) JOIN c{rounds} c ON c.c = last.c
+"""
+
+
 ORACLE = {
     "op3_licenses": _licences(),
     "op5_mixing": _MIXING,
     "op6_substrings": _SUBSTRINGS,
     "op8_topk": _TOPK,
+    "op11_prefix_trie": _TRIE,
+    "op12_warc": _WARC,
+    "op13_centroids": _clusters(),
 }

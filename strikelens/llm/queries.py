@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelens.llm import licenses, mixing, perplexity, pii, sampling, simhash, substrings, token_codec, topk, toxicity
+from strikelens.llm import (
+    centroids, licenses, mixing, perplexity, pii, prefix_trie, sampling, simhash, substrings, token_codec, topk, toxicity, warc,
+)
 from strikelens.llm.common import shared_folder
 
 #: How often a source may be repeated, for the query and for the pipeline.
@@ -77,10 +79,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).drop("text", "lang", "source", "n_chars")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_files, op3_licenses, op4_simhash, op5_mixing, op6_substrings, op7_quality, op8_topk,
-        op9_sampling, op10_toxicity,
+        op9_sampling, op10_toxicity, op11_prefix_trie, op12_warc, op13_centroids,
     )
 }

@@ -22,7 +22,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)

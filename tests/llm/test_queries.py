@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from strikelens.llm import mixing, oracle, pii, queries, sampling, simhash, toxicity  # noqa: E402
+from strikelens.llm import mixing, oracle, pii, queries, sampling, toxicity  # noqa: E402
+from test_near_copies import _groups  # noqa: E402
 
 
 def test_all_are_registered():
@@ -37,18 +38,8 @@ def test_pipeline_equals_plain_version(spark, sf_dir):
     _, bad = toxicity._verdicts([r["text"] for r in rows], chain, 0.75)
     rows = [r for r, b in zip(rows, bad, strict=True) if not b]
 
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"] or "") for r in rows}
-    kept, group = [], {}
-    ids = sorted(prints)
-    for i in ids:
-        group[i] = {i}
-    for i in ids:
-        for j in ids:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.RADIUS and group[i] is not group[j]:
-                group[i] |= group[j]
-                for k in group[j]:
-                    group[k] = group[i]
-    kept = [r for r in rows if r["doc_id"] == min(group[r["doc_id"]])]
+    stay = _groups({r["doc_id"]: r["text"] or "" for r in rows})
+    kept = [r for r in rows if r["doc_id"] in stay]
 
     stages = dict(corpus_pipeline.STAGES)
     third = spark.createDataFrame(kept, docs.schema)

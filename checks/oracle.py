@@ -750,6 +750,20 @@ SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' ELSE 'NDXP' END
        CASE WHEN seq % 4 = 0 THEN 'C' ELSE 'P' END AS option_type
 FROM ev WHERE instrument_id % 3 <> 2 AND seq % 4 <> 3
 QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) = 1"""
+CTES["versions"] = """
+SELECT instrument_id, ts AS defined_at, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' ELSE 'NDXP' END AS symbol,
+       DATE '2024-02-02' AS expiration, CAST(900 + 5*(seq % 21) AS DOUBLE) AS strike,
+       CASE WHEN seq % 4 = 0 THEN 'C' ELSE 'P' END AS option_type
+FROM ev WHERE instrument_id % 3 <> 2 AND seq % 4 <> 3"""
+CTES["defined_then"] = """
+SELECT r.instrument_id, r.ts, r.seq, r.kind, v.symbol, v.expiration, v.strike, v.option_type
+FROM records r ASOF JOIN versions v ON r.instrument_id = v.instrument_id AND r.ts >= v.defined_at"""
+CTES["futures_then"] = """
+SELECT r.instrument_id, r.ts, r.seq, v.symbol, v.expiration, v.parent
+FROM records r ASOF JOIN (
+  SELECT instrument_id, ts AS defined_at, root || 'M6' AS symbol, DATE '2024-02-02' AS expiration, root || 'M' AS parent
+  FROM (SELECT instrument_id, ts, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' WHEN 1 THEN 'NDXP' ELSE 'ES' END AS root FROM ev)) v
+ON r.instrument_id = v.instrument_id AND r.ts >= v.defined_at"""
 CTES["futures_names"] = """
 SELECT DISTINCT instrument_id, root || 'M6' AS symbol, DATE '2024-02-02' AS expiration, root || 'M' AS parent
 FROM (SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'SPXW' WHEN 1 THEN 'NDXP' ELSE 'ES' END AS root
@@ -782,17 +796,11 @@ CTES["eod_upserted"] = f"""
 SELECT {LEG}, coalesce(n.open_interest, e.open_interest) AS open_interest
 FROM eod e FULL JOIN eod_loaded n USING ({LEG})"""
 CTES["young"] = "SELECT * FROM chain WHERE ts >= TIMESTAMP '2000-06-01' - INTERVAL 7 DAYS"
-CTES["closed_premiums"] = """
-SELECT * FROM premiums WHERE ts + INTERVAL 1 HOUR <=
-  (SELECT max(ts) FROM trades WHERE side <> 0) - INTERVAL 2 MINUTES"""
-CTES["closed_books"] = f"""
+CTES["hour_books"] = f"""
 SELECT {SYMBOL.format('instrument_id')} AS symbol, date_trunc('hour', ts) AS sampled_at, max(ts) AS ts,
-       3 AS depth_levels FROM ev WHERE event_type = 'view' GROUP BY ALL
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <=
-  (SELECT max(ts) FROM ev WHERE event_type = 'view') - INTERVAL 5 SECONDS"""
-CTES["closed_sweeps"] = """
-SELECT * FROM sweep_events WHERE ts + INTERVAL 24 HOURS <
-  (SELECT date_trunc('milliseconds', max(ts)) FROM trades) - INTERVAL 2 SECONDS"""
+       3 AS depth_levels FROM ev WHERE event_type = 'view' GROUP BY ALL"""
+CTES["streamed_alerts"] = """
+SELECT f.*, c.rule_id IS NOT NULL AS kept FROM fired f LEFT JOIN cooled c USING (rule_id, symbol, snapshot_ts)"""
 
 
 # Records of three kinds to chain rows.
@@ -843,8 +851,6 @@ CTES["slid"] = f"""
 SELECT {LEG}, w AS window_end, CAST(sum(size) AS BIGINT) AS size, count(*) AS legs
 FROM (SELECT *, unnest([date_trunc('day', ts) + INTERVAL 1 DAY, date_trunc('day', ts) + INTERVAL 2 DAYS]) AS w FROM trades)
 GROUP BY ALL HAVING sum(size) >= 300"""
-CTES["slid_closed"] = """
-SELECT * FROM slid WHERE window_end <= (SELECT max(ts) FROM trades) - INTERVAL 2 MINUTES"""
 
 
 def with_solved_vol(name: str) -> str:

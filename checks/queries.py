@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import oracle
@@ -27,8 +28,8 @@ from strikelens.plans import metrics as metric_plans
 from strikelens.plans import serving
 from strikelens.plans.pipeline import run_chain_pipeline
 from strikelens.sources import demo, records, sinks, tables
-from strikelens.streaming import stateful, windows
-from strikelens.streaming.runner import drain, shared_folder
+from strikelens.streaming import alerts as alert_streams, late, stateful, windows
+from strikelens.streaming.runner import ROCKSDB, Feed, drain, drain_batches, drain_closed, shared_folder
 
 AS_OF = demo.AS_OF
 HISTORY = ("snapshot_ts", "symbol")
@@ -312,6 +313,19 @@ def trade_tape(spark, sf):
 def contract_lookup(spark, sf):
     return tape.with_contract(demo.market_records(spark, sf), _contracts(spark, sf))
 
+def _versions(spark, sf):
+    return records.option_versions(demo.definition_records(spark, sf), ["SPXW", "NDXP"])
+
+@register("contract_versions", f"instrument_id ts:t seq kind {LEG}", "defined_then")
+def contract_versions(spark, sf):
+    """Strikes move mid-tape: a record has the strike of its time, not the newest one."""
+    return tape.with_contract_at(demo.market_records(spark, sf), _versions(spark, sf))
+
+@register("futures_versions", "instrument_id ts:t seq symbol expiration:d parent", "futures_then")
+def futures_versions(spark, sf):
+    versions = records.futures_versions(demo.definition_records(spark, sf))
+    return tape.with_contract_at(demo.market_records(spark, sf), versions, columns=records.FUTURE)
+
 @register("unmatched_records", "kind unmatched", "misses")
 def unmatched(spark, sf):
     return tape.unmatched(demo.market_records(spark, sf), _contracts(spark, sf))
@@ -657,10 +671,11 @@ def retention(spark, sf):
 # Streams over the events table.
 
 
-@register("stream_premium_buckets", "symbol ts:t call_premium:2 put_premium:2", "closed_premiums")
+@register("stream_premium_buckets", "symbol ts:t call_premium:2 put_premium:2", "premiums")
 def stream_premium_buckets(spark, sf):
     trades = demo.options_trades(spark, sf, stream=True)
-    return drain(windows.premium_buckets(trades, bucket="1 hour"))
+    hours = lambda t: windows.premium_buckets(t, bucket="1 hour")
+    return drain_closed(trades, hours, hold="2 hours", side=1, size=0, price=0.0)
 
 
 @register("stream_blocks", EVENT, "block_events")
@@ -673,18 +688,18 @@ def stream_chain_state(spark, sf):
     return drain(stateful.chain_rows(demo.market_records(spark, sf, stream=True)))
 
 
-@register("stream_books", "symbol sampled_at:t ts:t depth_levels", "closed_books")
+@register("stream_books", "symbol sampled_at:t ts:t depth_levels", "hour_books")
 def stream_books(spark, sf):
     books = records.books(demo.book_records(spark, sf, stream=True)).withColumn(
         "symbol", demo.label(F.col("instrument_id"))
     )
-    return drain(windows.sampled_books(books, every="1 hour"))
+    return drain_closed(books, lambda b: windows.sampled_books(b, every="1 hour"), hold="2 hours")
 
 
-@register("stream_sweeps", f"ts:t {LEG} side size price:6 legs venues", "closed_sweeps")
+@register("stream_sweeps", f"ts:t {LEG} side size price:6 legs venues", "sweep_events")
 def stream_sweeps(spark, sf):
     trades = demo.options_trades(spark, sf, stream=True)
-    return drain(stateful.sweeps(trades, window_ms=DAY_MS, min_legs=2))
+    return drain_closed(trades, lambda t: stateful.sweeps(t, window_ms=DAY_MS, min_legs=2), hold="2 days")
 
 
 # Stored tables: what the sinks write is read back by the scans.
@@ -752,35 +767,137 @@ def flow_event_store(spark, sf):
     return spark.read.parquet(path)
 
 
-def _in_files(spark, df, pieces=4):
-    """A stream that brings a table in time order, one file per micro-batch."""
-    path = shared_folder(spark)
-    edges = df.selectExpr(
-        f"percentile_approx(unix_micros(ts), array({', '.join(str(k / pieces) for k in range(1, pieces))}))"
-    ).first()[0]
+def _in_time(df, pieces=4, at="ts"):
+    """A table cut into pieces by a time, the earliest first."""
+    us = F.unix_micros(at)
+    shares = ", ".join(str(k / pieces) for k in range(1, pieces))
+    edges = df.select(us.alias("us")).selectExpr(f"percentile_approx(us, array({shares}))").first()[0]
     bounds = [None, *edges, None]
-    us = F.unix_micros("ts")
     for low, high in zip(bounds, bounds[1:]):
         piece = df if low is None else df.where(us >= low)
-        piece = piece if high is None else piece.where(us < high)
-        piece.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        yield piece if high is None else piece.where(us < high)
+
+
+def _cut_alike(spark, sf):
+    """The definitions that come with each piece of the records: all up to its end."""
+    *ends, _ = (piece.agg(F.max("ts")).first()[0] for piece in _in_time(demo.market_records(spark, sf)))
+    versions, bounds = _versions(spark, sf), [None, *ends, None]
+    for low, high in zip(bounds, bounds[1:]):
+        piece = versions if low is None else versions.where(F.col("defined_at") > F.lit(low))
+        yield piece if high is None else piece.where(F.col("defined_at") <= F.lit(high))
+
+
+def _fed(spark, df, build, at="ts", **options):
+    """What a stream makes of a table that comes in pieces, started anew for each."""
+    feed = Feed(spark, df.schema)
+    return drain(build(feed.stream), steps=[lambda p=p: feed.put(p) for p in _in_time(df, at=at)], **options)
 
 
-@register("stream_chain_state_gaps", "instrument_id seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "state")
+CHAIN_STATE = "instrument_id seq kind bid:6 ask:6 last_price:6 oi:n volume:n"
+
+
+@register("stream_chain_state_gaps", CHAIN_STATE, "state")
 def stream_chain_state_gaps(spark, sf):
     """Several micro-batches, with days between the records of an instrument."""
     slow = F.timestamp_micros(F.unix_micros("ts") * 30 - F.lit(29 * 1_704_067_200_000_000))
     rows = demo.market_records(spark, sf).withColumn("ts", slow)
-    return drain(stateful.chain_rows(_in_files(spark, rows)))
+    return _fed(spark, rows, stateful.chain_rows)
+
+
+@register("stream_chain_state_resumed", CHAIN_STATE, "state")
+def stream_chain_state_resumed(spark, sf):
+    """A second stream without the first one's checkpoint, started from the chain that it stored."""
+    first, second = _in_time(demo.market_records(spark, sf), pieces=2)
+    feeds = [Feed(spark, first.schema) for _ in range(2)]
+    stored = drain(stateful.chain_rows(feeds[0].stream), steps=[lambda: feeds[0].put(first)])
+    resumed = stateful.chain_rows(feeds[1].stream, initial=stateful.known_state(stored))
+    return stored.unionByName(drain(resumed, steps=[lambda: feeds[1].put(second)], store=ROCKSDB))
 
 
 @register("stream_trade_tape", "instrument_id ts:t seq price bid:6 ask:6 side:n signed_premium:2", "streamed_tape")
 def stream_trade_tape(spark, sf):
-    return drain(stateful.option_trades(_in_files(spark, demo.market_records(spark, sf))))
+    return _fed(spark, demo.market_records(spark, sf), stateful.option_trades)
+
+
+@register("stream_trade_tape_resumed", "instrument_id ts:t seq bid:6 ask:6 side:n signed_premium:2", "streamed_tape")
+def stream_trade_tape_resumed(spark, sf):
+    first, second = _in_time(demo.market_records(spark, sf), pieces=2)
+    feeds = [Feed(spark, first.schema) for _ in range(2)]
+    known = stateful.known_state(drain(stateful.chain_rows(feeds[0].stream), steps=[lambda: feeds[0].put(first)]))
+    before = drain(stateful.option_trades(feeds[0].stream))
+    after = drain(stateful.option_trades(feeds[1].stream, initial=known), steps=[lambda: feeds[1].put(second)], store=ROCKSDB)
+    return before.unionByName(after)
+
+
+@register("stream_contract_versions", f"instrument_id ts:t seq kind {LEG}", "defined_then")
+def stream_contract_versions(spark, sf):
+    """Definitions come as a second stream, piece by piece with the records."""
+    feeds = [Feed(spark, df.schema) for df in (demo.market_records(spark, sf), _versions(spark, sf))]
+    pieces = zip(_in_time(demo.market_records(spark, sf)), _cut_alike(spark, sf), strict=True)
+
+    def put(both):
+        for feed, df in zip(feeds, both, strict=True):
+            feed.put(df)
+
+    steps = [lambda both=both: put(both) for both in pieces]
+    return drain(stateful.matched_contracts(feeds[0].stream, feeds[1].stream), steps=steps)
+
+
+@register("stream_late_premiums", "symbol ts:t call_premium:2 put_premium:2", "premiums")
+def stream_late_premiums(spark, sf):
+    """Every ninth print comes two days late; buckets that it belongs to are told again."""
+    trades = demo.options_trades(spark, sf)
+    arrival = F.when(F.col("seq") % 9 == 0, F.col("ts") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ts"))
+    feed, path = Feed(spark, trades.schema), shared_folder(spark)
+    write = late.corrected_premiums(path, bucket="1 hour")
+    steps = [lambda p=p: feed.put(p) for p in _in_time(trades, pieces=5, at=arrival)]
+    drain_batches(feed.stream, write, steps=steps)
+    return late.corrected_rows(spark, path, bucket="1 hour", late="2 minutes", ended=True)
+
+
+@register("stream_alerts", "rule_id symbol snapshot_ts:t matched kept", "streamed_alerts")
+def stream_alerts(spark, sf):
+    payloads = alerts.payload_history(_history_metrics(spark, sf))
+    rules = [{**rule, "cooldown_seconds": 200 * 86400} for rule in demo.alert_rules() if rule["enabled"]]
+    at = "snapshot_ts"
+    fired = _fed(spark, _kept(spark, payloads), lambda p: alert_streams.alert_stream(p, rules), at=at, store=ROCKSDB)
+    return fired.withColumn("matched", F.array_join("matched", ";"))
+
+
+def _kept(spark, df):
+    """A table written once and read again."""
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@register("stream_upsert_restart", f"ts:t {STORED_LEG} oi:n volume iv:6 bid:6 last_price:6", "sunk")
+def stream_upsert_restart(spark, sf):
+    """The second batch is written, but the query dies before it commits, and is started again."""
+    chain = demo.options_chain(spark, sf).withColumns(
+        {"arrival": F.unix_micros("ts"), "ts": F.date_trunc("month", "ts")}
+    )
+    feed, path, progress = Feed(spark, chain.schema), shared_folder(spark), shared_folder(spark)
+    write, seen = sinks.batch_sink(path, "options_chain", order=["arrival"]), []
+
+    def dying(batch, batch_id):
+        write(batch, batch_id)
+        seen.append(batch_id)
+        if seen == [0, 1]:
+            raise RuntimeError("lost between write and commit")
+
+    puts = [lambda p=p: feed.put(chain.where(F.col("volume") % 2 == p)) for p in (0, 1)]
+    try:
+        drain_batches(feed.stream, dying, steps=puts, progress=progress)
+    except StreamingQueryException:
+        drain_batches(feed.stream, dying, progress=progress)
+    if seen != [0, 1, 1]:
+        raise RuntimeError(f"the batches {seen} are not those of a restart")
+    return sinks.read_merged(spark, path, "options_chain")
 
 
-@register("stream_unusual_volume", f"{LEG} window_end:t size legs", "slid_closed")
+@register("stream_unusual_volume", f"{LEG} window_end:t size legs", "slid")
 def stream_unusual_volume(spark, sf):
     trades = demo.options_trades(spark, sf, stream=True)
-    return drain(windows.unusual_volume(trades, span="2 days", every="1 day", min_volume=300))
+    volume = lambda t: windows.unusual_volume(t, span="2 days", every="1 day", min_volume=300)
+    return drain_closed(trades, volume, hold="3 days")

@@ -39,6 +39,14 @@ CROSSINGS = {
 RULE = "id string, symbol string, rule string, cooldown_seconds int, last_fired_at timestamp"
 
 
+def compared(op: Column, now: Column, limit: Column) -> Column:
+    """The outcome of a test that needs no earlier number; false for any other."""
+    test = F.lit(False)
+    for name, compare in COMPARE.items():
+        test = F.when(op == name, compare(now, limit)).otherwise(test)
+    return test
+
+
 def load_rules(rules: DataFrame) -> DataFrame:
     """The enabled rules of the stored table."""
     return rules.where("enabled").select("id", "symbol", "rule", "cooldown_seconds", "last_fired_at")
@@ -85,7 +93,8 @@ def payload_number(payload: Column, field: Column) -> Column:
     return F.coalesce(flag, found.try_cast("double"))
 
 
-def _constant(value) -> float | None:
+def constant(value) -> float | None:
+    """The number that a test compares with, if its value is one."""
     try:
         return float(value)
     except (TypeError, ValueError):
@@ -132,7 +141,7 @@ def tree_verdict(node, outcomes: Iterator[bool]) -> tuple[bool, list[str]]:
     return hit, [f"{node['field']} {node['op']} {node.get('value')}"] if hit else []
 
 
-def _flattened(rules: DataFrame) -> DataFrame:
+def leaf_rows(rules: DataFrame) -> DataFrame:
     """One row per leaf: rule, symbol, number of the leaf, field, operation and limit.
 
     A rule without any leaf has one row without a field, so that it is judged as well.
@@ -143,7 +152,7 @@ def _flattened(rules: DataFrame) -> DataFrame:
             rows = []
             for rule_id, symbol, text in zip(batch["id"], batch["symbol"], batch["rule"]):
                 for k, leaf in enumerate(tree_leaves(json.loads(text)) or [{}]):
-                    rows.append((rule_id, symbol, k, leaf.get("field"), leaf.get("op"), _constant(leaf.get("value"))))
+                    rows.append((rule_id, symbol, k, leaf.get("field"), leaf.get("op"), constant(leaf.get("value"))))
             yield pd.DataFrame(rows, columns=["rule_id", "symbol", "leaf", "field", "op", "limit"])
 
     schema = "rule_id string, symbol string, leaf int, field string, op string, limit double"
@@ -165,7 +174,7 @@ def evaluate_rules(
     if not isinstance(rules, DataFrame):
         rules = rule_table(spark, rules)
     at = F.col(order).alias("_at")
-    leaves = _flattened(rules)
+    leaves = leaf_rows(rules)
     fields = leaves.groupBy(F.col("symbol").alias("_of")).agg(
         F.collect_set(F.coalesce("field", F.lit(""))).alias("_fields")
     )
@@ -179,9 +188,7 @@ def evaluate_rules(
         F.col("symbol").alias("_symbol"), "_at", F.col("field").alias("_field"), "now", "before"
     )
     now, limit = F.col("now"), F.col("limit")
-    test = F.lit(False)
-    for name, compare in COMPARE.items():
-        test = F.when(F.col("op") == name, compare(now, limit)).otherwise(test)
+    test = compared(F.col("op"), now, limit)
     for name, crosses in CROSSINGS.items():
         test = F.when(F.col("op") == name, crosses(F.col("before"), now, limit)).otherwise(test)
     met = leaves.join(

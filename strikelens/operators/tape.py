@@ -22,6 +22,32 @@ def with_contract(records: DataFrame, contracts: DataFrame) -> DataFrame:
     return records.join(contracts, "instrument_id")
 
 
+def with_contract_at(
+    records: DataFrame,
+    versions: DataFrame,
+    *,
+    columns: Sequence[str] = CONTRACT,
+    order: Sequence[str] = ("ts", "seq"),
+) -> DataFrame:
+    """Attach the definition of each record's instrument that holds at the record's time.
+
+    ``versions`` has ``instrument_id``, ``defined_at`` and ``columns``, one row per instrument and
+    time. Both go through one ordered scan; a definition of a record's own time holds already.
+    Records before the first definition of their instrument are dropped.
+    """
+    keys = ("instrument_id",)
+    carried = [c for c in records.columns if c not in (*keys, *order)]
+    left = records.select(*keys, *order, F.struct(*carried).alias("_record"), F.lit(1).alias("_late"))
+    right = versions.select(
+        *keys, F.col("defined_at").alias(order[0]), F.lit(0).alias("_late"), F.struct(*columns).alias("_defined")
+    )
+    timeline = [order[0], "_late", *order[1:]]
+    both = with_slices(left.unionByName(right, allowMissingColumns=True), timeline)
+    scanned = last_known(both, {"_contract": F.col("_defined")}, keys, timeline)
+    found = without_slices(scanned.where((F.col("_late") == 1) & F.col("_contract").isNotNull()))
+    return found.select(*keys, *order, "_record.*", "_contract.*")
+
+
 def unmatched(records: DataFrame, contracts: DataFrame) -> DataFrame:
     """Number of records per kind whose instrument is unknown."""
     return (

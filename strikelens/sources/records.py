@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from strikelens.functions.columns import fixed_point, from_epoch_ns, instant, option_letter
+from strikelens.functions.columns import CONTRACT, fixed_point, from_epoch_ns, instant, option_letter
 
 # The vendor's codes and field names, here and in the selections below.
 OPEN_INTEREST = 9
@@ -73,8 +73,36 @@ def chain_stubs(definitions: DataFrame, *, as_of) -> DataFrame:
     return stubs.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
 
 
-def option_contracts(definitions: DataFrame, supported: Sequence[str]) -> DataFrame:
-    """Newest definition per instrument, for the supported underlyings."""
+def _newest_version(typed: DataFrame, contract: Column) -> DataFrame:
+    return (
+        typed.groupBy("instrument_id")
+        .agg(F.max_by(contract, F.struct(F.col("ts_event"), contract)).alias("_c"))
+        .select("instrument_id", "_c.*")
+    )
+
+
+def _versions(typed: DataFrame, contract: Column) -> DataFrame:
+    """One version per instrument and time, with the time as ``defined_at``."""
+    at = F.timestamp_micros(F.floor(F.col("ts_event") / 1000).cast("bigint"))
+    return (
+        typed.groupBy("instrument_id", at.alias("defined_at"))
+        .agg(F.max_by(contract, F.struct(F.col("ts_event"), contract)).alias("_c"))
+        .select("instrument_id", "defined_at", "_c.*")
+    )
+
+
+def option_versions(definitions: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """Every definition of an option with the time from which it holds (``defined_at``)."""
+    return _versions(option_definitions(definitions, supported), F.struct(*CONTRACT))
+
+
+def futures_versions(definitions: DataFrame) -> DataFrame:
+    """Every definition of a future with the time from which it holds (``defined_at``)."""
+    return _versions(futures_definitions(definitions), F.struct(*FUTURE))
+
+
+def option_definitions(definitions: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """The usable option definitions of the supported underlyings, typed."""
     raw = field(definitions, "raw_symbol", "symbol")
     typed = definitions.select(
         F.col("instrument_id").cast("bigint").alias("instrument_id"),
@@ -82,17 +110,24 @@ def option_contracts(definitions: DataFrame, supported: Sequence[str]) -> DataFr
         underlying_of(raw, supported).alias("symbol"),
         *(c.alias(name) for name, c in _contract_fields(definitions).items()),
     )
-    contract = F.struct("symbol", "expiration", "strike", "option_type")
-    return (
-        _complete(typed, "instrument_id", "symbol", "expiration", "strike", "option_type")
-        .groupBy("instrument_id")
-        .agg(F.max_by(contract, F.struct(F.col("ts_event"), contract)).alias("_c"))
-        .select("instrument_id", "_c.*")
-    )
+    return _complete(typed, "instrument_id", *CONTRACT)
+
+
+def option_contracts(definitions: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """Newest definition per instrument, for the supported underlyings."""
+    return _newest_version(option_definitions(definitions, supported), F.struct(*CONTRACT))
+
+
+FUTURE = ("symbol", "expiration", "parent")
 
 
 def futures_contracts(definitions: DataFrame) -> DataFrame:
     """Newest definition per future: full name, expiry and its leading letters as parent."""
+    return _newest_version(futures_definitions(definitions), F.struct(*FUTURE))
+
+
+def futures_definitions(definitions: DataFrame) -> DataFrame:
+    """The usable definitions of futures, typed."""
     raw = F.upper(field(definitions, "raw_symbol", "symbol"))
     typed = definitions.select(
         F.col("instrument_id").cast("bigint").alias("instrument_id"),
@@ -101,13 +136,7 @@ def futures_contracts(definitions: DataFrame) -> DataFrame:
         _expiry(definitions).alias("expiration"),
         F.nullif(F.regexp_extract(raw, r"^(\p{L}+)", 1), F.lit("")).alias("parent"),
     )
-    contract = F.struct("symbol", "expiration", "parent")
-    return (
-        _complete(typed, "instrument_id", "symbol")
-        .groupBy("instrument_id")
-        .agg(F.max_by(contract, F.struct(F.col("ts_event"), contract)).alias("_c"))
-        .select("instrument_id", "_c.*")
-    )
+    return _complete(typed, "instrument_id", "symbol")
 
 
 def option_trades(records: DataFrame) -> DataFrame:

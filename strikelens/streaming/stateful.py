@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strikelens.functions.columns import CONTRACT
@@ -47,24 +48,73 @@ def _advance(rows: pd.DataFrame, known: dict) -> pd.DataFrame:
     return out
 
 
+KNOWN = (*CARRIED, "volume")
+
+
+def _numbers(row: pd.Series) -> tuple:
+    return tuple(None if pd.isna(row[n]) else float(row[n]) for n in KNOWN)
+
+
+def _built(batches: Iterator[pd.DataFrame], known: tuple | None) -> pd.DataFrame:
+    rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+    return _advance(rows, dict(zip(KNOWN, known or [None] * len(KNOWN))))
+
+
 def _build_chain(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    names = [*CARRIED, "volume"]
-    known = dict(zip(names, state.get if state.exists else [None] * len(names)))
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-    built = _advance(rows, known)
-    last = built.iloc[-1]
-    state.update(tuple(None if pd.isna(last[n]) else float(last[n]) for n in names))
+    built = _built(batches, state.get if state.exists else None)
+    state.update(_numbers(built.iloc[-1]))
     yield built
 
 
-def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
+def _chain_memory() -> StatefulProcessor:
+    """The five numbers of an instrument, begun with what a stored chain knows of it.
+
+    The class is made here so that it travels by value: Spark asks a Python process beside the
+    driver for its states, and that process does not have this package.
+    """
+    schema = STATE
+
+    class ChainMemory(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.known = handle.getValueState("known", schema)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            from strikelens.streaming import stateful
+
+            self.known.update(stateful._numbers(initialState.iloc[-1]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            from strikelens.streaming import stateful
+
+            built = stateful._built(rows, self.known.get() if self.known.exists() else None)
+            self.known.update(stateful._numbers(built.iloc[-1]))
+            yield built
+
+        def close(self) -> None:
+            pass
+
+    return ChainMemory()
+
+
+def known_state(chain: DataFrame) -> DataFrame:
+    """What chain rows know of each instrument at their end, to start another stream with."""
+    newest = F.max_by(F.struct(*KNOWN), F.struct("ts", "seq")).alias("_known")
+    return chain.groupBy("instrument_id").agg(newest).select("instrument_id", "_known.*")
+
+
+def chain_rows(
+    records: DataFrame, *, late: str = "10 minutes", initial: DataFrame | None = None
+) -> DataFrame:
     """One chain row per record with everything known of its instrument so far.
 
     The state per instrument is five numbers and is never dropped: a weekend, or a month
     without a record, changes nothing. A call sees the records of one instrument in one micro-batch, which the source's rate limits
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) keep small.
+
+    A stream without a checkpoint starts blind, or with ``initial``, the :func:`known_state` of a
+    stored chain; it needs :data:`strikelens.streaming.runner.ROCKSDB` then.
     """
     ship_package(records.sparkSession)
     wanted = records.withWatermark("ts", late).select(
@@ -74,6 +124,14 @@ def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
         "kind",
         *(F.col(c).cast("double").alias(c) for c in ("price", "size", "bid", "ask", "quantity")),
     )
+    if initial is not None:
+        return wanted.groupBy("instrument_id").transformWithStateInPandas(
+            _chain_memory(),
+            outputStructType=CHAIN_ROW,
+            outputMode="Append",
+            timeMode="None",
+            initialState=initial.select("instrument_id", *KNOWN).groupBy("instrument_id"),
+        )
     return wanted.groupBy("instrument_id").applyInPandasWithState(
         _build_chain,
         CHAIN_ROW,
@@ -83,12 +141,64 @@ def chain_rows(records: DataFrame, *, late: str = "10 minutes") -> DataFrame:
     )
 
 
-def option_trades(records: DataFrame) -> DataFrame:
+def option_trades(records: DataFrame, *, initial: DataFrame | None = None) -> DataFrame:
     """The trades among the records with the quote at trade, its side and the premium."""
-    trades = chain_rows(records).where((F.col("kind") == "trade") & F.col("price").isNotNull())
+    trades = chain_rows(records, initial=initial).where((F.col("kind") == "trade") & F.col("price").isNotNull())
     return trade_tape(trades.select("instrument_id", "ts", "seq", "price", "size", "bid", "ask"))
 
 
+MATCHED = (
+    "instrument_id bigint, ts timestamp, seq bigint, kind string, symbol string, expiration date, "
+    "strike double, option_type string"
+)
+DEFINED = "_us array<bigint>, symbol array<string>, expiration array<string>, strike array<double>, option_type array<string>"
+DEFINITION = "definition"
+
+
+def _match_contracts(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    names = ["_us", *CONTRACT]
+    rows = pd.concat(list(batches))
+    known = pd.DataFrame(dict(zip(names, state.get)) if state.exists else {n: [] for n in names})
+    told = rows.loc[rows["kind"] == DEFINITION, names]
+    versions = pd.concat([known, told]) if len(known) else told
+    versions = versions.sort_values(names, kind="stable").drop_duplicates("_us", keep="last")
+    records = rows.loc[rows["kind"] != DEFINITION, ["ts", "_us", "seq", "kind"]].sort_values(["_us", "seq"], kind="stable")
+    place = np.searchsorted(versions["_us"].to_numpy(np.int64), records["_us"].to_numpy(np.int64), side="right") - 1
+    records, place = records[place >= 0], place[place >= 0]
+    found = versions.iloc[place][list(CONTRACT)].reset_index(drop=True)
+    out = pd.concat([records.reset_index(drop=True).drop(columns="_us"), found], axis=1)
+    out.insert(0, "instrument_id", key[0])
+    out["expiration"] = pd.to_datetime(out["expiration"]).dt.date
+    # A record behind the watermark meets the version that stood there, and none before it.
+    old = int(np.searchsorted(versions["_us"].to_numpy(np.int64), state.getCurrentWatermarkMs() * 1000, side="right")) - 1
+    versions = versions.iloc[max(old, 0) :]
+    if len(versions):
+        state.update(tuple(versions[n].tolist() for n in names))
+    yield out
+
+
+def matched_contracts(records: DataFrame, versions: DataFrame, *, late: str = "10 minutes") -> DataFrame:
+    """:func:`strikelens.operators.tape.with_contract_at` on streams of records and of definitions.
+
+    The state of an instrument holds the versions that a record may still meet: those since the
+    watermark and the one before. A record that comes before its first definition is dropped, so
+    definitions have to come with or before the records that they are for.
+    """
+    ship_package(records.sparkSession)
+    empty = {"seq": F.lit(None).cast("bigint"), "kind": F.lit(DEFINITION)}
+    told = versions.select(
+        "instrument_id", F.col("defined_at").alias("ts"), *(c.alias(n) for n, c in empty.items()),
+        "symbol", F.col("expiration").cast("string").alias("expiration"), F.col("strike").cast("double").alias("strike"), "option_type",
+    )
+    seen = records.select("instrument_id", "ts", F.col("seq").cast("bigint").alias("seq"), "kind")
+    both = seen.unionByName(told, allowMissingColumns=True).withColumn("_us", F.unix_micros("ts")).withWatermark("ts", late)
+    return both.groupBy("instrument_id").applyInPandasWithState(
+        _match_contracts, MATCHED, DEFINED, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 SWEEP_ROW = (
     "symbol string, expiration date, strike double, option_type string, ts timestamp, "
     "side int, size bigint, price double, legs int, venues array<string>, event_key string"

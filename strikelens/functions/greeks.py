@@ -1,15 +1,13 @@
 """Black-Scholes-Merton values as Column expressions.
 
 Every formula takes Columns for spot, strike, year fraction and vol, and goes null
-when one of them is not positive, so no row can divide by zero. The same arithmetic
-runs on numpy arrays inside the implied-vol solver (:mod:`strikelens.operators.vol`).
+when one of them is not positive, so no row can divide by zero.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelens.functions.columns import positive
@@ -71,15 +69,6 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x > 0, 1.0 - tail).otherwise(tail)
 
 
-def norm_cdf_array(x: np.ndarray) -> np.ndarray:
-    """The same approximation on a numpy array."""
-    size = np.abs(x)
-    tail = np.exp(-0.5 * size * size) * np.where(
-        size < TAIL_SWITCH, _near_tail(np.minimum(size, TAIL_SWITCH)), _far_tail(size)
-    )
-    return np.where(x > 0, 1.0 - tail, tail)
-
-
 def d1(spot, strike, tau, sigma, r: float, q: float = 0.0) -> Column:
     sigma = positive(sigma)
     drift = (F.lit(r - q) + sigma * sigma * 0.5) * tau
@@ -149,14 +138,3 @@ def with_price(
     return staged.withColumn(
         "bs_price", F.coalesce(value, F.greatest(F.lit(0.0), reach))
     ).drop("_d1", "_d2")
-
-
-def price_array(spot, strike, tau, sigma, r: float, call) -> np.ndarray:
-    """The value that :func:`with_price` gives, on numpy arrays of positive inputs."""
-    width = sigma * np.sqrt(tau)
-    first = (np.log(spot / strike) + (r + 0.5 * sigma * sigma) * tau) / width
-    second = first - width
-    discounted = strike * np.exp(-r * tau)
-    upper = spot * norm_cdf_array(first) - discounted * norm_cdf_array(second)
-    lower = discounted * norm_cdf_array(-second) - spot * norm_cdf_array(-first)
-    return np.where(call, upper, lower)

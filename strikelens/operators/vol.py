@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelens.functions import greeks
@@ -16,57 +14,69 @@ from strikelens.functions.columns import (
     year_fraction,
 )
 from strikelens.operators.snapshot import dte, with_spot
-from strikelens.session import ship_package
 
 IV_LOW = 0.01
 IV_HIGH = 5.0
-SOLVER_STEPS = 60
-
-
-def _solve(rate: float):
-    @F.pandas_udf("double")
-    def solve(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        for price, spot, strike, tau, call in batches:
-            found = pd.Series(np.nan, index=price.index, dtype="float64")
-            rows = price.notna().to_numpy()
-            if rows.any():
-                found[rows] = bisect_vol(
-                    price[rows].to_numpy(float),
-                    spot[rows].to_numpy(float),
-                    strike[rows].to_numpy(float),
-                    tau[rows].to_numpy(float),
-                    rate,
-                    call[rows].to_numpy(bool),
-                )
-            yield found
-
-    return solve
-
-
-def bisect_vol(price, spot, strike, tau, rate: float, call) -> np.ndarray:
-    """Vols in [1 %, 500 %] that reproduce the prices, NaN where none does."""
-    low = np.full(price.shape, IV_LOW)
-    high = np.full(price.shape, IV_HIGH)
-    under = greeks.price_array(spot, strike, tau, low, rate, call) - price
-    over = greeks.price_array(spot, strike, tau, high, rate, call) - price
-    bracketed = under * over <= 0
-    for _ in range(SOLVER_STEPS):
-        middle = 0.5 * (low + high)
-        below = greeks.price_array(spot, strike, tau, middle, rate, call) < price
-        low = np.where(below, middle, low)
-        high = np.where(below, high, middle)
-    return np.where(bracketed, 0.5 * (low + high), np.nan)
+#: Steps of the solver. Newton's converge in a handful; where none is taken, each halves the bracket.
+SOLVER_STEPS = 34
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def solved_vol(price: Column, spot: Column, strike: Column, tau: Column, rate: float, call: Column) -> Column:
+    """The vol in [1 %, 500 %] that reproduces a price, null where none does.
+
+    A fold over a short array: Newton's step from a closed-form first guess, or the middle of the
+    bracket where that step leaves it. All inputs have to be positive.
+    """
+    inputs = F.struct(
+        price.cast("double").alias("price"), spot.cast("double").alias("spot"), call.alias("call"),
+        (F.lit(0.0) + tau).alias("tau"), F.sqrt(tau).alias("root"), F.ln(spot / strike).alias("away"),
+        (strike * F.exp(tau * -rate)).alias("discounted"),
+    )
+
+    def value(of: Column, d: Column) -> Column:
+        first, second, upper = d["first"], d["second"], of["call"]
+        sign = F.when(upper, 1.0).otherwise(-1.0)
+        return sign * (of["spot"] * greeks.norm_cdf(sign * first) - of["discounted"] * greeks.norm_cdf(sign * second))
+
+    def at(of: Column, sigma: Column, body: Callable[[Column], Column]) -> Column:
+        first = (of["away"] + (F.lit(rate) + sigma * sigma * 0.5) * of["tau"]) / (sigma * of["root"])
+        return _let(first, lambda x: _let(F.struct(x.alias("first"), (x - sigma * of["root"]).alias("second")), body))
+
+    def step(of: Column, now: Column) -> Column:
+        def moved(d: Column) -> Column:
+            slope = of["spot"] * greeks.norm_pdf(d["first"]) * of["root"]
+            return _let(value(of, d) - of["price"], lambda gap: bounded(gap, slope))
+
+        def bounded(gap: Column, slope: Column) -> Column:
+            low, high = F.when(gap < 0, now["x"]).otherwise(now["low"]), F.when(gap < 0, now["high"]).otherwise(now["x"])
+            newton = now["x"] - F.try_divide(gap, slope)
+            fits = (newton >= low) & (newton <= high)
+            return F.struct(low.alias("low"), high.alias("high"), F.when(fits, newton).otherwise((low + high) * 0.5).alias("x"))
+
+        return at(of, now["x"], moved)
+
+    def solve(of: Column) -> Column:
+        guess = F.sqrt(F.abs(of["away"] + of["tau"] * rate) * 2.0 / of["tau"])
+        bounds = F.lit(IV_LOW).alias("low"), F.lit(IV_HIGH).alias("high")
+        begin = F.struct(*bounds, F.greatest(F.least(guess, F.lit(IV_HIGH)), F.lit(IV_LOW)).alias("x"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(SOLVER_STEPS)), begin, lambda now, _: step(of, now), lambda end: end["x"])
+        under, over = (at(of, F.lit(x), lambda d: value(of, d)) for x in (IV_LOW, IV_HIGH))
+        return F.when((under <= of["price"]) & (over >= of["price"]), found)
+
+    return _let(inputs, solve)
 
 
 def fill_iv(chain: DataFrame, *, as_of, rate: float = 0.05) -> DataFrame:
     """Solve vol where it is missing, not positive or above 500 %; then fill gamma and delta.
 
-    Rows that cannot be solved keep the vol they had. The solver sees a price only for
-    rows that need it, so the others pass through the Arrow batch untouched.
+    Rows that cannot be solved keep the vol they had. All of it stays in the JVM, and the solver
+    runs for the rows that need it.
     """
-    ship_package(chain.sparkSession)
     call = F.upper("option_type") == "C"
     strike, spot = F.col("strike"), F.col("underlying_price")
     intrinsic = F.greatest(
@@ -75,13 +85,9 @@ def fill_iv(chain: DataFrame, *, as_of, rate: float = 0.05) -> DataFrame:
     invalid = F.col("iv").isNull() | (F.col("iv") <= 0) | (F.col("iv") > IV_HIGH)
     price = price_last_first()
     solvable = invalid & (spot > 0) & (strike > 0) & (price > 0) & (price >= intrinsic)
-    solved = _solve(rate)(
-        F.when(solvable, price), spot, strike, year_fraction(as_of), call
-    )
-    filled = chain.withColumn("_iv", solved).withColumn(
-        "iv", F.coalesce(F.when(~F.isnan("_iv"), F.col("_iv")), F.col("iv"))
-    )
-    return fill_greeks(filled.drop("_iv"), as_of=as_of, rate=rate)
+    solved = solved_vol(price, spot, strike, year_fraction(as_of), rate, F.coalesce(call, F.lit(False)))
+    filled = chain.withColumn("iv", F.coalesce(F.when(solvable, solved), F.col("iv")))
+    return fill_greeks(filled, as_of=as_of, rate=rate)
 
 
 def fill_greeks(chain: DataFrame, *, as_of, rate: float = 0.05) -> DataFrame:

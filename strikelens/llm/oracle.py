@@ -17,17 +17,38 @@ def _licences() -> str:
         hits.append(f"CASE WHEN regexp_matches(l{k}, '{pattern}') THEN '{name}' END")
         steps.append(f"s{k + 1} AS (SELECT *, regexp_replace(l{k}, '{pattern}', '#', 'g') AS l{k + 1} FROM s{k})")
     last = len(licenses.RULES)
+    longest = max(map(len, licenses._KNOWN))
     return rf"""
 WITH known(s, n) AS (VALUES {known}),
-marked AS (
-  SELECT doc_id, CASE WHEN {told} THEN regexp_replace(regexp_replace(text, '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g'),
-      '\n([ \t]*[A-Z#*/\n-])', chr(1) || '\1', 'g') ELSE '' END AS m
-  FROM documents),
-cut AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS s, generate_subscripts(string_split(m, chr(1)), 1) AS p FROM marked),
-plain AS (SELECT doc_id, p, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM cut),
+lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l
+    FROM documents WHERE {told})),
+bare AS (
+  SELECT doc_id, p, regexp_replace(regexp_replace(line, '{licenses.TRAILERS}', ''), '{licenses.LEADERS}', '') AS line FROM lines),
+spdx AS (
+  SELECT doc_id, p, regexp_replace(CASE WHEN regexp_matches(line, '{licenses.SPDX_LINE}') THEN replace(line, '+', '-or-later') ELSE line END,
+    '{licenses.SPDX_LINE}', chr(1) || 'spdx \1' || chr(1), 'g') AS line FROM bare),
+alone AS (
+  SELECT doc_id, p, CASE WHEN n IS NOT NULL THEN chr(1) || line || chr(1) WHEN trim(line) = '' THEN chr(1) ELSE line END AS line
+  FROM (SELECT *, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS s FROM spdx) LEFT JOIN known USING (s)),
+whole AS (SELECT doc_id, string_agg(line, chr(2) ORDER BY p) AS text FROM alone GROUP BY doc_id),
+cut AS (
+  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '([.!?;:])[ \t\x02]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM whole)),
+plain AS (
+  SELECT doc_id, p, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9\x02]+', ' ', 'g'), ' ?\x02[ \x02]*', chr(2), 'g'), ' ' || chr(2)) AS s FROM cut),
+kept AS (SELECT *, string_split(right(s, {longest + 1}), chr(2)) AS parts FROM plain WHERE s != ''),
+tails AS (
+  SELECT doc_id, p, i, n FROM (
+    SELECT doc_id, p, i, array_to_string(parts[i:], ' ') AS s FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM kept)) JOIN known USING (s)),
+best AS (SELECT doc_id, p, arg_min(n, i) AS n FROM tails GROUP BY doc_id, p),
+numbers AS (
+  SELECT k.doc_id, k.p, CASE WHEN w.n IS NOT NULL THEN '<' || w.n || '>' WHEN b.n IS NOT NULL THEN 'u<' || b.n || '>' ELSE 'u' END AS said,
+    coalesce(w.n, b.n) AS n
+  FROM (SELECT doc_id, p, replace(s, chr(2), ' ') AS s FROM kept) k LEFT JOIN known w ON w.s = k.s LEFT JOIN best b ON b.doc_id = k.doc_id AND b.p = k.p),
 said AS (
-  SELECT doc_id, CASE WHEN count(n) > 0 THEN string_agg(coalesce('<' || n || '>', 'u'), '' ORDER BY p) ELSE '' END AS said
-  FROM plain LEFT JOIN known USING (s) WHERE s != '' GROUP BY doc_id),
+  SELECT doc_id, CASE WHEN count(n) > 0 THEN string_agg(said, '' ORDER BY p) ELSE '' END AS said FROM numbers GROUP BY doc_id),
 s0 AS (
   SELECT doc_id, line, line AS l0 FROM (
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(said, ''), '^u+|u+$', '', 'g'), 'u{{3,}}', 'U', 'g'), 'u+', 'u', 'g') AS line

@@ -6,10 +6,11 @@ def _found(df):
 
 
 def test_every_known_sentence_is_found_alone(frame):
-    texts = list(licenses.SENTENCES.items())
+    texts = [(n, s) for n, s in licenses.SENTENCES.items() if any(sign in s.lower() for sign in licenses.SIGNS)]
+    assert set(licenses.SENTENCES) - {n for n, _ in texts} <= {17, 42, 53}  # these never stand first in a rule
     rows = _found(frame([(n, f"Some words before.\n{s}\nMore words after.") for n, s in texts]))
     assert [(i, ids) for i, ids, _, _ in rows] == [(n, str(n)) for n, _ in texts]
-    assert all(any(sign in s.lower() for sign in licenses.SIGNS) for _, s in texts)
+    assert all(any(sign in licenses.SENTENCES[ids[0]].lower() for sign in licenses.SIGNS) for _, ids in licenses.RULES if ids[0] < licenses.FIRST_SPDX)
 
 
 def test_rules(frame):
@@ -39,6 +40,66 @@ def test_rules(frame):
     assert rows[4][1] == "5,U,6"
 
 
+def _wrapped(text, leader, width=40, end="\n"):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {word}".strip()
+    return end.join(f"{leader}{x}" for x in [*lines, line])
+
+
+LEADERS = ["", "# ", " * ", "// ", "-- ", ";; ", "    ", "/// ", "#"]
+
+
+def test_wrapped_headers_of_every_rule(frame):
+    """Each rule's sentences, wrapped after 40 characters inside every kind of comment, below a copyright line."""
+    rows, want = [], []
+    for name, ids in licenses.RULES:
+        if ids[0] >= licenses.FIRST_SPDX:
+            continue
+        for leader in LEADERS:
+            body = _wrapped(" ".join(licenses.SENTENCES[i] for i in ids), leader)
+            end = "\r\n" if leader == "// " else "\n"
+            text = f"{leader}Copyright (c) 2020 Some One\n{body}\n\nint main() {{}}\n"
+            rows.append((len(rows), text.replace("\n", end)))
+            want.append(name)
+    found = {i: names for i, _, names, _ in _found(frame(rows))}
+    wrong = [(want[i], rows[i][1], found[i]) for i in range(len(rows)) if want[i] not in found[i].split(",")]
+    assert not wrong, wrong[:3]
+
+
+def test_sentences_wrapped_before_a_capital(frame):
+    rows = _found(
+        frame([
+            (1, "This work is licensed under the GNU General\nPublic License, version 3."),
+            (2, "/* Licensed under\n * the\n * Apache License,\n * Version 2.0. */"),
+            (3, "<!-- Licensed under the MIT License. -->\n<p>text</p>"),
+            (4, "A line\nLicensed under the MIT License\nAnother line"),
+        ])
+    )
+    assert [names for _, _, names, _ in rows] == ["GPL-3.0-only", "Apache-2.0", "MIT", "MIT"]
+
+
+def test_spdx_lines(frame):
+    lines = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-2.0+", "/* SPDX-License-Identifier: GPL-2.0 */",
+             "-- SPDX-License-Identifier: Apache-2.0\nSELECT 1", "SPDX-License-Identifier: (MIT)", "; SPDX-License-Identifier: NoSuch-1.0"]
+    rows = _found(frame(list(enumerate(lines))))
+    assert [names for _, _, names, _ in rows] == ["MIT", "GPL-2.0-or-later", "GPL-2.0-only", "Apache-2.0", "", ""]
+
+
+def test_only_whole_sentences_count(frame):
+    rows = _found(
+        frame([
+            (1, "They said it is not Licensed under the MIT License."),
+            (2, "Licensed under the MIT License of some kind."),
+            (3, "word " * 5000 + "\nmore words\n" * 2000 + "Licensed under the MIT License."),
+        ])
+    )
+    assert [names for _, _, names, _ in rows] == ["", "", "MIT"]
+
+
 def test_odd_rows(odd, empty):
     rows = _found(odd)
     assert len(rows) == 10 and all(r[1:] == ("", "", 0) for r in rows)

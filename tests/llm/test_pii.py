@@ -53,8 +53,47 @@ TEXTS = [
 ] + ["4539578763621486 in a row", "call +44 20 7946 0958 now"]
 
 
+PASSAGES = [p for t in TEXTS for p in pii.passages(t)]
+
+
+def test_every_rewritten_form_is_found():
+    model = pii.fit(PASSAGES * 3)
+    spans = {"phone": "+1 (212) 555-0187", "email": "jane.doe@mail.example.org", "card": "4111 1111 1111 1111"}
+    missed = []
+    for kind, span in spans.items():
+        forms = pii._variants(span, kind)
+        assert len(forms) >= 4
+        for form in forms:
+            text = f"please write to {form} today"
+            if pii.all_spans(text, model) != [(16, 16 + len(form), kind)]:
+                missed.append((form, pii.all_spans(text, model)))
+    assert missed == []
+
+
+def test_only_valid_segments_are_added():
+    model = pii.fit(PASSAGES)
+    for text in ("4111 1111\n1111 1112", "4111.1111.1111.1112", "300.1.2.3 and 1.2.3", "jane (at) home", "look at example.com", "we met at noon dot"):
+        assert pii.all_spans(text, model) == []
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a1@.-+( )[]{}<>\n\tatdo", max_size=120))
+def test_regions_hold_every_mark_once(text):
+    found = pii.regions(text)
+    assert all(a < b for a, b, _ in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+    for i, c in enumerate(text):
+        if c in "01@":
+            assert sum(a <= i < b for a, b, _ in found) == 1
+
+
+def test_decoding_long_runs_is_fast():
+    model = pii.fit(PASSAGES)
+    for text in ("a" * 300_000, "a1" * 20_000, "(at)" * 20_000, " dot " * 40_000, "x at y dot " * 8_000):
+        model.decode(text)
+
+
 def test_the_model_adds_rewritten_forms_and_leaves_others():
-    model = pii.fit(TEXTS)
+    model = pii.fit(PASSAGES)
     assert ("phone",) == tuple(k for *_, k in pii.all_spans("please call (724) 555-7058 today", model))
     assert pii.all_spans("on 2024-03-04 at 10:30:00 version 1.2.3", model) == []
     for text in TEXTS:  # base spans stay, and the added ones touch none of them
@@ -66,7 +105,7 @@ def test_the_model_adds_rewritten_forms_and_leaves_others():
 
 def test_decoding_equals_all_segmentations():
     """The dynamic program against an enumeration of every set of disjoint segments."""
-    model = pii.fit(TEXTS)
+    model = pii.fit(PASSAGES)
     for text in ("(724) 555-7058", "+1 (724) 555 x1", "a1@b2.c 4"):
         tokens, spans = pii._candidates(text, 0, len(text))
         best = (0.0, ())
@@ -86,7 +125,7 @@ def test_decoding_equals_all_segmentations():
 
 
 def test_digest(spark, odd, empty):
-    model = pii.fit(TEXTS)
+    model = pii.fit(PASSAGES)
     found = {(r.doc_id, r.n_email, r.n_ip): r for r in pii.digest(odd, model).collect()}
     assert len(pii.digest(odd, model).collect()) == 10
     nothing = hashlib.sha256(b"").hexdigest()
@@ -99,7 +138,7 @@ def test_digest(spark, odd, empty):
 
 
 def test_masked_keeps_columns_and_nulls(odd):
-    model = pii.fit(TEXTS)
+    model = pii.fit(PASSAGES)
     out = pii.masked(odd, model)
     assert out.columns == odd.columns
     texts = {r.doc_id: r.text for r in out.collect()}

@@ -712,6 +712,68 @@ LEFT JOIN (SELECT * FROM regimes WHERE weight='oi') ro USING (symbol)
 LEFT JOIN (SELECT * FROM regimes WHERE weight='volume') rv USING (symbol)"""
 CTES["best_pins"] = """
 SELECT *, prob AS probability FROM pins ORDER BY prob DESC, symbol, strike LIMIT 15"""
+CTES["served_tops"] = "SELECT symbol, side, rank, strike, net_gex AS value FROM gex_tops"
+CTES["served_surface"] = """
+SELECT symbol, strftime(expiration, '%Y-%m-%d') AS expiration, strike, option_type, iv, delta FROM g WHERE iv IS NOT NULL"""
+CTES["dashboard_lists"] = """
+SELECT symbol, 'max_pain' AS part, strftime(expiration, '%Y-%m-%d') AS name, strike, pain AS value FROM pain_best
+UNION ALL SELECT symbol, 'walls', CASE option_type WHEN 'C' THEN 'CALL' ELSE 'PUT' END || '_WALL_' ||
+  CASE weight WHEN 'oi' THEN 'OI' ELSE 'VOL' END || ' ' || rank, strike, value FROM wall_ranks
+UNION ALL SELECT symbol, 'skew', strftime(expiration, '%Y-%m-%d'), 0.0, skew FROM skews"""
+CTES["flow_lists"] = """
+SELECT symbol, 'HIRO' AS metric_type, ts AS place, NULL::DOUBLE AS price, call_premium AS first, put_premium AS second, cumulative AS total FROM hiro
+UNION ALL SELECT symbol_root, 'VOLUME_PROFILE_ES', NULL, price, buy, sell, total FROM bins WHERE symbol_root = 'ES'
+UNION ALL SELECT symbol, 'BASIS_SPX_ES', NULL, NULL, spot, futures, basis FROM bases"""
+CTES["last_bases"] = """
+SELECT symbol, max(snapshot_ts) AS snapshot_ts, arg_max(futures_price - parity_spot, snapshot_ts) AS basis
+FROM carry_in WHERE futures_price - parity_spot IS NOT NULL GROUP BY symbol"""
+CTES["live_bases"] = """
+SELECT symbol, 5000.0 - coalesce(basis, 0) AS underlying_price FROM (SELECT DISTINCT symbol FROM snap) LEFT JOIN last_bases USING (symbol)"""
+CTES["parsed"] = """
+SELECT event_id, CASE WHEN event_id % 6 IN (0, 4, 5) THEN value END AS shown FROM events"""
+CTES["fired_payloads"] = """
+SELECT rule_id, symbol, snapshot_ts, atm_iv, net_total, false AS has_curve FROM fired JOIN payload USING (symbol, snapshot_ts)"""
+CTES["inspected"] = f"""
+SELECT 'table lag' AS section, name, lag_seconds::DOUBLE AS value FROM freshness
+UNION ALL SELECT 'metric rows', metric_type, rows FROM breakdown
+UNION ALL SELECT 'rules', 'total', 7 UNION ALL SELECT 'rules', 'enabled', 6
+UNION ALL (SELECT 'recent alert', rule_id || ' ' || symbol || ' ' || strftime(snapshot_ts, '%Y-%m-%d %H:%M:%S'), NULL
+  FROM fired ORDER BY snapshot_ts DESC, rule_id LIMIT 20)
+UNION ALL SELECT 'pin', symbol || ' ' || strike::INTEGER, probability FROM best_pins
+UNION ALL SELECT field || ' pct', symbol, value FROM (UNPIVOT (SELECT symbol, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("bid", "ask", "last_price", "iv", "delta", "gamma", "oi", "volume", "underlying_price"))}
+  FROM quality_all) ON COLUMNS(* EXCLUDE symbol) INTO NAME field VALUE value)"""
+_EXTRA = "SELECT symbol, {kind} AS metric_type, {expiration} AS expiration, {strike} AS strike, {field} AS field, {value} AS value FROM {source}"
+
+
+def _extras() -> str:
+    """The numbers beside the value, a row each."""
+    parts = []
+
+    def add(kind, source, fields, expiration=NONE, strike="0.0"):
+        for field, value in fields.items():
+            parts.append(_EXTRA.format(kind=kind, source=source, expiration=expiration, strike=strike, field=f"'{field}'", value=f"CAST({value} AS DOUBLE)"))
+
+    same = lambda *names: {n: n for n in names}
+    add("CASE option_type WHEN 'C' THEN 'CALL' ELSE 'PUT' END || '_WALL_' || CASE weight WHEN 'oi' THEN 'OI' ELSE 'VOL' END", "wall_ranks", same("rank"), strike="strike")
+    add("'REGIME_' || CASE weight WHEN 'oi' THEN 'OI' ELSE 'VOL' END", "regimes", same("call_wall_total", "put_wall_total", "net_gex"))
+    add("'MAX_PAIN_AGG'", "pain_agg", {"window_expiries": "5"}, strike="strike")
+    add("'IV_TERM_STRUCTURE'", "terms", same("days_to_expiry", "atm_iv", "call_25d_iv", "put_25d_iv", "risk_reversal_25d"), expiration="expiration")
+    add("'RISK_REVERSAL_25D'", "(SELECT * FROM terms WHERE risk_reversal_25d IS NOT NULL)", same("call_25d_iv", "put_25d_iv"), expiration="expiration")
+    add("'MOVE_TRACKER'", "moves", same("underlying_price", "implied_move", "implied_dte"))
+    for tail, table, zero in (("", "gex_oi", "zero_oi"), ("_VOL", "gex_volume", "zero_volume")):
+        levels = same("strike", "call_gex", "put_gex", "net_gex")
+        add(f"'GEX_LEVEL{tail}'", f"(SELECT * FROM {table} WHERE net_gex IS NOT NULL)", levels, strike="strike")
+        weight = "volume" if tail else "oi"
+        totals = f"(SELECT t.symbol, t.underlying_price, z.zero_gamma FROM gex_totals t LEFT JOIN {zero} z USING (symbol) WHERE weight = '{weight}')"
+        add(f"'GEX_NET_TOTAL{tail}'", totals, same("underlying_price", "zero_gamma"))
+    for name in ("vanna", "charm"):
+        add(f"'{name.upper()}_LEVEL'", f"(SELECT * FROM {name} WHERE {name}_exposure IS NOT NULL)", same("strike", f"{name}_exposure"), strike="strike")
+        add(f"'{name.upper()}_NET_TOTAL'", f"(SELECT DISTINCT symbol, underlying_price FROM {name})", same("underlying_price"))
+    add("'PIN_PROBABILITY'", "pins", same("strike", "prob", "oi", "abs_charm", "atm_iv"), strike="strike")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE value IS NOT NULL"
+
+
+CTES["extras"] = _extras()
 CTES["status"] = """
 SELECT symbol, c.n AS chain_rows, m.n AS metric_rows
 FROM (SELECT symbol, count(*) AS n FROM chain GROUP BY symbol) c

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import oracle
 from strikelens.functions import greeks
-from strikelens.functions.columns import is_call, year_fraction
+from strikelens.functions.columns import is_call, number, year_fraction
 from strikelens.operators import alerts, exposure, flow, positioning, profile, quality, tape, vol
 from strikelens.operators.snapshot import (
     basis_carry,
     fill_open_interest,
     futures_at,
+    last_basis,
     latest_snapshot,
     latest_underlying,
     parity_spot,
@@ -26,7 +27,7 @@ from strikelens.operators.snapshot import (
 )
 from strikelens.plans import metrics as metric_plans
 from strikelens.plans import serving
-from strikelens.plans.pipeline import run_chain_pipeline
+from strikelens.plans.pipeline import enriched_snapshot, run_chain_pipeline
 from strikelens.sources import demo, records, sinks, tables
 from strikelens.streaming import alerts as alert_streams, late, stateful, windows
 from strikelens.streaming.runner import ROCKSDB, Feed, drain, drain_batches, drain_closed, shared_folder
@@ -518,6 +519,125 @@ def top_pins(spark, sf):
 def metric_breakdown(spark, sf):
     return quality.metric_breakdown(_metrics(spark, sf), now=AS_OF)
 
+LEVEL = "array<struct<rank:int,strike:double,value:double,call_gex:double,put_gex:double,net_gex:double>>"
+
+@register("serve_gex_curve", "symbol strike call_gex:2 put_gex:2 net_gex:2", "gex_oi", "net_gex IS NOT NULL")
+def serve_gex_curve(spark, sf):
+    shown = serving.gex(_metrics(spark, sf), mode="oi")
+    return shown.select("symbol", F.inline(F.from_json("curve", LEVEL)))
+
+@register("serve_gex_tops", "symbol side rank strike value:2", "served_tops")
+def serve_gex_tops(spark, sf):
+    shown = serving.gex(_metrics(spark, sf), mode="oi")
+    sides = [
+        shown.select("symbol", F.lit(side).alias("side"), F.inline(F.from_json(f"top_{side}", LEVEL)))
+        for side in ("positive", "negative")
+    ]
+    return sides[0].unionByName(sides[1])
+
+@register("serve_iv_surface", f"symbol expiration strike option_type iv:6 delta:6", "served_surface")
+def serve_iv_surface(spark, sf):
+    point = "array<struct<expiration:string,strike:double,option_type:string,iv:double,delta:double>>"
+    shown = serving.iv(_metrics(spark, sf))
+    return shown.select("symbol", F.inline(F.from_json("surface", point)))
+
+@register("serve_snapshot_lists", "symbol part name strike:2 value:4", "dashboard_lists")
+def serve_snapshot_lists(spark, sf):
+    """The lists of the dashboard, entry by entry."""
+    shown = serving.snapshot(_metrics(spark, sf))
+    day = F.date_format("expiration", "yyyy-MM-dd")
+    parts = {
+        "max_pain": (day, F.col("strike"), F.col("pain")),
+        "walls": (F.concat_ws(" ", "wall", "rank"), F.col("strike"), F.col("value")),
+        "skew": (day, F.lit(0.0), F.col("skew")),
+    }
+    rows = [
+        shown.select("symbol", F.inline(part)).select(
+            "symbol", F.lit(part).alias("part"), name.alias("name"), strike.cast("double").alias("strike"), value.cast("double").alias("value")
+        )
+        for part, (name, strike, value) in parts.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+@register("metric_extras", "symbol metric_type expiration:d strike field value:4", "extras")
+def metric_extras(spark, sf):
+    """Every number beside the value of a metric, whatever its type, out of the stored JSON."""
+    fields = F.from_json("extra", F.lit("map<string,variant>"))
+    rows = _metrics(spark, sf).where(F.col("extra").isNotNull()).select(
+        "symbol", "metric_type", "expiration", "strike", F.explode(fields).alias("field", "entry")
+    )
+    value = F.try_variant_get("entry", F.lit("$"), "double")
+    numbers = rows.withColumn("value", value).where(F.schema_of_variant("entry").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
+    return numbers.where(F.col("value").isNotNull())
+
+@register("flow_extras", "symbol metric_type place:t price:2 first:2 second:2 total:2", "flow_lists")
+def flow_extras(spark, sf):
+    """The series of HIRO and the bins of the profile, entry by entry, with the numbers of the basis."""
+    rows = flow_metrics(spark, sf)
+    lit = lambda kind: F.lit(None).cast(kind)
+    step = "array<struct<ts:timestamp,call_premium:double,put_premium:double,net_premium:double,cumulative:double>>"
+    bin_ = "array<struct<price:double,total:double,buy:double,sell:double>>"
+    columns = ["symbol", "metric_type"]
+    hiro_rows = rows.where("metric_type = 'HIRO'").select(*columns, F.inline(F.from_json(F.get_json_object("extra", "$.series"), step)))
+    bins = rows.where("metric_type = 'VOLUME_PROFILE_ES'").select(*columns, F.inline(F.from_json(F.get_json_object("extra", "$.bins"), bin_)))
+    number = lambda name: F.get_json_object("extra", f"$.{name}").cast("double")
+    bases = rows.where("metric_type = 'BASIS_SPX_ES'")
+    parts = [
+        hiro_rows.select(*columns, F.col("ts").alias("place"), lit("double").alias("price"), F.col("call_premium").alias("first"),
+                         F.col("put_premium").alias("second"), F.col("cumulative").alias("total")),
+        bins.select(*columns, lit("timestamp").alias("place"), "price", F.col("buy").alias("first"), F.col("sell").alias("second"), "total"),
+        bases.select(*columns, lit("timestamp").alias("place"), lit("double").alias("price"), number("spot").alias("first"),
+                     number("futures").alias("second"), number("basis").alias("total")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+@register("metric_store", METRIC.replace("strike", "strike:2"), "metrics")
+def metric_store(spark, sf):
+    """Two computations of one time; the second one is stored twice and counts."""
+    path, found = shared_folder(spark), _metrics(spark, sf)
+    sinks.append_metrics(found.withColumn("value", F.col("value") + 1), path, 0)
+    for _ in range(2):
+        sinks.append_metrics(found, path, 1)
+    nothing = F.lit("1970-01-01").cast("date")
+    return sinks.read_metrics(spark, path, first=nothing, last=F.lit(AS_OF))
+
+@register("inspector", "section name value:4", "inspected")
+def inspector(spark, sf):
+    metrics = _metrics(spark, sf)
+    fired = _fired(spark, sf)
+    return serving.inspector(
+        table_freshness(spark, sf), metrics, chain_quality(spark, sf), _rules(spark), fired, now=AS_OF
+    )
+
+@register("basis_memory", "symbol snapshot_ts:t basis:6", "last_bases")
+def basis_memory(spark, sf):
+    """What a history of snapshots leaves for the next live one."""
+    priced = futures_at_hours(spark, sf)
+    even = F.hour("snapshot_ts") % 2 == 0
+    implied = F.col("futures_price") - 3 - F.dayofmonth("snapshot_ts")
+    return last_basis(priced.withColumn("parity_spot", F.when(even, implied)))
+
+@register("basis_live", "symbol underlying_price:6", "live_bases")
+def basis_live(spark, sf):
+    """A live snapshot without prices takes its spot from the futures and the remembered basis."""
+    chain = _snapshot(spark, sf).withColumns(
+        {c: F.lit(None).cast("double") for c in ("underlying_price", "bid", "ask", "last_price")}
+    )
+    futures = chain.select("symbol").distinct().withColumn("futures_price", F.lit(5000.0))
+    filled = enriched_snapshot(
+        chain, None, as_of=AS_OF, lookback=None, futures=futures, basis=basis_memory(spark, sf)
+    )
+    return filled.groupBy("symbol").agg(F.max("underlying_price").alias("underlying_price"))
+
+@register("text_numbers", "event_id shown:6", "parsed")
+def text_numbers(spark, sf):
+    """Prices that come as text: what is no number, or not a number, is missing."""
+    turn = F.col("event_id") % 6
+    written = F.col("value").cast("string")
+    text = F.when(turn == 0, F.concat(F.lit(" "), written, F.lit(" "))).when(turn == 1, "NaN").when(turn == 2, "n/a")
+    text = text.when(turn == 3, "").when(turn == 4, F.concat(written, F.lit("e0"))).otherwise(written)
+    return demo.table(spark, sf, "events").withColumn("price", text).select("event_id", number("price").alias("shown"))
+
 @register("system_status", "symbol chain_rows metric_rows", "status")
 def system_status(spark, sf):
     return serving.system_status(demo.options_chain(spark, sf), _metrics(spark, sf))
@@ -544,7 +664,7 @@ QUALITY = (
 )
 
 def _quality(spark, sf, now, window):
-    chain = vol.fill_greeks(demo.options_chain(spark, sf), as_of=AS_OF)
+    chain = vol.known_greeks(demo.options_chain(spark, sf), as_of=AS_OF)
     return quality.chain_quality(chain, now=now, window=window)
 
 @register("chain_quality", QUALITY, "quality_all")
@@ -561,14 +681,27 @@ def health_alarm(spark, sf):
 
 # Alerts.
 
-def _fired(spark, sf):
-    payloads = alerts.payload_history(_history_metrics(spark, sf)).persist()
+def _rules(spark):
     rules = demo.alert_rules()
     enabled = {rule["id"]: rule["enabled"] for rule in rules}
-    stored = alerts.rule_table(spark, rules).withColumn(
+    return alerts.rule_table(spark, rules).withColumn(
         "enabled", F.col("id").isin([name for name, on in enabled.items() if on])
     )
-    return alerts.evaluate_rules(payloads, alerts.load_rules(stored))
+
+def _fired(spark, sf):
+    payloads = alerts.payload_history(_history_metrics(spark, sf)).persist()
+    return alerts.evaluate_rules(payloads, alerts.load_rules(_rules(spark)))
+
+@register("alert_payloads", "rule_id symbol snapshot_ts:t atm_iv:6 net_total:2 has_curve", "fired_payloads")
+def alert_payloads(spark, sf):
+    """What an alert carries: the numbers of its snapshot, long lists cut out."""
+    payload = F.parse_json("payload")
+    at = lambda path, kind: F.try_variant_get(payload, path, kind)
+    return _fired(spark, sf).select(
+        "rule_id", "symbol", "snapshot_ts",
+        at("$.ATM_IV.value", "double").alias("atm_iv"), at("$.GEX_NET_TOTAL.value", "double").alias("net_total"),
+        at("$.GEX_NET_TOTAL.curve", "string").isNotNull().alias("has_curve"),
+    )
 
 @register("alerts_fired", "rule_id symbol snapshot_ts:t matched", "fired_listed")
 def alerts_fired(spark, sf):

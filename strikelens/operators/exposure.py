@@ -219,6 +219,9 @@ def gamma_profile(
         .groupBy(*keys, "spot", "strike", "tau", "iv")
         .agg(*held)
     )
+    # A symbol's options spread before they are multiplied; the number keeps them from being put together again.
+    parts = int(chain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = merged.repartition(parts, *keys, "strike", "tau", "iv")
     low = F.col("spot") * (1.0 - search_pct)
     step = (F.col("spot") * (1.0 + search_pct) - low) / float(n_points - 1)
     expanded = merged.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))

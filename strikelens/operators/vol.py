@@ -90,6 +90,23 @@ def fill_iv(chain: DataFrame, *, as_of, rate: float = 0.05) -> DataFrame:
     return fill_greeks(filled, as_of=as_of, rate=rate)
 
 
+def known_greeks(chain: DataFrame, *, as_of) -> DataFrame:
+    """``gamma`` and ``delta`` as 1 where :func:`fill_greeks` gives a value, null elsewhere.
+
+    Coverage needs no normal distribution: a value is known where it is there already or where
+    price, strike, vol and time are positive.
+    """
+    inputs = (F.col("underlying_price"), F.col("strike"), F.col("iv"), year_fraction(as_of))
+    solvable = F.lit(True)
+    for value in inputs:
+        solvable = solvable & (F.coalesce(value, F.lit(0.0)) > 0)
+    out = {}
+    for name in ("gamma", "delta"):
+        have = F.col(name).isNotNull() if name in chain.columns else F.lit(False)
+        out[name] = F.when(have | solvable, 1.0)
+    return chain.withColumns(out)
+
+
 def fill_greeks(chain: DataFrame, *, as_of, rate: float = 0.05) -> DataFrame:
     """Analytic gamma and delta where they are null or zero and the inputs allow it."""
     tau = year_fraction(as_of)

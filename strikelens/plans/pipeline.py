@@ -27,14 +27,18 @@ def enriched_snapshot(
     as_of,
     lookback: str | None = LOOKBACK,
     futures: DataFrame | None = None,
+    basis: DataFrame | None = None,
     rate: float = 0.05,
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """Newest row per contract with open interest, spot, vol and greeks filled in."""
+    """Newest row per contract with open interest, spot, vol and greeks filled in.
+
+    ``basis`` is what earlier snapshots left (:func:`strikelens.operators.snapshot.last_basis`).
+    """
     snapshot = latest_snapshot(chain, as_of=as_of, lookback=lookback, tiebreak=tiebreak)
     if eod is not None:
         snapshot = fill_open_interest(snapshot, eod)
-    snapshot = resolve_spot(snapshot, as_of=as_of, futures=futures, rate=rate, keys=("symbol",))
+    snapshot = resolve_spot(snapshot, as_of=as_of, futures=futures, basis=basis, rate=rate, keys=("symbol",))
     return with_spot(fill_iv(snapshot, as_of=as_of, rate=rate))
 
 

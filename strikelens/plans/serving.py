@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strikelens.operators import quality
+
 # The metric types shown by the inspector, in its order.
 INSPECTED_TYPES = (
     "GEX_NET_TOTAL_VOL", "GEX_NET_TOTAL", "VANNA_NET_TOTAL", "CHARM_NET_TOTAL", "MAX_PAIN",
@@ -207,6 +211,33 @@ def recent_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
     return alerts.orderBy(F.desc("ts"), "rule_id").limit(n)
 
 
+def inspector(
+    freshness: DataFrame, metrics: DataFrame, coverage: DataFrame, rules: DataFrame, fired: DataFrame, *, now, n_alerts: int = 20
+) -> DataFrame:
+    """Everything an operator looks at first, as (``section``, ``name``, ``value``) rows of one job.
+
+    ``freshness`` and ``coverage`` come from :mod:`strikelens.operators.quality`; tables and rule
+    counts are a few rows, and of alerts and pins only the newest or likeliest are taken.
+    """
+    def rows(df: DataFrame, section: str, name: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+
+    counts = quality.rule_counts(rules)
+    alerts = recent_alerts(fired.withColumn("ts", F.col("snapshot_ts")), n_alerts)
+    shown = F.concat_ws(" ", "rule_id", "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    pins = top_pins(metrics)
+    parts = [
+        rows(freshness, "table lag", F.col("name"), F.col("lag_seconds")),
+        rows(quality.metric_breakdown(metrics, now=now), "metric rows", F.col("metric_type"), F.col("rows")),
+        rows(counts, "rules", F.lit("total"), F.col("rules_total")),
+        rows(counts, "rules", F.lit("enabled"), F.col("rules_enabled")),
+        rows(alerts, "recent alert", shown, F.lit(None)),
+        rows(pins, "pin", F.concat_ws(" ", "symbol", F.col("strike").cast("int")), F.col("probability")),
+        *(rows(coverage, f"{field} pct", F.col("symbol"), F.col(field)) for field in quality.CHAIN_FIELDS),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def system_status(chain: DataFrame, metrics: DataFrame) -> DataFrame:
     """Chain rows, metric rows and newest computation per symbol."""
     chain_rows = chain.groupBy("symbol").agg(F.count(F.lit(1)).alias("chain_rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from strikelens.functions.columns import instant
@@ -81,20 +81,27 @@ def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Store metric rows; the days they belong to are merged with what is there.
+def append_metrics(metrics: DataFrame, path: str, batch: int) -> None:
+    """Store the metric rows of one computation as batch ``batch`` of their days.
 
-    A metric row of the same key replaces the stored one.
+    Nothing stored is read or rewritten, so a tick costs what it brings and writers of different
+    batches don't meet; a batch that runs again replaces itself. :func:`read_metrics` resolves
+    rows of one key.
     """
-    spark = metrics.sparkSession
-    fresh = to_storage(metrics, "computed_metrics").withColumn("dt", F.to_date("ts"))
-    old = stored_or_none(spark, path)
-    if old is not None:
-        days = fresh.select("dt").distinct()
-        kept = old.join(days, "dt", "left_semi").withColumn("_new", F.lit(0))
-        both = kept.unionByName(fresh.withColumn("_new", F.lit(1)))
-        fresh = newest_rows(both, TABLES["computed_metrics"].key, ["_new"]).drop("_new")
-    _overwrite_partitions(fresh, path, ["dt"])
+    stamped = to_storage(metrics, "computed_metrics").withColumns(
+        {"dt": F.to_date("ts"), "batch": F.lit(batch)}
+    )
+    _overwrite_partitions(stamped, path, ["dt", "batch"])
+
+
+def read_metrics(spark: SparkSession, path: str, *, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """The stored metric rows, of the days from ``first`` to ``last``: the latest batch of each key."""
+    stored = spark.read.parquet(path)
+    for bound, compare in ((first, "__ge__"), (last, "__le__")):
+        if bound is not None:
+            stored = stored.where(getattr(F.col("dt"), compare)(bound.cast("date")))
+    newest = newest_rows(stored.drop("dt"), TABLES["computed_metrics"].key, ["batch"])
+    return newest.select(*TABLES["computed_metrics"].schema.names)
 
 
 def append_new_events(events: DataFrame, path: str) -> None:

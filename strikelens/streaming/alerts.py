@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strikelens.operators import alerts
 from strikelens.session import ship_package
-from strikelens.sources.sinks import stored_or_none
+from strikelens.sources.sinks import read_metrics, stored_or_none
 
 FIRED = "rule_id string, symbol string, snapshot_ts timestamp, matched array<string>, payload string, kept boolean"
 
@@ -162,9 +162,8 @@ def alert_sink(
                     remember(df, path, batch_id)
             return
         since = F.lit(first) - F.make_dt_interval(secs=F.lit(alerts.PAYLOAD_SECONDS))
-        stored = spark.read.parquet(metrics_path).where(
-            F.col("dt").between(since.cast("date"), F.lit(last).cast("date"))
-            & F.col("ts").between(since, F.lit(last))
+        stored = read_metrics(spark, metrics_path, first=since, last=F.lit(last)).where(
+            F.col("ts").between(since, F.lit(last))
         )
         fresh = alerts.payload_history(stored).join(moments, ["symbol", "snapshot_ts"], "left_semi")
         payloads = (fresh if before is None else fresh.unionByName(before)).persist()

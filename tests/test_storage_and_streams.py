@@ -54,8 +54,9 @@ def test_metrics_replace_rows_of_the_same_key(spark, tmp_path):
     def metric(value, minute=0):
         row = (at(minute), "SPXW", "ATM_IV", 0.0, dt.date(1970, 1, 1), at(minute), value, None)
         return spark.createDataFrame([row], schema)
-    sinks.write_metrics(metric(0.1), path)
-    sinks.write_metrics(metric(0.2).unionByName(metric(0.3, 1)), path)
+    sinks.append_metrics(metric(0.1), path, 0)
+    for _ in range(2):  # a batch that runs again replaces itself
+        sinks.append_metrics(metric(0.2).unionByName(metric(0.3, 1)), path, 1)
     assert sorted(float(r.value) for r in spark.read.parquet(path).collect()) == [0.2, 0.3]
 
 
@@ -238,7 +239,7 @@ def test_alert_stream_remembers_previous_payload_and_cooldown(spark, tmp_path):
     for batch_id, (minute, value) in enumerate([(0, 1.0), (3 * 1440, 3.0), (3 * 1440 + 1, 3.0), (3 * 1440 + 2, 3.0)]):
         row = (at(minute), "SPXW", "ATM_IV", 0.0, dt.date(1970, 1, 1), at(minute), value, None)
         batch = spark.createDataFrame([row], schema)
-        sinks.write_metrics(batch, metrics_path)
+        sinks.append_metrics(batch, metrics_path, batch_id)
         for _ in range(2):  # a batch that runs again changes nothing
             evaluate(batch, batch_id)
     found = sorted((r.rule_id, int((r.ts - START).total_seconds()) // 60 - 3 * 1440) for r in spark.read.parquet(events_path).collect())

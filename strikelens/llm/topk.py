@@ -1,17 +1,21 @@
 """Exact top-k by inner product: the three-phase uniform threshold over groups of dimensions.
 
-A node of the method is one group of dimensions; its score list holds the partial products of a
-query with every candidate. Phase 1 gathers the best k of every list and the whole scores of
-what they name: the k-th best of these is a safe lower bound of a query's k-th score. Phase 2
-sends it back as a cutoff, bound / groups: a candidate below it in every list cannot reach the
-bound. Phase 3 drops what cannot reach it even with the cutoff in place of each list entry that
-was not sent, and resolves the rest exactly. Lists are kept by tiles of queries and candidates,
-so that no task holds all of either side.
+A score list belongs to a query and a group of dimensions and holds the partial products of the
+query with every candidate; a task makes a tile of one group's lists and knows no other group.
+Phase 1 gathers the best k of every list and resolves what they name: the k-th best of these is a
+safe lower bound of a query's k-th score. Phase 2 sends it back as a cutoff, bound / groups, and
+each list answers with its entries at or over it: a candidate below it in every list cannot
+reach the bound. Phase 3 adds up what has come, drops what cannot reach the bound even with the
+cutoff in place of each entry that was not sent, and computes the missing products of the rest.
+
+Equal vectors are one candidate with its ``k + 1`` smallest ids, so copies are never scored twice.
+Tiles bound what a task holds of either side.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikelens.llm.common import written
+from strikelens.llm.common import map_batches, written
 from strikelens.session import ship_package
 
 #: Queries and candidates of a tile, and queries scored at once within it.
 TILE_QUERIES, TILE_CANDIDATES, AT_ONCE = 1024, 8192, 64
 #: Below this bound of a score, double arithmetic on integers is exact.
 EXACT = float(1 << 53)
+SCALE = 1024.0
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    """floor(1024 x) of the components, exact as doubles or else as 64-bit integers."""
+    """floor(1024 x) of the components, as doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(flat * 1024.0).reshape(rows, -1)
+    return np.floor(flat * SCALE).reshape(rows, -1)
 
 
-def _partials(q: np.ndarray, c: np.ndarray, groups: int) -> np.ndarray:
-    """Partial products by group: (groups, queries, candidates)."""
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All inner products, exact as doubles or else as 64-bit integers."""
     top = max(np.abs(q).max(initial=0.0), np.abs(c).max(initial=0.0))
     if top * top * max(q.shape[1], 1) >= EXACT:
         q, c = q.astype(np.int64), c.astype(np.int64)
-    cuts = np.linspace(0, q.shape[1], groups + 1).astype(int)
-    return np.stack([q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return q @ c.T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -54,41 +58,64 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([over, tied[np.argsort(ids[tied], kind="stable")[: k - len(over)]]])
 
 
+_ENTRY = "query_id long, class_id long, part long"
+
+
 def _tile(left: pa.Table, right: pa.Table, k: int, groups: int, bounded: bool) -> pa.Table:
-    """Of a tile's candidates: the entries that phase 1 (or, with bounds, phases 2 and 3) keeps."""
-    names = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """Entries of a tile's lists: the best k of each, or with bounds those at or over the cutoff."""
+    names = pa.schema([("query_id", pa.int64()), ("class_id", pa.int64()), ("part", pa.int64())])
     if not left.num_rows or not right.num_rows:
         return names.empty_table()
-    q_ids, c_ids = left["query_id"].to_numpy(), right["other_id"].to_numpy()
-    queries, candidates = _matrix(left["embedding"], len(q_ids)), _matrix(right["other"], len(c_ids))
+    q_ids, c_ids = left["query_id"].to_numpy(), right["class_id"].to_numpy()
+    queries, candidates = _matrix(left["q_part"], len(q_ids)), _matrix(right["c_part"], len(c_ids))
+    alone = right["alone"].to_numpy(zero_copy_only=False)
     bounds = left["bound"].to_numpy() if bounded else None
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo in range(0, len(q_ids), AT_ONCE):
-        parts = _partials(queries[lo : lo + AT_ONCE], candidates, groups)
-        whole = parts.sum(axis=0)
-        for i in range(whole.shape[0]):
-            query, other = q_ids[lo + i], c_ids != q_ids[lo + i]
+        parts = _products(queries[lo : lo + AT_ONCE], candidates)
+        for i, part in enumerate(parts):
+            other = (c_ids != q_ids[lo + i]) | ~alone  # a query's own vector, unless others share it
             if bounded:
-                bound = bounds[lo + i]  # null (NaN): fewer than k others, so everything is sent
-                keep = np.flatnonzero(other)
-                if not math.isnan(bound):
-                    lists = parts[:, i, keep]
-                    sent = lists * groups >= bound
-                    most = np.where(sent, lists, bound / groups).sum(axis=0)
-                    # Half a unit above rounding: scores are integers.
-                    keep = keep[sent.any(axis=0) & (most >= bound - 0.5)]
+                bound = bounds[lo + i]  # NaN: fewer than k others, so everything is sent
+                keep = np.flatnonzero(other if math.isnan(bound) else other & (part * groups >= bound))
             else:
                 own = np.flatnonzero(other)
-                keep = np.unique(np.concatenate([own[_best(parts[g, i, own], c_ids[own], k)] for g in range(groups)]))
-            keep = keep[_best(whole[i, keep], c_ids[keep], k)]
-            out.append((np.full(len(keep), query), c_ids[keep], whole[i, keep].astype(np.int64)))
+                keep = own[_best(part[own], c_ids[own], k)]
+            out.append((np.full(len(keep), q_ids[lo + i]), c_ids[keep], part[keep].astype(np.int64)))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)]
     return pa.table([pa.array(x, pa.int64()) for x in columns], schema=names)
 
 
-def _ranked(entries: DataFrame, k: int) -> DataFrame:
+def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame, groups: int) -> DataFrame:
+    """(``query_id``, ``class_id``, ``score``) of pairs that have come with the products of ``seen`` groups,
+    ``part`` in sum: the products of the other groups are computed here."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for q, c, seen, part in zip(*(batch.column(n).to_pylist() for n in ("q", "c", "seen", "part")), strict=True):
+                cuts = [len(q) * g // groups for g in range(groups + 1)]
+                for g in set(range(groups)) - set(seen):
+                    a, b = (np.floor(np.array(v[cuts[g] : cuts[g + 1]], np.float64) * SCALE)[None] for v in (q, c))
+                    part += int(_products(a, b)[0, 0])
+                scores.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("class_id"), pa.array(scores, pa.int64())], names=["query_id", "class_id", "score"])
+
+    whole = pairs.where(F.size("seen") == groups).select("query_id", "class_id", F.col("part").alias("score"))
+    rest = (
+        pairs.where(F.size("seen") < groups)
+        .join(queries.select("query_id", F.col("embedding").alias("q")).hint("merge"), "query_id")
+        .join(classes.select("class_id", F.col("embedding").alias("c")).hint("merge"), "class_id")
+        .select("query_id", "class_id", "part", "seen", "q", "c")
+    )
+    return whole.union(map_batches(rest, job, "query_id long, class_id long, score long"))
+
+
+def _ranked(scores: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The best k ids of each query; a class stands for its smallest ids."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return entries.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = scores.join(classes.select("class_id", "ids").hint("merge"), "class_id").select("query_id", "score", F.explode("ids").alias("vec_id"))
+    return named.where("vec_id != query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 4) -> DataFrame:
@@ -99,7 +126,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 4) -> Data
     smaller ``vec_id``, and a query with fewer than k others gets them all. Rows with a null
     ``vec_id``, a null or empty vector, or a null or non-finite component take no part. Vectors
     of different lengths have no inner product and are never compared. Rows that repeat a
-    ``vec_id`` count once, with the smallest of their vectors. Other columns are ignored.
+    ``vec_id`` count once, with the smallest of their vectors. An empty table gives no rows.
+    Other columns are ignored.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -109,43 +137,49 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 4) -> Data
         .where("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
         .groupBy("vec_id")
         .agg(F.min("embedding").alias("embedding"))
-        .withColumn("dims", F.size("embedding"))
     )
     usable = written(usable, "vectors")
-    sizes = {
-        r.dims: (max(1, math.ceil(r.q / TILE_QUERIES)), max(1, math.ceil(r.n / TILE_CANDIDATES)))
-        for r in usable.groupBy("dims").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()
-    }  # a row for each length of vectors
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def parts(which: int) -> F.Column:
-        rule = F.lit(1)
-        for dims, n in sizes.items():
-            rule = F.when(F.col("dims") == dims, F.lit(n[which])).otherwise(rule)
-        return rule
-
-    spread = F.xxhash64("vec_id")
-    queries = usable.where(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("query_id"), "embedding", "dims",
-        F.pmod(spread, parts(0)).alias("q_tile"), F.explode(F.sequence(F.lit(0), parts(1) - 1)).alias("c_tile"),
-    )
-    candidates = usable.select(
-        F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"), F.col("dims").alias("other_dims"),
-        F.pmod(spread, parts(1)).cast("int").alias("other_c"), F.explode(F.sequence(F.lit(0), parts(0) - 1)).alias("other_q"),
-    )
-
-    def scored(left: DataFrame, bounded: bool) -> DataFrame:
-        def job(a: pa.Table, b: pa.Table) -> pa.Table:
-            return _tile(a, b, k, groups, bounded)
-
-        return (
-            left.withColumn("q_tile", F.col("q_tile").cast("int")).groupBy("dims", "q_tile", "c_tile")
-            .cogroup(candidates.groupBy("other_dims", "other_q", "other_c"))
-            .applyInArrow(job, "query_id long, vec_id long, score long")
-        )
-
-    first = _ranked(scored(queries, bounded=False), k)
+    # The rank limit works in each task before the shuffle: a vector with very many copies sends k + 1 a task.
+    copies = Window.partitionBy("embedding").orderBy("vec_id")
+    few = usable.withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
+    classes = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = classes.select(F.col("ids")[0].alias("class_id"), "ids", "embedding", F.size("embedding").alias("dims"))
+    classes = written(classes, "classes")
+    queries = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dims"))
+    n_queries, n_classes = queries.count(), classes.count()
+    q_tiles, c_tiles = max(1, math.ceil(n_queries / TILE_QUERIES)), max(1, math.ceil(n_classes / TILE_CANDIDATES))
+
+    def parts(table: DataFrame, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        """A row for each group of dimensions and tile of the other side."""
+        cut = lambda i: F.expr(f"int(dims * {i} div {groups})")
+        piece = F.array(*[F.struct(F.lit(g).alias("g"), F.slice("embedding", cut(g) + 1, cut(g + 1) - cut(g)).alias(name)) for g in range(groups)])
+        spread = F.pmod(F.xxhash64(table.columns[0]), F.lit(n_own)).cast("int").alias(own)
+        rows = table.select(*(c for c in table.columns if c != "embedding"), spread, F.explode(piece).alias("piece"))
+        return rows.select("*", "piece.*", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)).drop("piece")
+
+    candidates = parts(classes.withColumn("alone", F.size("ids") == 1).drop("ids"), "c_part", "c_tile", c_tiles, "q_tile", q_tiles)
+    tile = ["dims", "g", "q_tile", "c_tile"]
+
+    def lists(asked: DataFrame, bounded: bool) -> DataFrame:
+        def job(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+            found = _tile(a, b, k, groups, bounded)
+            return found.append_column("g", pa.array(np.full(found.num_rows, key[1].as_py(), np.int32)))
+
+        left = parts(asked, "q_part", "q_tile", q_tiles, "c_tile", c_tiles)
+        return left.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(job, f"{_ENTRY}, g int")
+
+    # Phase 1: the heads of all lists, and the k-th best of what they name.
+    head = Window.partitionBy("query_id", "g").orderBy(F.desc("part"), "class_id")
+    heads = lists(queries, bounded=False).withColumn("place", F.row_number().over(head)).where(F.col("place") <= k)
+    gather = [F.sum("part").alias("part"), F.collect_list("g").alias("seen")]
+    first = _ranked(_resolved(heads.groupBy("query_id", "class_id").agg(*gather), queries, classes, groups), classes, k)
     bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    rest = scored(queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan")))), True)
-    return _ranked(rest, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = written(queries.join(bounds.hint("merge"), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan")))), "bounds")
+    # Phase 2: all entries at or over the cutoff.
+    sent = lists(asked, bounded=True).groupBy("query_id", "class_id").agg(*gather)
+    # Phase 3: half a unit above rounding, as scores are integers.
+    missing = (F.lit(groups) - F.size("seen")) / groups
+    reach = F.isnan("bound") | (F.col("part") + missing * F.col("bound") >= F.col("bound") - 0.5)
+    left = sent.join(asked.select("query_id", "bound").hint("merge"), "query_id").where(reach).drop("bound")
+    found = _ranked(_resolved(left, queries, classes, groups), classes, k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

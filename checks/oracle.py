@@ -660,6 +660,8 @@ SELECT symbol, count(*) AS rows, count(bid) AS have_bid, count(iv) AS have_iv, c
        count(underlying_price) = 0 AS no_underlying,
        count(underlying_price) > 0 AND (count(iv) = 0 OR count(gamma) = 0) AS low_greek_coverage
 FROM g GROUP BY symbol"""
+CTES["whole_health"] = """
+SELECT sum(rows)::BIGINT AS rows, sum(have_bid)::BIGINT AS have_bid, sum(have_iv)::BIGINT AS have_iv, sum(have_gamma)::BIGINT AS have_gamma FROM health"""
 CTES["priced"] = f"""
 SELECT *, underlying_price*{PDF.format('dd')}*sqrt(tau) AS bs_vega,
        underlying_price*{ncdf('dd')} - strike*exp(-{R}*tau)*{ncdf('(dd - iv*sqrt(tau))')}
@@ -861,6 +863,10 @@ CTES["young"] = "SELECT * FROM chain WHERE ts >= TIMESTAMP '2000-06-01' - INTERV
 CTES["hour_books"] = f"""
 SELECT {SYMBOL.format('instrument_id')} AS symbol, date_trunc('hour', ts) AS sampled_at, max(ts) AS ts,
        3 AS depth_levels FROM ev WHERE event_type = 'view' GROUP BY ALL"""
+CTES["filed"] = """
+SELECT CASE WHEN (seq + 1) % 50 IN (7, 9) THEN 'set aside' ELSE 'sound' END AS status, count(*) AS rows,
+       sum(CASE WHEN (seq + 1) % 50 NOT IN (7, 9) THEN k END) AS size
+FROM ev WHERE event_type = 'purchase' GROUP BY ALL"""
 CTES["streamed_alerts"] = """
 SELECT f.*, c.rule_id IS NOT NULL AS kept FROM fired f LEFT JOIN cooled c USING (rule_id, symbol, snapshot_ts)"""
 

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from checks import oracle
 from strikelens.functions import greeks
@@ -23,6 +23,7 @@ from strikelens.operators.snapshot import (
     resolve_spot,
     snapshot_health,
     snapshot_series,
+    watched,
     with_spot,
 )
 from strikelens.plans import metrics as metric_plans
@@ -331,6 +332,23 @@ def futures_versions(spark, sf):
 def unmatched(spark, sf):
     return tape.unmatched(demo.market_records(spark, sf), _contracts(spark, sf))
 
+RECORD_KINDS = ("trade", "quote", "open_interest", "cumulative_volume")
+
+@register("observed_unmatched", "kind unmatched", "misses")
+def observed_unmatched(spark, sf):
+    """The same numbers out of the pass that writes the matched records."""
+    seen = Observation("unmatched")
+    _kept(spark, tape.matched(demo.market_records(spark, sf), _contracts(spark, sf), seen, RECORD_KINDS))
+    rows = [(kind, n) for kind, n in seen.get.items() if n]
+    return spark.createDataFrame(rows, "kind string, unmatched bigint")
+
+@register("observed_health", "rows have_bid have_iv have_gamma", "whole_health")
+def observed_health(spark, sf):
+    seen = Observation("health")
+    _kept(spark, watched(_chain(spark, sf), seen))
+    counts = {name: int(n) for name, n in seen.get.items()}
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
 @register("chain_state", "instrument_id ts:t seq kind bid:6 ask:6 last_price:6 oi:n volume:n", "state")
 def chain_state(spark, sf):
     return tape.chain_state(demo.market_records(spark, sf))
@@ -1004,6 +1022,21 @@ def _kept(spark, df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@register("vendor_files", "status rows size:n", "filed")
+def vendor_files(spark, sf):
+    """Prints as files of JSON lines, a few of them cut short or with text for a price, read as a stream."""
+    prints = demo.trade_records(spark, sf)
+    line = F.to_json(F.struct(*prints.columns))
+    turn = F.col("sequence") % 50
+    line = F.when(turn == 7, F.substring(line, 1, 40)).when(turn == 9, F.regexp_replace(line, '"price":[0-9]+', '"price":"n/a"')).otherwise(line)
+    path = shared_folder(spark)
+    prints.select(line.alias("value")).repartition(5).write.text(path)
+    found = drain(records.read_vendor_files(spark, path, prints.schema, stream=True, maxFilesPerTrigger=2))
+    status = F.when(F.col(records.MALFORMED).isNull(), "sound").otherwise("set aside").alias("status")
+    size = F.sum(F.when(F.col(records.MALFORMED).isNull(), F.col("size"))).alias("size")
+    return found.groupBy(status).agg(F.count("*").alias("rows"), size)
+
+
 @register("stream_upsert_restart", f"ts:t {STORED_LEG} oi:n volume iv:6 bid:6 last_price:6", "sunk")
 def stream_upsert_restart(spark, sf):
     """The second batch is written, but the query dies before it commits, and is started again."""

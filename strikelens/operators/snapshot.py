@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from strikelens.functions.columns import (
     day,
@@ -345,11 +345,19 @@ def latest_underlying(chain: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
     )
 
 
+#: The columns whose coverage is watched.
+WATCHED = ("bid", "ask", "last_price", "underlying_price", "iv", "gamma")
+
+
+def watched(chain: DataFrame, seen: Observation) -> DataFrame:
+    """``chain`` as it is; whoever writes it also counts its rows and filled values, into ``seen.get``."""
+    return chain.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"have_{c}") for c in WATCHED))
+
+
 def snapshot_health(chain: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Rows and non-null counts before the metrics run, with the two warning flags."""
-    filled = ("bid", "ask", "last_price", "underlying_price", "iv", "gamma")
     counts = chain.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"have_{c}") for c in filled)
+        F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"have_{c}") for c in WATCHED)
     )
     no_spot = F.col("have_underlying_price") == 0
     thin = ~no_spot & ((F.col("have_iv") == 0) | (F.col("have_gamma") == 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from strikelens.functions.columns import CONTRACT, MULTIPLIER
 from strikelens.operators.scan import last_known, running_total, with_slices, without_slices
@@ -57,6 +57,18 @@ def unmatched(records: DataFrame, contracts: DataFrame) -> DataFrame:
     )
 
 
+def matched(records: DataFrame, contracts: DataFrame, seen: Observation, kinds: Sequence[str]) -> DataFrame:
+    """:func:`with_contract` that counts what it drops, per kind, in the pass that writes its result.
+
+    ``seen.get`` has the numbers once the result has been written: one of each of ``kinds``.
+    """
+    known = contracts.withColumn("_known", F.lit(True))
+    both = records.join(known, "instrument_id", "left")
+    missing = F.col("_known").isNull()
+    told = both.observe(seen, *(F.count_if(missing & (F.col("kind") == kind)).alias(kind) for kind in kinds))
+    return told.where(~missing).drop("_known")
+
+
 def quote_side(price: Column, bid: Column, ask: Column) -> Column:
     """+1 above the mid, -1 below, 0 on it; null without a two-sided quote."""
     mid = (bid + ask) / 2.0

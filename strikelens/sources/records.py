@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from strikelens.functions.columns import CONTRACT, fixed_point, from_epoch_ns, instant, option_letter
 
@@ -73,6 +73,32 @@ def chain_stubs(definitions: DataFrame, *, as_of) -> DataFrame:
     return stubs.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
 
 
+#: Where a line stands that is no record, or not one of the schema.
+MALFORMED = "malformed"
+
+
+def read_vendor_files(spark: SparkSession, path: str, schema: StructType, *, stream: bool = False, **options) -> DataFrame:
+    """Vendor records from files of JSON lines, at rest or as they come.
+
+    A line that can't be read as a record of ``schema``, in part or at all, stands in
+    :data:`MALFORMED`, which is null for all others; :func:`sound` and :func:`set_aside` part them.
+    ``options`` go to the reader, such as ``maxFilesPerTrigger``.
+    """
+    reader = spark.readStream if stream else spark.read
+    whole = StructType([*schema.fields, StructField(MALFORMED, StringType())])
+    return reader.schema(whole).options(mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, **options).json(path)
+
+
+def sound(records: DataFrame) -> DataFrame:
+    """The records that could be read."""
+    return records.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def set_aside(records: DataFrame) -> DataFrame:
+    """The lines that could not, with the file they are in."""
+    return records.where(F.col(MALFORMED).isNotNull()).select(F.input_file_name().alias("file"), MALFORMED)
+
+
 def _newest_version(typed: DataFrame, contract: Column) -> DataFrame:
     return (
         typed.groupBy("instrument_id")

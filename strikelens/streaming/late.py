@@ -50,7 +50,8 @@ def corrected_premiums(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         clock = known_before(spark, f"{path}/clock", batch_id)
-        before = clock.first().newest_us if clock is not None else None
+        last = clock.first() if clock is not None else None
+        before = last.newest_us if last is not None else None
         sided = batch.where(F.coalesce("side", F.lit(0)) != 0).where(F.col("ts").isNotNull())
         start = F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(length))
         seen = sided.agg(F.max(F.unix_micros("ts"))).first()[0]

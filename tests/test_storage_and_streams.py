@@ -57,7 +57,7 @@ def test_metrics_replace_rows_of_the_same_key(spark, tmp_path):
     sinks.append_metrics(metric(0.1), path, 0)
     for _ in range(2):  # a batch that runs again replaces itself
         sinks.append_metrics(metric(0.2).unionByName(metric(0.3, 1)), path, 1)
-    assert sorted(float(r.value) for r in spark.read.parquet(path).collect()) == [0.2, 0.3]
+    assert sorted(float(r.value) for r in sinks.read_metrics(spark, path).collect()) == [0.2, 0.3]
 
 
 def test_events_are_stored_once(spark, sf_dir, tmp_path):

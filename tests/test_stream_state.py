@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from strikelens.operators import alerts, tape
+from strikelens.sources import records
 from strikelens.streaming import alerts as alert_streams
 from strikelens.streaming import late, stateful, windows
 from strikelens.streaming.runner import ROCKSDB, Feed, drain, drain_batches, drain_closed
@@ -195,3 +196,16 @@ def test_definitions_come_as_a_stream(spark, cuts):
         steps.append(put)
     found = drain(stateful.matched_contracts(*(f.stream for f in feeds), late="1 second"), steps=steps)
     assert {r.seq: r.strike for r in found.collect()} == STRIKES
+
+
+def test_vendor_files_set_bad_lines_aside(spark, tmp_path):
+    lines = ['{"instrument_id": 1, "price": 5}', '{"instrument_id": 2, "price": "n/a"}', '{"instrument', "", '{"price": 7}', "[1]"]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    (tmp_path / "b.json").write_text('{"instrument_id": 9, "price": 1, "more": 2}\n')
+    schema = spark.createDataFrame([], "instrument_id long, price long").schema
+    for stream in (False, True):
+        found = records.read_vendor_files(spark, str(tmp_path), schema, stream=stream)
+        found = drain(found) if stream else found.cache()
+        assert sorted(map(tuple, records.sound(found).collect()), key=str) == [(1, 5), (9, 1), (None, 7)]
+        bad = records.set_aside(found).collect()
+        assert sorted(r.malformed for r in bad) == ["[1]", '{"instrument', '{"instrument_id": 2, "price": "n/a"}']

@@ -94,3 +94,60 @@ def test_kinds_come_from_the_labels_in_any_language(spark, frame):
     found = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
     kinds = [c for c in chain.categories if c.startswith("kind_")]
     assert all((max(found[i][f"p_{k}"] for k in kinds) > 0.5) == bool(bad) == found[i].toxic for i, _, bad in labels)
+
+
+def _newton(x, earlier, y, l2=2e-5):
+    """The link by Newton's method on dense matrices; the bias is not held back."""
+    z = np.hstack([x, earlier, np.ones((len(y), 1))])
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    hold = np.append(np.full(z.shape[1] - 1, l2), 0.0)
+    loss = lambda t: weight @ np.logaddexp(0, -np.where(y == 1, 1, -1) * (z @ t)) + hold @ t**2 / 2
+    theta = np.zeros(z.shape[1])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -40, 40)))
+        slope = z.T @ (weight * (p - y)) + hold * theta
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(hold + 1e-12), slope)
+        rate = 1.0
+        while rate > 1e-9 and loss(theta - rate * step) > loss(theta):
+            rate /= 2
+        theta = theta - rate * step
+    return theta
+
+
+def test_the_whole_chain_equals_a_plain_one(spark, frame):
+    """Features, folds, held-out feeding, links and verdicts, recomputed on dense matrices."""
+    docs, labels = _corpus(frame, spark, n=400)
+    chain = toxicity.fit_on(docs, labels, rules())
+    texts = {r.doc_id: toxicity.word_features(r.text) for r in docs.collect()}
+    told = {r.doc_id: (r.insult, r.toxic) for r in labels.collect()}
+    fold = {r.doc_id: r.f for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    ids = sorted(told)
+    y = np.array([told[i] for i in ids], float)
+    gains = {}
+    for word in set().union(*texts.values()):
+        has = np.array([word in texts[i] for i in ids])
+        n = has.sum()
+        if n >= 8:
+            for k in range(2):
+                expected = n * y[:, k].mean()
+                if y[has, k].sum() >= 3.0 * expected:
+                    gains[word] = max(gains.get(word, 0), (y[has, k].sum() - expected) / np.sqrt(expected + 1))
+    features = sorted(w for w, g in gains.items() if g > 5)
+    assert chain.features == features and len(features) > 3
+    matrix = lambda sets: np.array([[f in s for f in features] for s in sets], float)
+    x, folds, held, links = matrix([texts[i] for i in ids]), np.array([fold[i] for i in ids]), np.zeros((len(ids), 2)), []
+    for k in range(2):
+        for f in range(toxicity.FOLDS) if k == 0 else ():
+            t = folds != f
+            theta = _newton(x[t], held[t, :k], y[t, k])
+            held[~t, k] = 1 / (1 + np.exp(-np.hstack([x, held[:, :k], np.ones((len(ids), 1))])[~t] @ theta))
+        links.append(_newton(x, held[:, :k], y[:, k]))
+    later, _ = _corpus(frame, spark, n=300, seed=10)
+    rows = later.collect()
+    z, want = matrix([toxicity.word_features(r.text) for r in rows]), np.zeros((len(rows), 2))
+    for k in range(2):
+        want[:, k] = 1 / (1 + np.exp(-np.hstack([z, want[:, :k], np.ones((len(rows), 1))]) @ links[k]))
+    found = {r.doc_id: r for r in toxicity.score(later, chain).collect()}
+    got = np.array([[found[r.doc_id].p_insult, found[r.doc_id].p_toxic] for r in rows])
+    assert np.abs(got - want).max() < 0.03
+    assert [found[r.doc_id].toxic for r in rows] == [bool(p > 0.75 and s.any()) for p, s in zip(want[:, 1], z, strict=True)]

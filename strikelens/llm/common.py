@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,6 +40,26 @@ ROWS = 256
 BATCH_BYTES = 8 << 20
 #: What a worker keeps from task to task, by the module that keeps it, and how to drop it.
 KEPT: dict[str, Callable[[], None]] = {}
+_last_owner: list[str] = []
+
+
+def _only(owner: str) -> None:
+    """Drop what other modules than ``owner`` keep in this worker, and give the memory back.
+
+    Freed memory otherwise stays with the worker, beside the executor's heap, for all later jobs.
+    """
+    if _last_owner == [owner]:
+        return
+    for module, drop in KEPT.items():
+        if module != owner:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: there is nothing to ask for
+        pass
+    _last_owner[:] = [owner]
 
 
 def map_batches(
@@ -59,9 +81,7 @@ def map_batches(
     owner = job.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for module, drop in KEPT.items():
-            if module != owner:
-                drop()
+        _only(owner)
         yield from job(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
     return df.mapInArrow(run, schema)
@@ -91,10 +111,13 @@ def words_of(text: str) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """XXH64 of words, remembered."""
+    """XXH64 of words, of which at most ``most`` are remembered."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -6,7 +6,8 @@ Phase 1 gathers the best k of every list and resolves what they name: the k-th b
 safe lower bound of a query's k-th score. Phase 2 sends it back as a cutoff, bound / groups, and
 each list answers with its entries at or over it: a candidate below it in every list cannot
 reach the bound. Phase 3 adds up what has come, drops what cannot reach the bound even with the
-cutoff in place of each entry that was not sent, and computes the missing products of the rest.
+cutoff in place of each entry that was not sent, and asks the tiles of the other groups for the
+missing products of the rest.
 
 Equal vectors are one candidate with its ``k + 1`` smallest ids, so copies are never scored twice.
 Tiles bound what a task holds of either side.
@@ -15,15 +16,15 @@ Tiles bound what a task holds of either side.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikelens.llm.common import map_batches, written
+from strikelens.llm.common import written
 from strikelens.session import ship_package
 
 #: Queries and candidates of a tile, and queries scored at once within it.
@@ -86,29 +87,24 @@ def _tile(left: pa.Table, right: pa.Table, k: int, groups: int, bounded: bool) -
     return pa.table([pa.array(x, pa.int64()) for x in columns], schema=names)
 
 
-def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame, groups: int) -> DataFrame:
-    """(``query_id``, ``class_id``, ``score``) of pairs that have come with the products of ``seen`` groups,
-    ``part`` in sum: the products of the other groups are computed here."""
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for q, c, seen, part in zip(*(batch.column(n).to_pylist() for n in ("q", "c", "seen", "part")), strict=True):
-                cuts = [len(q) * g // groups for g in range(groups + 1)]
-                for g in set(range(groups)) - set(seen):
-                    a, b = (np.floor(np.array(v[cuts[g] : cuts[g + 1]], np.float64) * SCALE)[None] for v in (q, c))
-                    part += int(_products(a, b)[0, 0])
-                scores.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("class_id"), pa.array(scores, pa.int64())], names=["query_id", "class_id", "score"])
-
-    whole = pairs.where(F.size("seen") == groups).select("query_id", "class_id", F.col("part").alias("score"))
-    rest = (
-        pairs.where(F.size("seen") < groups)
-        .join(queries.select("query_id", F.col("embedding").alias("q")).hint("merge"), "query_id")
-        .join(classes.select("class_id", F.col("embedding").alias("c")).hint("merge"), "class_id")
-        .select("query_id", "class_id", "part", "seen", "q", "c")
-    )
-    return whole.union(map_batches(rest, job, "query_id long, class_id long, score long"))
+def _asked(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The products of a tile's group for the pairs that ``left`` asks for, beside its queries."""
+    names = pa.schema([("query_id", pa.int64()), ("class_id", pa.int64()), ("part", pa.int64())])
+    pairs = left.filter(pc.is_valid(left["class_id"]))
+    if not pairs.num_rows:
+        return names.empty_table()
+    own = left.filter(pc.is_null(left["class_id"]))
+    q_ids, c_ids = own["query_id"].to_numpy(), right["class_id"].to_numpy()
+    queries, candidates = _matrix(own["q_part"], len(q_ids)), _matrix(right["c_part"], len(c_ids))
+    q_order, c_order = np.argsort(q_ids), np.argsort(c_ids)
+    at_q = q_order[np.searchsorted(q_ids, pairs["query_id"].to_numpy(), sorter=q_order)]
+    at_c = c_order[np.searchsorted(c_ids, pairs["class_id"].to_numpy(), sorter=c_order)]
+    top = max(np.abs(queries).max(initial=0.0), np.abs(candidates).max(initial=0.0))
+    if top * top * max(queries.shape[1], 1) >= EXACT:
+        queries, candidates = queries.astype(np.int64), candidates.astype(np.int64)
+    parts = [np.einsum("ij,ij->i", queries[at_q[lo : lo + 65536]], candidates[at_c[lo : lo + 65536]]) for lo in range(0, len(at_q), 65536)]
+    columns = [pairs["query_id"], pairs["class_id"], pa.array(np.concatenate(parts).astype(np.int64))]
+    return pa.table(columns, schema=names)
 
 
 def _ranked(scores: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -118,7 +114,7 @@ def _ranked(scores: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return named.where("vec_id != query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 4) -> DataFrame:
+def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 2) -> DataFrame:
     """The k best candidates of each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates all rows but the
@@ -163,23 +159,37 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, groups: int = 4) -> Data
     def lists(asked: DataFrame, bounded: bool) -> DataFrame:
         def job(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
             found = _tile(a, b, k, groups, bounded)
-            return found.append_column("g", pa.array(np.full(found.num_rows, key[1].as_py(), np.int32)))
+            for name, value in zip(("dims", "g"), key, strict=False):
+                found = found.append_column(name, pa.array(np.full(found.num_rows, value.as_py(), np.int32)))
+            return found
 
         left = parts(asked, "q_part", "q_tile", q_tiles, "c_tile", c_tiles)
-        return left.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(job, f"{_ENTRY}, g int")
+        return left.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(job, f"{_ENTRY}, dims int, g int")
+
+    pair = ["query_id", "class_id", "dims"]
+    gather = [F.sum("part").alias("part"), F.collect_list("g").alias("seen")]
+
+    def resolved(pairs: DataFrame) -> DataFrame:
+        """The scores of pairs that have come with the products of ``seen`` groups, ``part`` in sum: the
+        tiles of the other groups are asked for theirs."""
+        missing = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(groups - 1)), "seen")).alias("g")
+        spread = [F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(t) for c, n, t in (("query_id", q_tiles, "q_tile"), ("class_id", c_tiles, "c_tile"))]
+        wanted = pairs.select(*pair, missing, *spread)
+        left = parts(queries, "q_part", "q_tile", q_tiles, "c_tile", c_tiles).unionByName(wanted, allowMissingColumns=True)
+        told = left.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(_asked, _ENTRY)
+        return pairs.select("query_id", "class_id", "part").union(told).groupBy("query_id", "class_id").agg(F.sum("part").alias("score"))
 
     # Phase 1: the heads of all lists, and the k-th best of what they name.
     head = Window.partitionBy("query_id", "g").orderBy(F.desc("part"), "class_id")
     heads = lists(queries, bounded=False).withColumn("place", F.row_number().over(head)).where(F.col("place") <= k)
-    gather = [F.sum("part").alias("part"), F.collect_list("g").alias("seen")]
-    first = _ranked(_resolved(heads.groupBy("query_id", "class_id").agg(*gather), queries, classes, groups), classes, k)
+    first = _ranked(resolved(written(heads.groupBy(*pair).agg(*gather), "heads")), classes, k)
     bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
     asked = written(queries.join(bounds.hint("merge"), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan")))), "bounds")
     # Phase 2: all entries at or over the cutoff.
-    sent = lists(asked, bounded=True).groupBy("query_id", "class_id").agg(*gather)
+    sent = lists(asked, bounded=True).groupBy(*pair).agg(*gather)
     # Phase 3: half a unit above rounding, as scores are integers.
     missing = (F.lit(groups) - F.size("seen")) / groups
     reach = F.isnan("bound") | (F.col("part") + missing * F.col("bound") >= F.col("bound") - 0.5)
-    left = sent.join(asked.select("query_id", "bound").hint("merge"), "query_id").where(reach).drop("bound")
-    found = _ranked(_resolved(left, queries, classes, groups), classes, k)
+    left = written(sent.join(asked.select("query_id", "bound").hint("merge"), "query_id").where(reach).drop("bound"), "left")
+    found = _ranked(resolved(left), classes, k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -167,6 +167,19 @@ def test_vol_round_trip(spark, spot, strike, days, sigma, call):
     assert vol.fill_iv(priced, as_of=TODAY).first().iv == pytest.approx(sigma, abs=1e-6)
 
 
+def test_vol_is_the_middle_of_a_bracket_halved_thirty_times(spark):
+    """Net exposures of deep options show a vol's ninth digit."""
+    low, high, tau = 0.01, 5.0, 30 / 365.0
+    for _ in range(30):
+        middle = (low + high) / 2
+        first = (math.log(100 / 104) + (0.05 + middle * middle / 2) * tau) / (middle * math.sqrt(tau))
+        upper, lower = (0.5 * math.erfc(-x / math.sqrt(2)) for x in (first, first - middle * math.sqrt(tau)))
+        below = 100 * upper - 104 * math.exp(-0.05 * tau) * lower < 3.25
+        low, high = (middle, high) if below else (low, middle)
+    quoted = chain(spark, leg(104, "C", last_price=3.25), expiration=TODAY + dt.timedelta(days=30), underlying_price=100.0)
+    assert vol.fill_iv(quoted, as_of=TODAY).first().iv == pytest.approx((low + high) / 2, abs=1e-13)
+
+
 def test_vol_fill_keeps_what_it_cannot_solve(spark):
     filled = vol.fill_iv(
         chain(

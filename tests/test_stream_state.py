@@ -215,6 +215,23 @@ def test_definitions_are_cut_where_their_records_are(spark, sf_dir, monkeypatch,
     assert calls and streamed == rows(queries.QUERIES["contract_versions"](spark, sf_dir))
 
 
+def test_instruments_that_share_a_state_are_kept_apart(spark, monkeypatch):
+    """All instruments in one part, the null one among them, over several batches."""
+    monkeypatch.setattr(stateful, "PARTS", 1)
+    batches = [
+        [_record(1, "quote", bid=1.0, ask=2.0), (9, *_record(1, "trade", price=3.0, size=2)[1:]), (None, *_record(1, "trade", price=4.0, size=1)[1:])],
+        [(8, *_record(2, "cumulative_volume", quantity=50)[1:]), (9, *_record(2, "trade", price=None, size=5)[1:])],
+        [_record(3, "trade", price=1.5, size=4), (8, *_record(3, "trade", price=7.0, size=1)[1:]), (None, *_record(3, "quote", ask=9.0)[1:])],
+    ]
+    feed = Feed(spark, spark.createDataFrame([], RECORD).schema)
+    steps = [lambda b=b: feed.put(spark.createDataFrame(b, RECORD)) for b in batches]
+    found = drain(stateful.chain_rows(feed.stream), steps=steps)
+    names = ("instrument_id", "seq", "bid", "ask", "last_price", "oi", "volume")
+    whole = tape.chain_state(spark.createDataFrame([r for b in batches for r in b], RECORD))
+    both = [sorted((tuple(r) for r in df.select(*(F.col(n).cast("double") for n in names)).collect()), key=str) for df in (found, whole)]
+    assert both[0] == both[1] and len(both[0]) == 8
+
+
 def test_vendor_files_set_bad_lines_aside(spark, tmp_path):
     lines = ['{"instrument_id": 1, "price": 5}', '{"instrument_id": 2, "price": "n/a"}', '{"instrument', "", '{"price": 7}', "[1]"]
     (tmp_path / "a.json").write_text("\n".join(lines))

@@ -57,6 +57,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signed_fingerprint(text: str) -> int:
+    return _signed(fingerprint(text))
+
+
 def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long), a row for each row."""
 

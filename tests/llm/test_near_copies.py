@@ -3,6 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from strikelens.llm import near_copies
 
 
@@ -30,6 +31,19 @@ def _groups(texts):
     return {find(i) for i in texts}
 
 
+def test_fingerprints_find_candidates_too(spark, frame):
+    """Without any table row in common, texts of near or equal fingerprints are still compared, and judged by their sets."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    lines = [words, [*words[:1500], "changed", *words[1501:]], [*words, words[-1]], words[::-1]]
+    df = frame([(i, " ".join(x)) for i, x in enumerate(lines, 1)] + [(9, None), (10, " ")])
+    marked = near_copies.signatures(df).withColumn("keys", F.array().cast("array<long>")).withColumnRenamed("doc_id", "least").cache()
+    linked = {frozenset(r) for r in near_copies.links(df, marked, marked.select("fp", "least", "mark")).collect()}
+    ids = {r.fp: r.least for r in marked.collect()}
+    nearby = {frozenset((1, 2)), frozenset((1, 3)), frozenset((2, 3))}
+    assert linked and {frozenset(ids[fp] for fp in pair) for pair in linked} <= nearby
+
+
 def test_every_copy_at_four_fifths_goes_and_no_other(spark, frame):
     """Around a few texts, copies on both sides of the limit; many of them meet in one table row."""
     rng = random.Random(11)

@@ -16,7 +16,7 @@ from strikelens.operators.snapshot import (
     parity_spot,
     resolve_spot,
 )
-from strikelens.plans import serving
+from strikelens.plans import metrics, serving
 from strikelens.plans.pipeline import run_chain_pipeline, run_history_pipeline
 from strikelens.sources import demo
 
@@ -320,3 +320,13 @@ def test_rule_counts_and_recent_alerts(spark):
     assert quality.rule_counts(rules).first().asDict() == {"rules_total": 3, "rules_enabled": 2}
     events = spark.createDataFrame([(f"r{i}", dt.datetime(2024, 1, 1, i)) for i in range(5)], "rule_id string, ts timestamp")
     assert [r.rule_id for r in serving.recent_alerts(events, 2).collect()] == ["r4", "r3"]
+
+
+def test_branches_of_a_union_have_tasks_of_their_own(spark):
+    """One task that ran all kinds of metric, one after another, took the memory of all their sorts."""
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    book = chain(spark, leg(100, "C", oi=10, gamma=0.05, iv=0.2))
+    metrics.chain_metrics(book, as_of="2024-01-02 16:00:00")
+    branch = spark.range(1000).repartition(8, "id")
+    tasks = branch.union(branch).select(F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() > 8

@@ -166,3 +166,19 @@ def test_cooldown_equals_the_walk(spark, monkeypatch):
         found = sorted((r.rule_id, r.snapshot_ts) for r in alerts.apply_cooldown(fired).collect())
         assert found == sorted(want)
     assert alerts.apply_cooldown(fired.limit(0)).count() == 0
+
+
+def test_many_slices_come_in_few_calls(spark, sf_dir):
+    """A call for each slice, and one task that put the slices of all keys in order, took most of the time."""
+    plan = _sweeps(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" not in plan and plan.count("MapInArrow") == 3
+
+
+def test_runs_go_on_over_batches():
+    import pyarrow as pa
+
+    values = [None, None, "a", "a", "a", "b", "c", "c"]
+    for size in range(1, 9):
+        table = pa.table({"k": pa.array(values), "n": range(8)})
+        found = [t["n"].to_pylist() for t in greedy.runs(iter(table.to_batches(size)), ["k"])]
+        assert found == [[0, 1], [2, 3, 4], [5], [6, 7]]

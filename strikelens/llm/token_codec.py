@@ -11,6 +11,7 @@ the stream and a checksum are kept: a reader can begin there, and several can sh
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -36,18 +37,29 @@ WORD_MASK = np.uint64((1 << 32) - 1)
 # --- text to ids ----------------------------------------------------------------------------
 
 
-class WordIds(dict):
+def _byte_signs() -> dict[int, str]:
+    """The printable sign of each byte in byte-level vocabularies: its own, or one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordIds:
     """Ids of texts with the tokenizers library; the ids of words met before are remembered.
 
     A byte-level tokenizer cuts texts at every space between two characters that are no space
-    themselves, so the words between such spaces have ids of their own, and it cuts between a
-    letter and a following point or comma. Any other text, or one with a special token in it, is
-    encoded as a whole. Keys are words without the space before them; the value is None where a
-    word touches other white space.
+    themselves, so the words between such spaces have ids of their own, and it cuts on both sides
+    of a line break between two such characters, and between a letter and signs that follow it. Any other text, or one with a special token in it, is encoded as a whole. ``known`` has
+    words without the space before them, or with the line break before them; the value is None
+    where a word touches other white space. Words of Latin letters are never cut, so they go
+    to the library's model without its search for cuts.
     """
 
     REMEMBERED = 2_000_000
-    STOPS = ".,"
+    #: Signs without the apostrophe, which may begin a piece with letters.
+    STOPS = ".,!?;:#$%&*+-/<=>@^_`|~\"()[]{}\\"
+    #: All letters below this one are Latin.
+    BEYOND = "\u0250"
     #: Words encoded in one call, a line break between two.
     TOGETHER = 64
 
@@ -55,7 +67,6 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
@@ -65,19 +76,35 @@ class WordIds(dict):
         line = ids("\n")
         lone = len(line) == 1 and all(ids(f"a\n{b}") == [*ids("a"), *line, *ids(b)] for b in ("b", " b"))
         self.line = line[0] if lone else None
-        self.fresh: set[str] = set()
+        parts = json.loads(self.tokenizer.to_str())
+        plain = parts["normalizer"] is None and parts["post_processor"] is None and parts["model"]["type"] == "BPE"
+        cuts = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        #: The sign that stands for each byte in the model, if words may go to it.
+        self.signs = _byte_signs() if plain and parts["pre_tokenizer"] == cuts else None
+        self.known: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {"": b""}
 
-    def __missing__(self, word: str) -> None:
-        self.fresh.add(word)
-
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _raw_words(self, words: list[str], before: str = " ") -> list[bytes]:
+    def _by_model(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words of Latin letters, each with a space (or nothing) before it."""
+        code, signs, ids = self.code, self.signs, self.tokenizer.model.tokenize
+        space = before.translate(signs)
+        spelled = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(signs)) for w in words]
+        return [array(code, [t.id for t in ids(w)]).tobytes() for w in spelled]
+
+    def _ids_of(self, words: list[str], before: str = " ") -> dict[str, bytes]:
         """The ids of words without white space, each with a space (or nothing) before it."""
+        latin = [w for w in words if w.isalpha() and (w.isascii() or max(w) < self.BEYOND)] if self.signs else []
+        found = dict(zip(latin, self._by_model(latin, before), strict=True))
+        rest = [w for w in words if w not in found] if len(latin) < len(words) else []
+        found.update(zip(rest, self._raw_words(rest, before), strict=True))
+        return found
+
+    def _raw_words(self, words: list[str], before: str) -> list[bytes]:
         if self.line is None:
             return self._raw([before + w for w in words])
         n, out = self.TOGETHER, []
@@ -91,81 +118,56 @@ class WordIds(dict):
                 at = end + width
         return out
 
-    def _learn(self) -> None:
-        """Encode the words met for the first time.
-
-        Words are encoded without the stops after a last letter, and the two sides of a line
-        break apart from each other.
-        """
-        plain, stopped, broken, odd = [], [], [], []
-        later: set[str] = set()  # words that only parts of others need
-
-        def sort_out(word: str) -> None:
+    def _learn(self, fresh: set[str]) -> None:
+        """Encode words met for the first time, without the signs after a last letter."""
+        known, plain = self.known, list(filter(str.isalpha, fresh))
+        stopped, behind, odd = [], [], []
+        for word in fresh.difference(plain):
             core = word.rstrip(self.STOPS)
             if core.isalpha():
                 stopped.append((word, core))
-                if core not in self.fresh:
-                    later.add(core)
+            elif self.line is not None and word[:1] == "\n":
+                tail = word[1:]
+                if len(tail.split()) == 1 and not (tail[0].isspace() or tail[-1].isspace()):
+                    behind.append((word, tail))
+                else:
+                    known[word] = None
             elif not word or word[0].isspace() or word[-1].isspace():
-                self[word] = None
+                known[word] = None
             else:
-                sides = word.split("\n") if self.line is not None else [word]
-                if any(not p or len(p.split()) > 1 or p[0].isspace() or p[-1].isspace() for p in sides):
-                    odd.append(word)
-                elif len(sides) > 1:
-                    broken.append((word, sides))
-                    if sides[0] not in self.fresh:
-                        later.add(sides[0])
-                else:
-                    plain.append(word)
-
-        more = self.fresh
-        while more:
-            plain += [w for w in more if w.isalpha()]
-            for word in more:
-                if not word.isalpha():
-                    sort_out(word)
-            more = [w for w in later if w not in self]
-            self.fresh.update(more)
-            later.clear()
-        self.update(zip(plain, self._raw_words(plain), strict=True))
-        self.update(zip(odd, self._raw([" " + w for w in odd]), strict=True))
+                (plain if len(word.split()) == 1 else odd).append(word)
+        plain += {core for _, core in stopped}.difference(fresh).difference(known)
+        known.update(self._ids_of(plain))
+        known.update(zip(odd, self._raw([" " + w for w in odd]), strict=True))
+        ends = list({word[len(core) :] for word, core in stopped}.difference(self.stops))
+        self.stops.update(zip(ends, self._raw(ends), strict=True))
         for word, core in stopped:
-            stops = word[len(core) :]
-            if stops not in self.stops:
-                self.stops[stops] = self._raw([stops])[0]
-            self[word] = self[core] + self.stops[stops]
-        behind = list({p for _, sides in broken for p in sides[1:] if p not in self.first})
-        self.first.update(zip(behind, self._raw_words(behind, ""), strict=True))
+            known[word] = known[core] + self.stops[word[len(core) :]]
+        tails = list({tail for _, tail in behind}.difference(self.first))
+        self.first.update(self._ids_of(tails, ""))
         line = array(self.code, [self.line or 0]).tobytes()
-        for word, sides in broken:
-            self[word] = line.join([self[sides[0]], *(self.first[p] for p in sides[1:])])
-        self.fresh = set()
+        for word, tail in behind:
+            known[word] = line + self.first[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
-        if len(self) > self.REMEMBERED:
-            self.clear()
-            self.first, self.stops = {}, {"": b""}
-        get = self.__getitem__
-        cut = [t.split(" ") for t in texts]
-        new = list({c[0] for c in cut if c[0] not in self.first})
+        if len(self.known) + len(self.first) + len(self.stops) > self.REMEMBERED:
+            self.known, self.first, self.stops = {}, {}, {"": b""}
+        cut = [(t if self.line is None else t.replace("\n", " \n")).split(" ") for t in texts]
+        firsts = [words.pop(0) for words in cut]
+        new = list(set(firsts).difference(self.first))
         self.first.update(zip(new, self._raw(new), strict=True))
-        parts = []
-        for words in cut:
-            begin = self.first[words[0]]
-            del words[0]
-            found = list(map(get, words))
-            parts.append((begin, found, [i for i, ids in enumerate(found) if ids is None]))
-        if self.fresh:
-            self._learn()
-        out = []
-        for text, words, (begin, found, holes) in zip(texts, cut, parts, strict=True):
-            for i in holes:
-                found[i] = get(words[i])
-            edge = len(words) > 0 and (text[0] == " " or text[text.index(" ") - 1].isspace())
-            whole = edge or any(found[i] is None for i in holes) or any(s in text for s in self.special)
-            out.append(self._raw([text])[0] if whole else begin + b"".join(found))
+        fresh = set().union(*cut).difference(self.known)
+        if fresh:
+            self._learn(fresh)
+        get, out = self.known.__getitem__, []
+        for text, first, words in zip(texts, firsts, cut, strict=True):
+            raw = None
+            if not (words and (not first or first[-1].isspace()) or any(s in text for s in self.special)):
+                found = list(map(get, words))
+                if None not in found:
+                    raw = self.first[first] + b"".join(found)
+            out.append(self._raw([text])[0] if raw is None else raw)
         return out
 
 

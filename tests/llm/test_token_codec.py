@@ -64,3 +64,32 @@ def test_stored_corpus(spark, odd, empty, tokenizer, monkeypatch):
     path = shared_folder(spark, "corpus")
     codec.write_corpus(empty, path, FILE, 2)
     assert codec.read_corpus(spark, path).count() == 0
+
+
+def test_words_by_the_model_equal_the_tokenizer(tokenizer):
+    """Latin letters, others, signs behind letters, apostrophes and line breaks."""
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x180, 0x260) if chr(c).isalpha()] + list("ªºµßéñÿœſɐʰλж漢٣²½")
+    pieces = ["the", "ing", "Th", "tion", "éa", "ß", "'s", "'", "###", "$", "!!", ".", ",", "\n", "\n", "\t", " ", " ", " ", " ", "7", "_", "\\", "<|", "\x85", "́"]
+    texts = ["".join(rng.choices(pieces + rng.sample(letters, 4), k=rng.randrange(30))) for _ in range(4000)]
+    texts += ["".join(rng.choices(letters, k=9)) + " " + "".join(rng.choices(letters, k=9)) + "!\n" + "".join(rng.choices(letters, k=5)) for _ in range(500)]
+    words = codec.WordIds(FILE)
+    for lo in (*range(0, len(texts), 500), 0):  # the last time from memory
+        for text, raw in zip(texts[lo : lo + 500], words.encode(texts[lo : lo + 500]), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_byte_has_its_sign(tokenizer):
+    signs = codec._byte_signs()
+    for text in ["".join(map(chr, range(32, 0x250))), "".join(map(chr, range(32))), "漢字𝒳"]:
+        told = "".join(t for t, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        assert text.encode().decode("latin-1").translate(signs) == told
+
+
+def test_line_breaks_and_signs_make_no_new_words():
+    """Two sides of a line break, and a word and its signs, are learned apart."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdeé", k=6)) for _ in range(60)]
+    words = codec.WordIds(FILE)
+    words.encode([" ".join(["x"] + [f"{a}###\n{b}" for a in names for b in names])])
+    assert len(getattr(words, "known", words)) <= 4 * len(names)
